@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import language_id
+from chronoweft.llm import language_id, quality_cotraining, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -22,7 +22,30 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter("quality IS NOT NULL").dropDuplicates(["doc_id"])
+    model = quality_cotraining.fit(docs.filter(~held_out()).join(labels, "doc_id", "left"))
+    out = quality_cotraining.predict(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "text_score", "metadata_score", (F.col("score") >= 0.5).alias("kept"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.ToxicityModel:
+    """Trained on the labelled rows of docs that aren't held out; the language of a text is predicted from the text."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL").dropDuplicates(["doc_id"])
+    learned = docs.filter(~held_out())
+    return toxicity.fit(learned.select("doc_id", "text").join(labels, "doc_id"), language_id.fit(learned))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.predict(docs, toxicity_model(spark, sf_dir, docs))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
+        "op9_toxicity": op9_toxicity,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import language_id, quality_cotraining, toxicity
+from chronoweft.llm import language_id, ngram_join, quality_cotraining, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -43,9 +43,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes_of(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
         "op9_toxicity": op9_toxicity,
+        "op10_ngram_join": op10_ngram_join,
     }

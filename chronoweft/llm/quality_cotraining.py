@@ -25,8 +25,8 @@ from chronoweft.llm.common import bounded_sample, map_batches, texts_of
 from chronoweft.llm.hashed_words import WordIndex
 
 #: Bounds of the training sample, about: labelled rows of each class, and unlabelled rows.
-SAMPLE_PER_CLASS = 2000
-SAMPLE_UNLABELLED = 3000
+SAMPLE_PER_CLASS = 1500
+SAMPLE_UNLABELLED = 2000
 ROUNDS = 4
 #: Share of the unlabelled sample that a view labels in each round.
 SHARE_PER_ROUND = 0.05
@@ -191,11 +191,18 @@ def fit(df: DataFrame, label: str = "quality", key: str = "doc_id", sample_per_c
     """df: documents with text, source, lang, n_chars and a label that is null where there is none. Learns from a bounded sample (see SAMPLE_PER_CLASS, SAMPLE_UNLABELLED)."""
     rows = df.select(F.col(key).alias("key"), "text", "source", "lang", "n_chars", F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(-1).cast("int").alias("label"))
     sample = bounded_sample(rows.filter("label >= 0"), "label", sample_per_class, "key", "quality").unionByName(bounded_sample(rows.filter("label < 0"), "label", sample_unlabelled, "key", "quality"))
-    got = sorted(sample.collect(), key=lambda r: (str(r["key"]), r["text"] or ""))
-    if not got:
+    got = sample.toPandas().sort_values(["key", "text"], kind="stable")
+    if not len(got):
         return QualityModel()
-    views = _views([r["text"] or "" for r in got], WordIndex(limit=None), [r["source"] for r in got], [r["lang"] for r in got], [r["n_chars"] for r in got])
-    return co_train(*views, np.array([r["label"] for r in got]))
+    index, words, statistics, metadata = WordIndex(), [], [], []
+    for s in range(0, len(got), 256):  # in slices, as words weigh more than their buckets
+        part = got.iloc[s : s + 256]
+        lengths = [None if n != n else int(n) for n in part["n_chars"]]
+        w, t, m = _views([x or "" for x in part["text"]], index, list(part["source"]), list(part["lang"]), lengths)
+        words += [x.astype(np.int32) for x in w]
+        statistics.append(t)
+        metadata.append(m)
+    return co_train(words, np.vstack(statistics), np.vstack(metadata), got["label"].to_numpy())
 
 
 def predict(df: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:

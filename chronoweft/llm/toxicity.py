@@ -87,16 +87,18 @@ class ToxicityModel:
         if not len(labels) or labels.min() == labels.max():
             return
         rng = np.random.default_rng(seed)
-        index = WordIndex(limit=None)
-        split = [index.look_up([t])[0] for t in texts]
-        feats = np.array(index.rows or [(0,) * FEATURES])
+        index, docs = WordIndex(), []
+        for s in range(0, len(texts), 256):  # in slices, as words weigh more than their buckets
+            rows, sizes = index.look_up(texts[s : s + 256])
+            feats = np.array(index.rows or [(0,) * FEATURES], np.int32)[rows]
+            docs += [x.copy() for x in np.split(feats, np.cumsum(sizes)[:-1])]
         order = rng.permutation(len(texts))
         kept_back, train = order[: len(order) // 5], order[len(order) // 5 :]
         if labels[train].min() == labels[train].max():
             train = order
         docs_with = np.zeros((2, BUCKETS))
         for i in train:
-            docs_with[labels[i], np.unique(feats[split[i]])] += 1
+            docs_with[labels[i], np.unique(docs[i])] += 1
         n = np.bincount(labels[train], minlength=2)
         odds = np.log((docs_with[1] + 4) / (n[1] + 8)) - np.log((docs_with[0] + 4) / (n[0] + 8))
         self.embeddings = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -106,7 +108,7 @@ class ToxicityModel:
             self.filters[w][:, 0, :] += np.where(np.arange(FILTERS) % 3 == 2, -0.5, 1.0) / w
         self.out = np.where(np.tile(np.arange(FILTERS), len(WIDTHS)) % 3 == 2, -0.2, 0.3).astype(np.float32)
         self.bias = -0.5
-        self._descend([feats[s] for s in split], labels, train, rng)
+        self._descend(docs, labels, train, rng)
         self._calibrate(texts, labels, kept_back if len(kept_back) >= 20 else order)
 
     def _descend(self, docs: list[np.ndarray], labels: np.ndarray, train: np.ndarray, rng: np.random.Generator) -> None:
@@ -157,8 +159,8 @@ class ToxicityModel:
     def _calibrate(self, texts: list[str], labels: np.ndarray, rows: np.ndarray) -> None:
         vectors = WordVectors(self.embeddings)
         own = [texts[i] for i in rows]
-        z = self.logits_of_vectors(*vectors.rows_of(own))
-        langs = np.array(self.languages.score(own)[0], object)
+        z = np.concatenate([self.logits_of_vectors(*vectors.rows_of(own[s : s + 256])) for s in range(0, len(own), 256)])
+        langs = np.array([x for s in range(0, len(own), 256) for x in self.languages.score(own[s : s + 256])[0]], object)
         y = labels[rows]
         self.default_threshold = _best_cut(z, y)
         for lang in sorted(set(langs)):

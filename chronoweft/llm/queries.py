@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import language_id, ngram_join, quality_cotraining, toxicity
+from chronoweft.llm import language_id, ngram_join, piece_bpe, quality_cotraining, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -43,6 +44,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_piece_bpe(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return piece_bpe.digests(_table(spark, sf_dir, "documents"), piece_bpe.read_model(model or public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_of(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
+        "op6_piece_bpe": op6_piece_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_join": op10_ngram_join,
     }

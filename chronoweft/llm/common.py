@@ -54,6 +54,11 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def one_label(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """(key, label) with labels of 0 or 1; of several labels of a key the larger."""
+    return labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND key IS NOT NULL").groupBy("key").agg(F.max("label").alias("label"))
+
+
 def bounded_sample(df: DataFrame, by: str, bound: int, key: str, seed: str) -> DataFrame:
     """About `bound` rows of each value of `by` at most, chosen by a hash of `key`; fewer values than rows are assumed, e.g. labels or languages."""
     counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_sample, map_batches, texts_of
+from chronoweft.llm.common import bounded_sample, map_batches, one_label, texts_of
 from chronoweft.llm.hashed_words import WordIndex
 
 #: Bounds of the training sample, about: labelled rows of each class, and unlabelled rows.
@@ -187,10 +187,14 @@ def _views(texts: list[str], index: WordIndex, sources: list, langs: list, lengt
     return np.split(buckets, np.cumsum(sizes)[:-1]), text_statistics(texts, rows, sizes), metadata_features(sources, langs, [len(t) if n is None else n for t, n in zip(texts, lengths, strict=True)])
 
 
-def fit(df: DataFrame, label: str = "quality", key: str = "doc_id", sample_per_class: int = SAMPLE_PER_CLASS, sample_unlabelled: int = SAMPLE_UNLABELLED) -> QualityModel:
-    """df: documents with text, source, lang, n_chars and a label that is null where there is none. Learns from a bounded sample (see SAMPLE_PER_CLASS, SAMPLE_UNLABELLED)."""
-    rows = df.select(F.col(key).alias("key"), "text", "source", "lang", "n_chars", F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(-1).cast("int").alias("label"))
-    sample = bounded_sample(rows.filter("label >= 0"), "label", sample_per_class, "key", "quality").unionByName(bounded_sample(rows.filter("label < 0"), "label", sample_unlabelled, "key", "quality"))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample_per_class: int = SAMPLE_PER_CLASS, sample_unlabelled: int = SAMPLE_UNLABELLED) -> QualityModel:
+    """Learns from docs (key, text, source, lang, n_chars) and labels (key, label of 0 or 1): bounded samples of the labelled and the other
+    documents (see SAMPLE_PER_CLASS, SAMPLE_UNLABELLED); their keys are so few that they may be broadcast."""
+    known = one_label(labels, label, key)
+    free = docs.select(F.col(key).alias("key"), F.lit(-1).alias("label")).filter("key IS NOT NULL")
+    free = bounded_sample(free, "label", sample_unlabelled, "key", "quality").distinct().join(known.select("key"), "key", "left_anti")
+    keys = bounded_sample(known, "label", sample_per_class, "key", "quality").unionByName(free)
+    sample = docs.select(F.col(key).alias("key"), "text", "source", "lang", "n_chars").join(F.broadcast(keys), "key")
     got = sample.toPandas().sort_values(["key", "text"], kind="stable")
     if not len(got):
         return QualityModel()

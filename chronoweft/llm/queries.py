@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import language_id, ngram_join, piece_bpe, quality_cotraining, toxicity
+from chronoweft.llm import language_id, ngram_join, packing, piece_bpe, quality_cotraining, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -25,17 +25,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter("quality IS NOT NULL").dropDuplicates(["doc_id"])
-    model = quality_cotraining.fit(docs.filter(~held_out()).join(labels, "doc_id", "left"))
+    model = quality_cotraining.fit(docs.filter(~held_out()), _table(spark, sf_dir, "labels").filter(~held_out()))
     out = quality_cotraining.predict(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", "text_score", "metadata_score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.ToxicityModel:
     """Trained on the labelled rows of docs that aren't held out; the language of a text is predicted from the text."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL").dropDuplicates(["doc_id"])
     learned = docs.filter(~held_out())
-    return toxicity.fit(learned.select("doc_id", "text").join(labels, "doc_id"), language_id.fit(learned))
+    return toxicity.fit(learned, _table(spark, sf_dir, "labels").filter(~held_out()), language_id.fit(learned))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +46,15 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str, model: str | None = None) ->
     return piece_bpe.digests(_table(spark, sf_dir, "documents"), piece_bpe.read_model(model or public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def tokenizer_json(path: str | None = None) -> str:
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_json(tokenizer))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_of(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
         "op6_piece_bpe": op6_piece_bpe,
+        "op7_packing": op7_packing,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_join": op10_ngram_join,
     }

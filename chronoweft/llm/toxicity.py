@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_sample, map_batches, texts_of
+from chronoweft.llm.common import bounded_sample, map_batches, one_label, texts_of
 from chronoweft.llm.hashed_words import BUCKETS, FEATURES, WordIndex, WordVectors
 from chronoweft.llm.language_id import LanguageModel
 
@@ -181,10 +181,11 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[at] + below[at]) / 2)
 
 
-def fit(df: DataFrame, languages: LanguageModel, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
-    """Learns from the rows of df with a text and a label of 0 or 1; from a bounded sample of them (see SAMPLE_PER_CLASS)."""
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    got = bounded_sample(rows, "label", sample_per_class, "key", "toxicity").select("key", "text", "label").toPandas().sort_values(["key", "text"], kind="stable")
+def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
+    """Learns from docs (key, text) and labels (key, label of 0 or 1): a bounded sample of the labels (see SAMPLE_PER_CLASS), which is why it may be broadcast."""
+    sample = bounded_sample(one_label(labels, label, key), "label", sample_per_class, "key", "toxicity")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    got = rows.join(F.broadcast(sample), "key").select("key", "text", "label").toPandas().sort_values(["key", "text"], kind="stable")
     model = ToxicityModel(languages)
     model.train(got["text"].tolist(), got["label"].to_numpy(np.int64))
     return model

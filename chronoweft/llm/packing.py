@@ -172,7 +172,7 @@ def patterns(weight: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
         inverse[k] /= u[k]
         u[k] = 0
         inverse -= np.outer(u, inverse[k])
-        if step % 100 == 99:
+        if step % 1000 == 999:  # against rounding errors
             inverse = np.linalg.inv(columns)
             x = inverse @ demand
         x = np.maximum(x, 0)

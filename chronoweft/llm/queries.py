@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import language_id, ngram_join, packing, piece_bpe, quality_cotraining, toxicity
+from chronoweft.llm import fingerprints, language_id, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -55,6 +55,15 @@ def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_json(tokenizer))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_lines.verdicts(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_of(_table(spark, sf_dir, "documents"))
 
@@ -63,8 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
+        "op4_repeated_lines": op4_repeated_lines,
         "op6_piece_bpe": op6_piece_bpe,
         "op7_packing": op7_packing,
+        "op8_fingerprints": op8_fingerprints,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_join": op10_ngram_join,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import fingerprints, language_id, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, toxicity
+from chronoweft.llm import fingerprints, html_consensus, language_id, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -64,6 +64,11 @@ def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op5_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_consensus.extract(_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_of(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
         "op4_repeated_lines": op4_repeated_lines,
+        "op5_html_consensus": op5_html_consensus,
         "op6_piece_bpe": op6_piece_bpe,
         "op7_packing": op7_packing,
         "op8_fingerprints": op8_fingerprints,

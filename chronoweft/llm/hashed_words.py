@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 
@@ -39,7 +40,7 @@ class WordIndex(dict):
             self.rows.clear()
         split = [t.encode("utf-8", "replace").split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter((self[w] for ws in split for w in ws), np.int64, int(sizes.sum())), sizes
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes
 
 
 class WordVectors(WordIndex):

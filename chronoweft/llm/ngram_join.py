@@ -7,12 +7,12 @@ their sets of word 5-grams. It is exact; nothing is sampled or capped:
    gives one total order of n-grams for all documents: rare first, then by hash.
 2. Documents with equal sets are one class from the start (digest of the sorted hashes). Of each distinct set the
    prefix under that order is kept, so long that two similar sets share a member of their prefixes.
-3. Sets that share such an n-gram form a tile. A first pass over the tiles, in two rounds, only compares each set
-   with one other of its tile, and joins what is linked; in a large group of copies that leaves few classes.
+3. Sets that share such an n-gram form a tile. A first pass over the tiles only compares each set with two others
+   of its tile, and joins what is linked; in a large group of copies that leaves few classes.
 4. Tiles that still hold several classes are gone through in full, in order of size: a set is compared with those
    of other classes up to 1 / 0.8 times its size. Bitmap signatures (parity of hashed n-grams, as many bits as the
    size band needs) bound the overlap from above; what passes is put to the exact test.
-5. The exact test intersects the sorted arrays of hashes. Components come from label propagation in Spark.
+5. The exact test intersects the sorted arrays of hashes, which are only made for what passed the bound. Components come from label propagation in Spark.
 
 Cases: a null or empty text, or one of white space only, has no n-gram and links with nothing. A text with fewer
 than 5 words is one n-gram. Rows that share an id are one node: it links if any
@@ -38,7 +38,9 @@ SHARE_NUM, SHARE_DEN = 80, 100
 WIDTH = 5
 #: Counters for frequent n-grams: 2 ** COUNTER_BITS, in chunks of 2 ** 16.
 COUNTER_BITS = 22
-_FLAG_BITS = 23
+_MOST_FLAG_BITS = 26
+#: Bits of a hash that name a tile; sets that meet in one by chance are told apart by the tests.
+_TILE_BITS = 40
 _CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -53,13 +55,18 @@ class _WordHashes(dict):
 
 def shingle_hashes(text: str | None, cache: dict | None = None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's 5-word n-grams (of the whole word sequence, if it is shorter)."""
+    return np.unique(_all_hashes(text, cache))
+
+
+def _all_hashes(text: str | None, cache: dict | None = None) -> np.ndarray:
+    """The hashes in text order, repeated ones too."""
     if not text:
         return np.zeros(0, np.uint64)
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
     cache = _WordHashes() if cache is None else cache
-    h = np.fromiter((cache[w] for w in words), np.uint64, len(words))
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     n = max(len(h) - WIDTH + 1, 1)
     mixed = np.full(n, min(len(h), WIDTH), np.uint64)
     for k in range(min(WIDTH, len(h))):
@@ -67,7 +74,7 @@ def shingle_hashes(text: str | None, cache: dict | None = None) -> np.ndarray:
         mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return mixed
 
 
 def _rarely(order: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -118,15 +125,28 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """One bit for each counter: whether clearly more documents than the mean have its n-grams. Every document counts."""
+    """One bit for each counter: whether its n-grams occur clearly more often than the mean. Every document counts."""
     chunk = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cache = np.zeros(1 << COUNTER_BITS, np.uint32), _WordHashes()
+        total, cache, held, n = np.zeros(1 << COUNTER_BITS, np.int64), _WordHashes(), [], 0
+
+        def flush() -> None:
+            nonlocal n
+            if n > 1 << COUNTER_BITS - 4:
+                total[:] += np.bincount(np.concatenate(held), minlength=1 << COUNTER_BITS)
+            elif n:
+                np.add.at(total, np.concatenate(held), 1)
+            held.clear()
+            n = 0
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = shingle_hashes(text, cache)
-                np.add.at(total, (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+            for text in batch.column(0):
+                held.append((_all_hashes(text.as_py(), cache) >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
+                n += len(held[-1])
+                if n > 1 << COUNTER_BITS:
+                    flush()
+        flush()
         rows = []
         for c in range(len(total) // chunk):
             part = total[c * chunk : (c + 1) * chunk]
@@ -160,122 +180,137 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _flags(ids: DataFrame) -> np.ndarray:
-    """Bits of a fixed number for a column `id`: which hashes occur. Others than those asked for may pass."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << _FLAG_BITS))
-    words = ids.select(F.shiftright(h, 5).alias("w"), F.expr("1L << cast(pmod(pmod(xxhash64(id), %d), 32) as int)" % (1 << _FLAG_BITS)).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    """Bits for a column `id`: which hashes occur; some 32 for each id, of a bounded number. A few ids that weren't asked for pass, never the reverse."""
+    bits = 1 << max(16, min(_MOST_FLAG_BITS, (32 * ids.count()).bit_length()))
+    h = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(F.shiftright(h, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(id), {bits}), 32) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     got = words.toPandas()
-    out = np.zeros(1 << _FLAG_BITS >> 5, np.uint32)
+    out = np.zeros(bits >> 5, np.uint32)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def _flag_column(flags: np.ndarray):
+    return F.pmod(F.xxhash64("id"), F.lit(len(flags) << 5)).alias("flag")
+
+
+def _flagged(flags: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    return (flags[flag >> 5] >> (flag & 31).astype(np.uint32) & 1).astype(bool)
 
 
 def sets_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, n, digest, prefix) of each row of docs (id, text)."""
+    """(id, n, digest, signature, prefix) of each row of docs (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         cache = _WordHashes()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, digest, prefix = [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingle_hashes(text, cache)
+            n, digest, signature, prefix = [], [], [], []
+            for text in batch.column("text"):
+                h = shingle_hashes(text.as_py(), cache)
                 n.append(len(h))
+                signature.append(bitmap(h).tobytes() if len(h) else None)
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                prefix.append(_signed(_rarely(h, shared.value)[: prefix_length(len(h))]) if len(h) else None)
-            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "digest", "prefix"])
+                prefix.append((_rarely(h, shared.value)[: prefix_length(len(h))] >> np.uint64(64 - _TILE_BITS)).astype(np.int64) if len(h) else None)
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "digest", "signature", "prefix"])
 
         return one
 
-    return map_batches(docs, make, "id long, n long, digest binary, prefix array<long>")
+    return map_batches(docs, make, "id long, n long, digest binary, signature binary, prefix array<long>")
 
 
-def _shared_tiles(entries: DataFrame) -> DataFrame:
-    """entries (h, id, n) of the tiles that hold two sets or more, with the first and last of the tile as partners."""
+def _entries(sets: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h, id): the prefixes of one document of each distinct set, and of a few of its copies."""
+    flags = _flags(distinct.select("id"))
+    shared = sets.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
+        for batch in batches:
+            part = batch.filter(pa.array(_flagged(shared.value, batch.column("flag").to_numpy())))
+            prefix = part.column("prefix")
+            n = np.diff(prefix.offsets.to_numpy()) if len(prefix) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([prefix.flatten(), pa.array(np.repeat(part.column("id").to_numpy(), n))], ["h", "id"])
+
+    return sets.filter("n > 0").select("id", _flag_column(flags), "prefix").mapInArrow(run, "h long, id long")
+
 
-        def tiles(h: np.ndarray, i: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            sizes = np.diff(np.append(starts, len(h)))
-            keep = np.repeat(sizes > 1, sizes)
-            first, last = np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)
-            if not keep.any():
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, i, n, i[first], n[first], i[last], n[last])], ["h", "id", "n", "first", "first_n", "last", "last_n"])
+def _shared_tiles(entries: DataFrame) -> DataFrame:
+    """entries (h, id) of the tiles that hold two sets or more, with the first and last of the tile as partners."""
+
+    def tiles(h: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+        sizes = np.diff(np.append(starts, len(h)))
+        keep = np.repeat(sizes > 1, sizes)
+        first, last = np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, i, i[first], i[last])], ["h", "id", "first", "last"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[list[np.ndarray]] = []
         held = 0
         for batch in batches:
-            part = [batch.column(k).to_numpy() for k in range(3)]
-            rest.append(part)
+            rest.append([batch.column(k).to_numpy() for k in range(2)])
             held += batch.num_rows
             if held < 1 << 18:
                 continue
-            h, i, n = (np.concatenate(x) for x in zip(*rest, strict=True))
+            h, i = (np.concatenate(x) for x in zip(*rest, strict=True))
             cut = int(np.searchsorted(h, h[-1]))  # the last tile may go on
             if cut:
-                out = tiles(h[:cut], i[:cut], n[:cut])
-                if out is not None:
-                    yield out
-            rest, held = [[h[cut:], i[cut:], n[cut:]]], 0
+                yield tiles(h[:cut], i[:cut])
+            rest, held = [[h[cut:], i[cut:]]], 0
         if rest:
-            h, i, n = (np.concatenate(x) for x in zip(*rest, strict=True))
-            if len(h) and (out := tiles(h, i, n)) is not None:
-                yield out
+            yield tiles(*(np.concatenate(x) for x in zip(*rest, strict=True)))
 
-    dealt = entries.repartition("h").sortWithinPartitions("h", "n", "id")
-    return dealt.mapInArrow(run, "h long, id long, n long, first long, first_n long, last long, last_n long")
+    return entries.repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, "h long, id long, first long, last long")
 
 
 def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, signature, hashes) of the documents whose id is in ids, and of a few others. One row an id."""
-    shared = docs.sparkSession.sparkContext.broadcast(_flags(ids))
-    marked = docs.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << _FLAG_BITS)).alias("flag"), "text")
+    """(id, hashes) of the documents whose id is in ids, and of a few others."""
+    flags = _flags(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
+    marked = docs.select("id", _flag_column(flags), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, cache = shared.value, _WordHashes()
+        cache = _WordHashes()
         for batch in batches:
-            flag = batch.column("flag").to_numpy()
-            rows = np.flatnonzero(flags[flag >> 5] >> (flag & 31).astype(np.uint32) & 1)
+            rows = np.flatnonzero(_flagged(shared.value, batch.column("flag").to_numpy()))
             for part in np.array_split(rows, len(rows) // 256 + 1):
-                h = [shingle_hashes(batch.column("text")[int(k)].as_py(), cache) for k in part]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(part)), pa.array([len(x) for x in h], pa.int64()), pa.array([bitmap(x).tobytes() for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], ["id", "n", "signature", "hashes"])
+                h = [shingle_hashes(batch.column("text")[int(k)].as_py(), cache).tobytes() for k in part]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(part, pa.int64())), pa.array(h, pa.binary())], ["id", "hashes"])
 
-    return marked.mapInArrow(run, "id long, n long, signature binary, hashes binary")
+    return marked.mapInArrow(run, "id long, hashes binary")
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: bitmap bound first, exact intersection after."""
+def _near(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow to be linked."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, sa, sb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb"))
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             keep = []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(sa[k], np.uint8), np.frombuffer(sb[k], np.uint8)
+            for k, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
                 size = min(len(x), len(y))
-                keep.append(bool(may_link(na[k], folded(x, size), np.array([nb[k]]), folded(y, size)[None])[0]))
+                a, b = (folded(np.frombuffer(v, np.uint8), size) for v in (x, y))
+                keep.append(bool(may_link(int(na[k]), a, nb[k : k + 1], b[None])[0]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    of = lambda side: signatures.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").filter(SHARE_DEN * F.least("na", "nb") >= SHARE_NUM * F.greatest("na", "nb"))
+    return materialize(sized.mapInArrow(bound, "a long, b long").distinct(), "join-near")
+
+
+def _verified(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked, by intersection of the sorted arrays of hashes, which are made anew for these documents only."""
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column("ha").to_pylist(), part.column("hb").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    small = arrays.select("id", "n", "signature")
-    left = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-    near = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a long, b long"), "join-near")
-    left = arrays.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    right = arrays.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    return materialize(near.join(left, "a").join(right, "b").mapInArrow(exact, "a long, b long"), "join-links")
+    members = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    arrays = materialize(_arrays(docs, members), "join-arrays")
+    of = lambda side: arrays.select(F.col("id").alias(side), F.col("hashes").alias(f"h{side}"))
+    return materialize(near.join(of("a"), "a").join(of("b"), "b").mapInArrow(exact, "a long, b long").distinct(), "join-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,9 +328,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(tiles: DataFrame, arrays: DataFrame, classes: DataFrame) -> DataFrame:
+def _cross_pairs(tiles: DataFrame, signatures: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different classes within a tile whose sizes and bitmaps allow a link; every tile in full, in order of size."""
-    held = tiles.select("h", "id").join(arrays.select("id", "n", "signature"), "id").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = tiles.select("h", "id").join(signatures, "id").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = held.repartition("h").sortWithinPartitions("h", "n", "id").select("h", "id", "n", "component", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,37 +380,20 @@ def classes_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sets = materialize(sets_of(docs, _frequent(docs)), "join-sets")
     distinct = materialize(sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id")), "join-distinct")
-    own = sets.filter("n > 0").select("id", "n", "prefix").join(distinct.select("id"), "id", "left_semi")
-    entries = own.select(F.explode("prefix").alias("h"), "id", "n")
-    tiles = materialize(_shared_tiles(entries), "join-tiles")
-    members = tiles.select("id").distinct()
-    arrays = materialize(_arrays(docs, members).join(members, "id", "left_semi"), "join-arrays")
-    reach = lambda n: F.least("n", n) * SHARE_DEN >= F.greatest("n", n) * SHARE_NUM
-    links = None
-    classes = None
-    for partner in ("first", "last"):
-        own_tiles = tiles.filter((F.col("id") != F.col(partner)) & reach(F.col(f"{partner}_n")))
-        pairs = own_tiles.select(F.least("id", partner).alias("a"), F.greatest("id", partner).alias("b")).distinct()
-        if classes is not None:
-            pairs = _apart(pairs, classes)
-        found = _verified(pairs, arrays)
-        links = found if links is None else links.unionByName(found)
-        classes = components(links)
+    signatures = sets.filter("n > 0").select("id", "n", "signature")
+    tiles = materialize(_shared_tiles(_entries(sets, distinct)), "join-tiles")
+    stars = [tiles.filter(F.col("id") != F.col(p)).select(F.least("id", p).alias("a"), F.greatest("id", p).alias("b")) for p in ("first", "last")]
+    links = _verified(_near(stars[0].unionByName(stars[1]).distinct(), signatures), docs)
+    classes = components(links)
     spans = tiles.select("h", "id").join(classes, "id", "left").select("h", F.coalesce("component", "id").alias("c"))
     several = spans.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("h")
-    left = tiles.select("h", "id").join(several, "h", "left_semi")
-    cross = materialize(_cross_pairs(left, arrays, classes).distinct(), "join-cross")
-    classes = components(links.unionByName(_verified(_apart(cross, classes), arrays)))
+    open_tiles = tiles.select("h", "id").distinct().join(several, "h", "left_semi")
+    cross = materialize(_cross_pairs(open_tiles, signatures, classes).distinct(), "join-cross")
+    classes = components(links.unionByName(_verified(cross, docs)))
     named = distinct.join(classes, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return sets.select("id", "n", "digest").join(named, "digest", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs whose classes differ."""
-    of = lambda side: classes.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def keep_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df with the smallest key of each class only; the same columns."""
     kept = classes_of(df, text, key).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()

@@ -72,7 +72,7 @@ def _measured(text: str, numbers: _Numbers) -> tuple[int, int, int, int, int, li
     data = text.encode("utf-8", "surrogatepass")
     split = data.split()
     chars = len(b"".join(split).decode("utf-8", "surrogatepass"))
-    ids = np.fromiter((numbers[w] for w in split), np.int64, len(split))
+    ids = np.fromiter(map(numbers.__getitem__, split), np.int64, len(split))
     seen: set[bytes] = set()
     lines: dict[int, int] = {}
     again = 0

@@ -27,5 +27,21 @@ FROM j
 """
 
 
+OP3 = """
+WITH u AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+a AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),
+p AS (SELECT *, CAST(turn AS BIGINT) - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM u),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM p),
+c AS (SELECT coalesce(l.conv_id, a.conv_id) AS conv_id, coalesce(l.turn, a.turn) AS turn, 'call-' || coalesce(l.conv_id, a.conv_id) || '-' || coalesce(l.turn, a.turn - 1) AS call_id,
+  l.conv_id IS NOT NULL AS called, a.conv_id IS NOT NULL AS answered, level, l.text AS query, a.text AS result, l.turn AS call_turn
+  FROM l FULL JOIN a ON l.conv_id = a.conv_id AND l.turn = a.turn - 1),
+e AS (SELECT *, CASE WHEN NOT called THEN 'no call' WHEN query IS NULL THEN 'query: missing' WHEN length(query) < 1 THEN 'query: too short' WHEN length(query) > 400 THEN 'query: too long' ELSE '' END AS errors FROM c)
+SELECT conv_id, turn, call_id, CASE WHEN NOT called THEN 'orphan' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, level, errors = '' AS valid, errors,
+  '{"arguments":' || CASE WHEN called THEN '{' || CASE WHEN query IS NULL THEN '' ELSE '"query":' || CAST(to_json(query) AS VARCHAR) || ',' END || '"turn":' || call_turn || '}' ELSE 'null' END
+  || ',"id":"' || call_id || '","name":' || CASE WHEN called THEN '"answer"' ELSE 'null' END || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS json
+FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_repeated_lines": OP4}
+    return {"op3_tool_calls": OP3, "op4_repeated_lines": OP4}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import fingerprints, html_consensus, language_id, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, toxicity
+from chronoweft.llm import fingerprints, html_consensus, language_id, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, tool_calls, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -69,6 +69,11 @@ def op5_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return tool_calls.link(tool_calls.calls_of_turns(turns), tool_calls.results_of_turns(turns), tool_calls.TURN_SCHEMAS)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_of(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
+        "op3_tool_calls": op3_tool_calls,
         "op4_repeated_lines": op4_repeated_lines,
         "op5_html_consensus": op5_html_consensus,
         "op6_piece_bpe": op6_piece_bpe,

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,11 @@ MOST_WASTE = 0.01
 SALTS = 64
 #: Sequence ids from here on belong to full pieces.
 _FULL = 1 << 44
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
+
+
+#: A run of Latin-1 letters and one of ASCII punctuation: such words need no Unicode normalisation, and the tokenizer cuts them between the runs.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*#$%&|()]*)", re.ASCII)
 
 
 class WordIds(dict):
@@ -46,37 +51,42 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark = next(iter(self.tokenizer.get_added_tokens_decoder().items()), None)
-        self.hostile = re.compile(b"|".join(map(re.escape, self.special))) if self.special else None
-
-    def add(self, words: set[bytes]) -> None:
-        """Encodes new words; many at once, with a special token between any two."""
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        # The model sees bytes as printable characters: those that aren't printable follow after the first 256.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.plain = all(self._of_model(w) == self._ids(w) for w in ("a", "the", "\u00e9t\u00e9", "stra\u00dfe", "!", "&&&"))
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > _CACHE_WORDS:
             self.clear()
-        plain = []
-        for w in words:
-            if self.hostile is None or self.hostile.search(w):
-                self[w] = self._ids(w.decode("utf-8", "replace"))
-            else:
-                plain.append(w)
-        mark, content = self.mark or (None, None)
-        for s in range(0, len(plain), 512):
-            part = plain[s : s + 512]
-            ids = np.array(self.tokenizer.encode(f" {content.content} ".join(w.decode("utf-8", "replace") for w in part), add_special_tokens=False).ids, "<u4")
-            pieces = np.split(ids, np.flatnonzero(ids == mark))
-            for k, (w, piece) in enumerate(zip(part, pieces, strict=True)):
-                self[w] = piece[k > 0 :].tobytes()
+            self.parts.clear()
+        text = word.decode("utf-8", "replace")
+        found = _PLAIN.fullmatch(text) if self.plain else None
+        if found is None:
+            ids = self._ids(text)
+        else:
+            ids = self._part(found[1].lower()) + self._part(found[2]) if found[2] else self._part(found[1].lower())
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = self._of_model(part)
+        return ids
+
+    def _of_model(self, part: str) -> bytes:
+        """The model's ids of one pre-token, without the tokenizer's normalisation around it."""
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            self.add({w for w in words if w not in self})
-            return b"".join([self[w] if w in self else self._ids(w.decode("utf-8", "replace")) for w in words])
+        return b"".join(map(self.__getitem__, words))
 
 
 _words: dict[int, WordIds] = {}
@@ -100,12 +110,8 @@ def lengths_and_checksums(df: DataFrame, tokenizer_json: str, end_id: int, text:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, full, rest, grid = [], [], [], []
-            split = [(t or "").encode("utf-8", "replace").split() for t in batch.column("text").to_pylist()]
-            new = {w for ws in split for w in ws if w not in words}
-            if new:
-                words.add(new)
-            for ws in split:
-                ids = words.encode(ws) + end
+            for text in batch.column("text"):
+                ids = words.encode((text.as_py() or "").encode("utf-8", "replace").split()) + end
                 count = len(ids) // 4
                 cut = count // CAPACITY * CAPACITY * 4
                 n.append(count)

@@ -30,7 +30,7 @@ SALTS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 60_000
 
 
 class _Numbers(dict):

@@ -1 +1,65 @@
-"""Queries."""
+"""Queries over order-dependent choices. Their SQL uses recursive tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronoweft.operators import greedy
+from chronoweft.plans.registry import query
+from chronoweft.plans.views import SEGMENTS, SPANS, UNITS, segments, spans, units
+
+_DAY = 86_400_000
+
+
+@query("cooldown", f"""WITH RECURSIVE {UNITS}, n AS (SELECT source, id, start, row_number() OVER (PARTITION BY source ORDER BY start, id) AS k FROM u),
+r AS (SELECT source, k, id, start, start AS last, TRUE AS took, 1 AS n FROM n WHERE k = 1
+ UNION ALL SELECT n.source, n.k, n.id, n.start, CASE WHEN n.start - r.last >= {_DAY} AND r.n < 8 THEN n.start ELSE r.last END, n.start - r.last >= {_DAY} AND r.n < 8, r.n + CASE WHEN n.start - r.last >= {_DAY} AND r.n < 8 THEN 1 ELSE 0 END
+ FROM r JOIN n ON n.source = r.source AND n.k = r.k + 1)
+SELECT source, id, start FROM r WHERE took""")
+def cooldown(spark, sf_dir):
+    rows = units(spark, sf_dir).select("source", "id", "start")
+    return greedy.cooldown(rows, ["source"], "start", _DAY, ["id"], 8)
+
+
+@query("spaced_boundaries", f"""WITH RECURSIVE {SPANS}, p AS (SELECT DISTINCT source, start AS t FROM x WHERE flag = 'R' AND start > 0 AND start < 2700000), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t) AS k FROM p),
+r AS (SELECT source, k, t, CASE WHEN t >= 5000 THEN t ELSE 0 END AS last, t >= 5000 AS took FROM n WHERE k = 1
+ UNION ALL SELECT n.source, n.k, n.t, CASE WHEN n.t - r.last >= 5000 THEN n.t ELSE r.last END, n.t - r.last >= 5000 FROM r JOIN n ON n.source = r.source AND n.k = r.k + 1),
+e AS (SELECT source, t, max(t) OVER (PARTITION BY source) AS final FROM r WHERE took) SELECT source, t AS "at" FROM e WHERE NOT (t = final AND 2700000 - t < 5000)""")
+def spaced_boundaries(spark, sf_dir):
+    rows = spans(spark, sf_dir)
+    lengths = rows.select("source").distinct().withColumn("duration", F.lit(2_700_000).cast("long"))
+    return greedy.spaced(rows.filter("flag = 'R'").select("source", F.col("start").alias("at")).distinct(), lengths, ["source"], 5000)
+
+
+@query("packed_units", f"""WITH RECURSIVE {SEGMENTS}, n AS (SELECT source, id, length(text) AS z, row_number() OVER (PARTITION BY source ORDER BY id) AS k FROM s),
+r AS (SELECT source, k, id, z AS held, 0 AS pack FROM n WHERE k = 1 UNION ALL SELECT n.source, n.k, n.id, CASE WHEN r.held > 0 AND r.held + n.z > 1500 THEN n.z ELSE r.held + n.z END, r.pack + CASE WHEN r.held > 0 AND r.held + n.z > 1500 THEN 1 ELSE 0 END
+ FROM r JOIN n ON n.source = r.source AND n.k = r.k + 1) SELECT source, id, pack FROM r""")
+def packed_units(spark, sf_dir):
+    return greedy.packed(segments(spark, sf_dir).select("source", "id", "text"), ["source"], ["id"], F.length("text"), 1500).select("source", "id", "pack")
+
+
+@query("segment_windows", f"""WITH {SEGMENTS}, n AS (SELECT source, start, "end", CAST(row_number() OVER (PARTITION BY source ORDER BY start, "end") AS INTEGER) AS k FROM s)
+SELECT a.source, a.k AS first, b.k AS last, a.start, b."end" FROM n a JOIN n b ON a.source = b.source AND b.k >= a.k WHERE b."end" - a.start BETWEEN 20000 AND 90000""")
+def segment_windows(spark, sf_dir):
+    return greedy.windows(segments(spark, sf_dir), ["source"], 20_000, 90_000)
+
+
+_NMS = f"""{UNITS}, n AS (SELECT source, id, start, "end", "end" - start AS score, row_number() OVER (PARTITION BY source ORDER BY "end" - start DESC, start, id) AS k FROM u)"""
+
+
+@query("overlap_suppression", f"""WITH RECURSIVE {_NMS}, r AS (SELECT source, k, id, [id] AS kept, [start] AS ss, ["end"] AS es, TRUE AS took FROM n WHERE k = 1
+ UNION ALL SELECT source, k, id, CASE WHEN ok THEN list_append(kept, id) ELSE kept END, CASE WHEN ok THEN list_append(ss, start) ELSE ss END, CASE WHEN ok THEN list_append(es, "end") ELSE es END, ok
+ FROM (SELECT n.source, n.k, n.id, n.start, n."end", r.kept, r.ss, r.es, len([1 FOR i IN range(1, len(r.ss) + 1) IF greatest(0, least(n."end", r.es[i]) - greatest(n.start, r.ss[i])) > 0.5 * greatest(least(n."end" - n.start, r.es[i] - r.ss[i]), 1e-9)]) = 0 AS ok
+  FROM r JOIN n ON n.source = r.source AND n.k = r.k + 1))
+SELECT source, id FROM r WHERE took""")
+def overlap_suppression(spark, sf_dir):
+    rows = units(spark, sf_dir).select("source", "id", "start", "end", (F.col("end") - F.col("start")).alias("score"))
+    return greedy.suppressed(rows, ["source"], 0.5).select("source", "id")
+
+
+@query("emphasis_schedule", f"""WITH RECURSIVE {_NMS}, r AS (SELECT source, k, id, [start] AS ss, TRUE AS took FROM n WHERE k = 1
+ UNION ALL SELECT source, k, id, CASE WHEN ok THEN list_append(ss, start) ELSE ss END, ok FROM (SELECT n.source, n.k, n.id, n.start, r.ss, len(r.ss) < 12 AND len([1 FOR x IN r.ss IF abs(x - n.start) < {_DAY}]) = 0 AS ok FROM r JOIN n ON n.source = r.source AND n.k = r.k + 1))
+SELECT source, id FROM r WHERE took""")
+def emphasis_schedule(spark, sf_dir):
+    rows = units(spark, sf_dir).select("source", "id", F.col("start").alias("at"), (F.col("end") - F.col("start")).alias("score"))
+    return greedy.emphasis(rows, ["source"], _DAY, 12).select("source", "id")

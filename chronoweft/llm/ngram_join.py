@@ -12,7 +12,8 @@ their sets of word 5-grams. It is exact; nothing is sampled or capped:
 4. Tiles that still hold several classes are gone through in full, in order of size: a set is compared with those
    of other classes up to 1 / 0.8 times its size. Bitmap signatures (parity of hashed n-grams, as many bits as the
    size band needs) bound the overlap from above; what passes is put to the exact test.
-5. The exact test intersects the sorted arrays of hashes, which are only made for what passed the bound. Components come from label propagation in Spark.
+5. The exact test intersects the sorted arrays of hashes, which are only made for what passed the bound, and passes that
+   of a longer bitmap; 40 bits of each hash are kept for it. Components come from label propagation in Spark.
 
 Cases: a null or empty text, or one of white space only, has no n-gram and links with nothing. A text with fewer
 than 5 words is one n-gram. Rows that share an id are one node: it links if any
@@ -41,6 +42,8 @@ COUNTER_BITS = 22
 _MOST_FLAG_BITS = 26
 #: Bits of a hash that name a tile; sets that meet in one by chance are told apart by the tests.
 _TILE_BITS = 40
+#: How much longer the signatures are that a pair must pass before its arrays are compared.
+WIDER = 8
 _CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -94,9 +97,9 @@ def bitmap_bits(n: int) -> int:
     return max(64, 1 << (n - 1).bit_length()) if n else 64
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
+def bitmap(hashes: np.ndarray, wider: int = 1) -> np.ndarray:
     """Parity signature: how often each bit is hashed to, modulo 2. Halves combine by XOR into the one of half the bits."""
-    bits = bitmap_bits(len(hashes))
+    bits = bitmap_bits(len(hashes)) * wider
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -115,6 +118,17 @@ def may_link(n: int, signature: np.ndarray, sizes: np.ndarray, signatures: np.nd
     return SHARE_DEN * overlap >= SHARE_NUM * (n + sizes - overlap)
 
 
+def packed_array(hashes: np.ndarray) -> bytes:
+    """The sorted hashes as _TILE_BITS bits each, big-endian: what is moved for the exact test."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : _TILE_BITS // 8].tobytes()
+
+
+def unpacked_array(data: bytes) -> np.ndarray:
+    rows = np.zeros((len(data) * 8 // _TILE_BITS, 8), np.uint8)
+    rows[:, : _TILE_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, _TILE_BITS // 8)
+    return rows.view(">u8").ravel().astype(np.uint64)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test on sorted arrays."""
     if SHARE_NUM * max(len(a), len(b)) > SHARE_DEN * min(len(a), len(b)) or not len(a):
@@ -265,7 +279,7 @@ def _shared_tiles(entries: DataFrame) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, hashes) of the documents whose id is in ids, and of a few others."""
+    """(id, n, signature, hashes) of the documents whose id is in ids, and of a few others; the signature is WIDER times as long as that of the sets."""
     flags = _flags(ids)
     shared = docs.sparkSession.sparkContext.broadcast(flags)
     marked = docs.select("id", _flag_column(flags), "text")
@@ -275,10 +289,11 @@ def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             rows = np.flatnonzero(_flagged(shared.value, batch.column("flag").to_numpy()))
             for part in np.array_split(rows, len(rows) // 256 + 1):
-                h = [shingle_hashes(batch.column("text")[int(k)].as_py(), cache).tobytes() for k in part]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(part, pa.int64())), pa.array(h, pa.binary())], ["id", "hashes"])
+                h = [shingle_hashes(batch.column("text")[int(k)].as_py(), cache) for k in part]
+                columns = [pa.array([len(x) for x in h], pa.int64()), pa.array([bitmap(x, WIDER).tobytes() for x in h], pa.binary()), pa.array([packed_array(x) for x in h], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(part, pa.int64())), *columns], ["id", "n", "signature", "hashes"])
 
-    return marked.mapInArrow(run, "id long, hashes binary")
+    return marked.mapInArrow(run, "id long, n long, signature binary, hashes binary")
 
 
 def _near(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -304,11 +319,12 @@ def _verified(near: DataFrame, docs: DataFrame) -> DataFrame:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True)]
+            keep = [linked(unpacked_array(x.as_py()), unpacked_array(y.as_py())) for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     members = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     arrays = materialize(_arrays(docs, members), "join-arrays")
+    near = _near(near, arrays.select("id", "n", "signature"))
     of = lambda side: arrays.select(F.col("id").alias(side), F.col("hashes").alias(f"h{side}"))
     return materialize(near.join(of("a"), "a").join(of("b"), "b").mapInArrow(exact, "a long, b long").distinct(), "join-links")
 

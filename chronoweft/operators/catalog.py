@@ -53,14 +53,14 @@ def first_class(tokens: Column, rules: Mapping[str, Sequence[str]], default: str
     return out
 
 
-def recommended(catalog: DataFrame, terms: Sequence[str], name: str, tags: str, length: str, target: float, limit: int) -> DataFrame:
+def recommended(catalog: DataFrame, terms: Sequence[str], name: str, tags: str, length: str, target: float, limit: int, tie: Sequence[str] = ()) -> DataFrame:
     """The `limit` best rows: 3 for a term in the name, 2 for one among the tags, and up to 1 for a length near the target. Ties: nearer length, then name."""
     score = F.lit(0.0)
     for t in terms:
         score = score + F.when(F.contains(F.lower(F.col(name)), F.lit(t)), 3.0).otherwise(0.0) + F.when(F.exists(F.col(tags), lambda x: F.lower(x) == t), 2.0).otherwise(0.0)
     delta = F.abs(F.col(length) - target)
     score = score + F.greatest(F.lit(0.0), 1 - delta / target)
-    return catalog.withColumn("score", score).withColumn("delta", delta).filter("score > 0").orderBy(F.desc("score"), "delta", name).limit(limit)
+    return catalog.withColumn("score", score).withColumn("delta", delta).filter("score > 0").orderBy(F.desc("score"), "delta", name, *tie).limit(limit)
 
 
 def best_of_each(rows: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:

@@ -113,3 +113,106 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Callable[
         return pd.DataFrame([f for f in found if f is not None], columns=names)
 
     return df.groupBy(*by).applyInPandas(run, schema)
+
+
+def phrases(units: DataFrame, by: Sequence[str], break_gap: float, most_chars: int) -> DataFrame:
+    """units (by, id, start, end, speaker, text) in order of start, end and id with the phrase each is in: a new one begins after a gap of
+    break_gap, with another speaker (unless the phrase has several already), or where the text would be longer than most_chars."""
+
+    def step(state: dict, row: object) -> tuple:
+        speakers, chars, end = state.get("speakers", set()), state.get("chars", 0), state.get("end")
+        other = len(speakers) == 1 and row.speaker and row.speaker not in speakers
+        if end is not None and (row.start - end >= break_gap or other or most_chars and chars + len(row.text or "") + 1 > most_chars):
+            speakers, chars, state["phrase"] = set(), 0, state["phrase"] + 1
+        state["speakers"] = speakers | ({row.speaker} if row.speaker else set())
+        state["chars"] = chars + len(row.text or "") + (1 if chars else 0)
+        state["end"] = row.end
+        state.setdefault("phrase", 1)
+        return (*(getattr(row, k) for k in by), row.id, state["phrase"])
+
+    keys = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in by)
+    return scan(units, by, ["start", "end", "id"], step, f"{keys}, id {units.schema['id'].dataType.simpleString()}, phrase int")
+
+
+def _iou(a: Sequence[float], b: Sequence[float]) -> float:
+    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    area = lambda r: max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
+    return both / (area(a) + area(b) - both) if both > 0 else 0.0
+
+
+def tracks(boxes: DataFrame, by: Sequence[str], diagonal: float, max_gap: float, least_iou: float, least_score: float = 0.42) -> DataFrame:
+    """boxes (by, id, label, at, x1, y1, x2, y2) in order of at and id with the track of each.
+
+    A box joins the track of its label that was seen at most max_gap before and fits best: overlap with its last box, plus 0.35 for a near centre
+    and 0.15 for a like area. It begins a track where neither the overlap nor the score suffices. Each label of a timeline is one scan.
+    """
+
+    def step(state: dict, row: object) -> tuple:
+        box = (row.x1, row.y1, row.x2, row.y2)
+        centre = lambda r: ((r[0] + r[2]) / 2, (r[1] + r[3]) / 2)
+        area = lambda r: max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
+        best, score = None, -1.0
+        for number, (last_at, last) in state.items():
+            if not -0.001 <= row.at - last_at <= max_gap:
+                continue
+            (ax, ay), (bx, by_) = centre(box), centre(last)
+            near = max(0.0, 1 - ((ax - bx) ** 2 + (ay - by_) ** 2) ** 0.5 / max(diagonal * 0.18, 1.0))
+            like = min(area(box), area(last)) / max(area(box), area(last), 1.0)
+            got = _iou(box, last) + 0.35 * near + 0.15 * like
+            if got > score:
+                best, score = number, got
+        if best is None or (_iou(box, state[best][1]) < least_iou and score < least_score):
+            best = len(state) + 1
+        state[best] = (row.at, box)
+        return (*(getattr(row, k) for k in by), row.label, row.id, best)
+
+    keys = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in by)
+    return scan(boxes, [*by, "label"], ["at", "id"], step, f"{keys}, label {boxes.schema['label'].dataType.simpleString()}, id {boxes.schema['id'].dataType.simpleString()}, track int")
+
+
+def merged_boxes(boxes: DataFrame, by: Sequence[str], least_iou: float = 0.7) -> DataFrame:
+    """(by, label, start, end, x1, y1, x2, y2, n): boxes with times, each merged into the first box of its label so far that it overlaps in time and by least_iou; that one grows."""
+    names = ["start", "end", "x1", "y1", "x2", "y2"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[list] = []
+        for r in rows.sort_values(["start", "end", "x1", "y1"]).itertuples(index=False):
+            box = [r.start, r.end, r.x1, r.y1, r.x2, r.y2]
+            into = next((k for k in kept if min(k[1], box[1]) > max(k[0], box[0]) and _iou(k[2:6], box[2:6]) >= least_iou), None)
+            if into is None:
+                kept.append([*box, 1])
+            else:
+                into[0], into[2], into[3] = (min(into[i], box[i]) for i in (0, 2, 3))
+                into[1], into[4], into[5] = (max(into[i], box[i]) for i in (1, 4, 5))
+                into[6] += 1
+        out = pd.DataFrame(kept, columns=[*names, "n"])
+        for k in [*by, "label"]:
+            out[k] = rows[k].iloc[0]
+        return out[[*by, "label", *names, "n"]]
+
+    keys = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in [*by, "label"])
+    values = ", ".join(f"{n} {boxes.schema[n].dataType.simpleString()}" for n in names)
+    return boxes.groupBy(*by, "label").applyInPandas(run, f"{keys}, {values}, n long")
+
+
+def adjacent_repeats(segments: DataFrame, by: Sequence[str], threshold: float = 0.88, max_gap: float = 2500, least_chars: int = 6) -> DataFrame:
+    """(by, id, keep, score): segments (by, id, start, end, normal) that repeat the last surviving one, or that are repeated by a later one that is at least 1.15 times as long."""
+    from difflib import SequenceMatcher
+
+    def step(state: dict, row: object) -> tuple | None:
+        before, state["last"] = state.get("last"), row
+        if before is None or len(row.normal or "") < least_chars or len(before.normal or "") < least_chars or row.start - before.end > max_gap:
+            return None
+        a, b = before.normal, row.normal
+        inside = min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else 0.0
+        score = max(SequenceMatcher(None, a, b).ratio(), inside)
+        if score < threshold:
+            return None
+        longer = len(b) >= 1.15 * len(a)
+        gone, kept = (before, row) if longer else (row, before)
+        state["last"] = kept
+        return (*(getattr(row, k) for k in by), gone.id, kept.id, score)
+
+    keys = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in by)
+    kind = segments.schema["id"].dataType.simpleString()
+    return scan(segments, by, ["start", "end", "id"], step, f"{keys}, id {kind}, keep {kind}, score double")

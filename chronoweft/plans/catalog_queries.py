@@ -33,14 +33,14 @@ def catalog_remove(spark, sf_dir):
     return catalog.removed(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), gone, ["c_custkey"])
 
 
-@query("catalog_search", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%1_0%' OR lower(p_type) LIKE '%1_0%' OR lower(p_brand) LIKE '%1_0%'")
+@query("catalog_search", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%d_r%' OR lower(p_type) LIKE '%d_r%' OR lower(p_brand) LIKE '%d_r%'")
 def catalog_search(spark, sf_dir):
-    return catalog.search(table(spark, sf_dir, "part"), ["p_name", "p_type", "p_brand"], "1_0").select("p_partkey", "p_name")
+    return catalog.search(table(spark, sf_dir, "part"), ["p_name", "p_type", "p_brand"], "d_r").select("p_partkey", "p_name")
 
 
-@query("catalog_search_joined", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), '5 s')")
+@query("catalog_search_joined", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), 'g econ')")
 def catalog_search_joined(spark, sf_dir):
-    return catalog.search(table(spark, sf_dir, "part"), ["p_name", "p_type"], "5 s", wildcards=False).select("p_partkey")
+    return catalog.search(table(spark, sf_dir, "part"), ["p_name", "p_type"], "g econ", wildcards=False).select("p_partkey")
 
 
 @query("media_kinds", """WITH f AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a.MP4' WHEN 1 THEN 'b.wav' WHEN 2 THEN 'c.jpeg' WHEN 3 THEN 'd.txt' ELSE 'none' END AS path FROM part)
@@ -50,11 +50,11 @@ def media_kinds(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(catalog.media_kind(path).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("recommend_assets", """WITH s AS (SELECT p_partkey, p_name, (CASE WHEN contains(lower(p_name), '7') THEN 3.0 ELSE 0 END + CASE WHEN list_contains(string_split(lower(p_type), ' '), '7') THEN 2.0 ELSE 0 END + greatest(0.0, 1 - abs(p_size - 20) / 20.0::DOUBLE))::DOUBLE AS score, abs(p_size - 20.0)::DOUBLE AS delta FROM part)
-SELECT p_partkey, score FROM s WHERE score > 0 ORDER BY score DESC, delta, p_name LIMIT 25""")
+@query("recommend_assets", """WITH s AS (SELECT p_partkey, p_name, (CASE WHEN contains(lower(p_name), 'bolt') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(p_name), 'small') THEN 3.0 ELSE 0 END + CASE WHEN list_contains(string_split(lower(p_type), ' '), 'small') THEN 2.0 ELSE 0 END + CASE WHEN list_contains(string_split(lower(p_type), ' '), 'bolt') THEN 2.0 ELSE 0 END + greatest(0.0, 1 - abs(p_size - 20) / 20.0::DOUBLE))::DOUBLE AS score, abs(p_size - 20.0)::DOUBLE AS delta FROM part)
+SELECT p_partkey, score FROM s WHERE score > 0 ORDER BY score DESC, delta, p_name, p_partkey LIMIT 25""")
 def recommend_assets(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("tags", F.split("p_type", " "))
-    return catalog.recommended(p, ["7"], "p_name", "tags", "p_size", 20.0, 25).select("p_partkey", "score")
+    return catalog.recommended(p, ["bolt", "small"], "p_name", "tags", "p_size", 20.0, 25, ["p_partkey"]).select("p_partkey", "score")
 
 
 @query("best_of_each", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")

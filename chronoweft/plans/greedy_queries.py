@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoweft.functions.text import without_fillers
 from chronoweft.operators import greedy
 from chronoweft.plans.registry import query
-from chronoweft.plans.views import SEGMENTS, SPANS, UNITS, segments, spans, units
+from chronoweft.plans.views import SEGMENTS, SPANS, UNITS, segments, spans, table, units
 
 _DAY = 86_400_000
 
@@ -63,3 +64,34 @@ SELECT source, id FROM r WHERE took""")
 def emphasis_schedule(spark, sf_dir):
     rows = units(spark, sf_dir).select("source", "id", F.col("start").alias("at"), (F.col("end") - F.col("start")).alias("score"))
     return greedy.emphasis(rows, ["source"], _DAY, 12).select("source", "id")
+
+
+@query("phrase_packing", f"""WITH RECURSIVE {SEGMENTS}, n AS (SELECT source, id, start, "end", speaker, length(text) AS z, row_number() OVER (PARTITION BY source ORDER BY start, "end", id) AS k FROM s),
+r AS (SELECT source, k, id, "end", speaker, z AS chars, 1 AS phrase FROM n WHERE k = 1
+ UNION ALL SELECT source, k, id, "end", speaker, CASE WHEN br THEN z ELSE chars + z + CASE WHEN chars > 0 THEN 1 ELSE 0 END END, phrase + CASE WHEN br THEN 1 ELSE 0 END
+ FROM (SELECT n.source, n.k, n.id, n."end", n.speaker, n.z, r.chars, r.phrase, n.start - r."end" >= 500 OR n.speaker <> r.speaker OR r.chars + n.z + 1 > 900 AS br FROM r JOIN n ON n.source = r.source AND n.k = r.k + 1))
+SELECT source, id, phrase FROM r""")
+def phrase_packing(spark, sf_dir):
+    return greedy.phrases(segments(spark, sf_dir), ["source"], 500, 900)
+
+
+def _boxes(spark, sf_dir):
+    x = lambda k: F.col("embedding")[k].cast("double") * 100
+    return table(spark, sf_dir, "embeddings").select(F.lit(0).alias("source"), F.col("vec_id").alias("id"), F.col("label").alias("label"), F.col("vec_id").cast("double").alias("at"), x(0).alias("x1"), x(1).alias("y1"), (x(0) + 150).alias("x2"), (x(1) + 150).alias("y2"))
+
+
+@query("box_tracks")
+def box_tracks(spark, sf_dir):
+    return greedy.tracks(_boxes(spark, sf_dir), ["source"], 2000.0, 40.0, 0.3)
+
+
+@query("merged_boxes")
+def merged_boxes(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir).withColumn("start", F.col("at")).withColumn("end", F.col("at") + 30)
+    return greedy.merged_boxes(boxes, ["source"], 0.5)
+
+
+@query("adjacent_repeats")
+def adjacent_repeats(spark, sf_dir):
+    rows = segments(spark, sf_dir).withColumn("normal", without_fillers(F.col("text"), ("the",)))
+    return greedy.adjacent_repeats(rows, ["source"], 0.3)

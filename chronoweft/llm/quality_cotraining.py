@@ -31,6 +31,9 @@ ROUNDS = 4
 #: Share of the unlabelled sample that a view labels in each round.
 SHARE_PER_ROUND = 0.05
 METADATA_BUCKETS = 1 << 10
+#: Passes over a training set at least, and rows seen at least: few labels are seen more often.
+EPOCHS = 6
+LEAST_SEEN = 16_000
 _WORD_BUCKETS = 1 << 15
 _TABLE = 0x3000
 
@@ -67,13 +70,13 @@ def metadata_features(sources: list, langs: list, lengths: list[int]) -> np.ndar
     return np.array([[code("s", s), code("l", x), code("n", int(n).bit_length())] for s, x, n in zip(sources, langs, lengths, strict=True)], np.int64).reshape(-1, 3)
 
 
-def _logistic(x: list[np.ndarray], dense: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: int, epochs: int = 6, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def _logistic(x: list[np.ndarray], dense: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """AdaGrad on the mean of the bucket weights of a row and its dense features."""
     rng = np.random.default_rng(seed)
     w, s = np.zeros(buckets), np.full(buckets, 1e-2)
     d, sd = np.zeros(dense.shape[1]), np.full(dense.shape[1], 1e-2)
     b = 0.0
-    for _ in range(epochs):
+    for _ in range(max(EPOCHS, min(80, LEAST_SEEN // max(len(y), 1)))):
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             sizes = np.array([max(len(x[i]), 1) for i in at])
             idx = np.concatenate([x[i] if len(x[i]) else np.zeros(1, int) for i in at])

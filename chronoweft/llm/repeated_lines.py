@@ -136,6 +136,7 @@ def cleaned(docs: DataFrame, judged: DataFrame, text: str = "text", key: str = "
     """The kept documents without their removed lines; the columns of docs."""
     kept = judged.filter("kept").select(F.col("row").alias("__row"), F.coalesce("removed", F.array().cast("array<long>")).alias("__removed")).dropDuplicates(["__row"])
     rows = docs.withColumn("__row", F.xxhash64(key, text)).join(kept, "__row")
+    columns = docs.columns
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,8 +144,8 @@ def cleaned(docs: DataFrame, judged: DataFrame, text: str = "text", key: str = "
             for t, gone in zip(texts_of(batch, text), batch.column("__removed").to_pylist(), strict=True):
                 gone = set(gone)
                 out.append("\n".join(x for x in t.split("\n") if not gone or line_hash(normalised(x.encode("utf-8", "surrogatepass"))) not in gone))
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else batch.column(c) for c in docs.columns], docs.columns)
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else batch.column(c) for c in columns], columns)
 
         return one
 
-    return map_batches(rows.select(*docs.columns, "__removed"), make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_batches(rows.select(*columns, "__removed"), make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

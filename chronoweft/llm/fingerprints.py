@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import map_batches, texts_of
+from chronoweft.llm.common import map_batches, small_batches, texts_of
 
 BUCKETS = 128
 #: Places in the window of a newest byte and two older ones; each triplet has a factor of its own.
@@ -97,6 +97,7 @@ def compare_with_next(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     Each range also gets a copy of the first document of the next one; the last gets the first of all.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counted = rows.agg(F.count("*").alias("n"), F.count("key").alias("known")).first()
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), counted["n"]))

@@ -11,7 +11,7 @@ BUCKETS = 1 << 15
 #: Features of a word: itself, its first 4, 5 and 6 letters, its last 4.
 FEATURES = 5
 _EDGES = ".,;:!?*%$&#|()[]{}\"'`<>=+-_/\\"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 
 def features(word: bytes) -> tuple[int, int, int, int, int]:

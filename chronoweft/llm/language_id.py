@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_sample, map_batches, texts_of
+from chronoweft.llm.common import bounded_sample, map_batches, small_batches, texts_of
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -88,6 +88,7 @@ class LanguageModel:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learns from the rows of df that have a language and a text; a bounded sample of them (see SAMPLE_PER_LANGUAGE)."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     sample = bounded_sample(rows, "lang", sample_per_language, "key", "language").select("lang", "text")
 
@@ -118,12 +119,13 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns `keep` of df with the language of each whole text and the score of that language."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = [f for f in rows.schema if f.name != "__text"]
+    own = text if text in keep else "__text"
+    rows = df.select(*keep) if text in keep else df.select(*keep, F.col(text).alias("__text"))
+    schema = [f for f in rows.schema if f.name in keep]
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, p = shared.value.score(texts_of(batch, "__text"))
+            langs, p = shared.value.score(texts_of(batch, own))
             kept = [batch.column(k) for k in keep]
             return pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(p, pa.float64())], [*keep, language, score])
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import map_batches, materialize
+from chronoweft.llm.common import map_batches, materialize, small_batches
 
 #: Links: SHARE_NUM * |A or B| <= SHARE_DEN * |A and B|.
 SHARE_NUM, SHARE_DEN = 80, 100
@@ -44,7 +44,7 @@ _MOST_FLAG_BITS = 26
 _TILE_BITS = 40
 #: How much longer the signatures are that a pair must pass before its arrays are compared.
 WIDER = 8
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -393,6 +393,7 @@ def _block_pairs(left: tuple, right: tuple, same: bool) -> list[np.ndarray]:
 
 def classes_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) of every row of df; key is an integer."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sets = materialize(sets_of(docs, _frequent(docs)), "join-sets")
     distinct = materialize(sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id")), "join-distinct")

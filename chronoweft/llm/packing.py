@@ -36,7 +36,7 @@ MOST_WASTE = 0.01
 SALTS = 64
 #: Sequence ids from here on belong to full pieces.
 _FULL = 1 << 44
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 250_000
 
 
 #: A run of Latin-1 letters and one of ASCII punctuation: such words need no Unicode normalisation, and the tokenizer cuts them between the runs.

@@ -194,18 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, text: str
 def predict(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
     """The columns `keep` of df with the toxicity score of each whole text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text).alias("__text"))
+    own = text if text in keep else "__text"
+    rows = df.select(*keep) if text in keep else df.select(*keep, F.col(text).alias("__text"))
 
     def make():
         one = shared.value
         vectors = WordVectors(one.embeddings) if one.embeddings is not None else None
 
         def score_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(one.scores(texts_of(batch, "__text"), vectors), pa.float64())], [*keep, score])
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(one.scores(texts_of(batch, own), vectors), pa.float64())], [*keep, score])
 
         return score_batch
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     return map_batches(rows, make, f"{ddl}, `{score}` double", rows=256)
 
 

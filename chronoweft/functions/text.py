@@ -92,7 +92,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def ordered_terms(text: Column, pattern: str = "[,;，；、\\n]+") -> Column:
     """Terms of a list in text, trimmed; of those that differ by case only the first."""
-    parts = F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
     return F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 

@@ -30,7 +30,7 @@ def summary(found: DataFrame, subjects: DataFrame, by: Sequence[str], warn: str
 def cue_checks(cues: DataFrame, by: Sequence[str], optimal: float = 18, most: float = 25, flash: int = 150, short: int = 500, long: int = 7000, most_lines: int = 2, most_chars: int = 42, length: Column | None = None) -> DataFrame:
     """Readability findings of cues (by, id, start, end, text; times in milliseconds), in file order of id."""
     order = Window.partitionBy(*by).orderBy("id")
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     visible = F.length(F.array_join(lines, ""))
     rows = cues.withColumn("__before", F.lag("start").over(order)).withColumn("__far", F.max("end").over(Window.partitionBy(*by).orderBy("start", "end", "id").rowsBetween(Window.unboundedPreceding, -1)))
     duration = F.col("end") - F.col("start")

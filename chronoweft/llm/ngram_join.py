@@ -9,7 +9,7 @@ their sets of word 5-grams. It is exact; nothing is sampled or capped:
    prefix under that order is kept, so long that two similar sets share a member of their prefixes.
 3. Sets that share such an n-gram form a tile. A first pass over the tiles only compares each set with two others
    of its tile, and joins what is linked; in a large group of copies that leaves few classes.
-4. Tiles that still hold several classes are gone through in full, in order of size: a set is compared with those
+4. Tiles of more than three sets that still hold several classes are gone through in full, in order of size: a set is compared with those
    of other classes up to 1 / 0.8 times its size. Bitmap signatures (parity of hashed n-grams, as many bits as the
    size band needs) bound the overlap from above; what passes is put to the exact test.
 5. The exact test intersects the sorted arrays of hashes, which are only made for what passed the bound, and passes that
@@ -42,6 +42,8 @@ COUNTER_BITS = 22
 _MOST_FLAG_BITS = 26
 #: Bits of a hash that name a tile; sets that meet in one by chance are told apart by the tests.
 _TILE_BITS = 40
+#: Sets of a tile whose pairs with its first and last set are all pairs.
+_STAR_PAIRS = 3
 #: How much longer the signatures are that a pair must pass before its arrays are compared.
 WIDER = 8
 _CACHE_WORDS = 150_000
@@ -235,7 +237,7 @@ def sets_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _entries(sets: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h, id): the prefixes of one document of each distinct set, and of a few of its copies."""
+    """(h, id, n): the prefixes of one document of each distinct set, and of a few of its copies."""
     flags = _flags(distinct.select("id"))
     shared = sets.sparkSession.sparkContext.broadcast(flags)
 
@@ -243,39 +245,48 @@ def _entries(sets: DataFrame, distinct: DataFrame) -> DataFrame:
         for batch in batches:
             part = batch.filter(pa.array(_flagged(shared.value, batch.column("flag").to_numpy())))
             prefix = part.column("prefix")
-            n = np.diff(prefix.offsets.to_numpy()) if len(prefix) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([prefix.flatten(), pa.array(np.repeat(part.column("id").to_numpy(), n))], ["h", "id"])
+            times = np.diff(prefix.offsets.to_numpy()) if len(prefix) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([prefix.flatten(), *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("id", "n"))], ["h", "id", "n"])
 
-    return sets.filter("n > 0").select("id", _flag_column(flags), "prefix").mapInArrow(run, "h long, id long")
+    return sets.filter("n > 0").select("id", "n", _flag_column(flags), "prefix").mapInArrow(run, "h long, id long, n long")
 
 
 def _shared_tiles(entries: DataFrame) -> DataFrame:
-    """entries (h, id) of the tiles that hold two sets or more, with the first and last of the tile as partners."""
+    """entries (h, id, n) of the tiles that hold two sets or more: (h, id, size, first, last).
 
-    def tiles(h: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+    first and last are the ends of the tile, as partners of each other set in it whose size allows a link, else null. They make up all
+    pairs of a tile of two or three, so sets of such tiles without a partner are left out.
+    """
+
+    def tiles(h: np.ndarray, i: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
         sizes = np.diff(np.append(starts, len(h)))
-        keep = np.repeat(sizes > 1, sizes)
-        first, last = np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, i, i[first], i[last])], ["h", "id", "first", "last"])
+        size = np.repeat(sizes, sizes)
+        own = np.arange(len(h))
+        partners, kept = [], size > _STAR_PAIRS
+        for end in (np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)):
+            fits = (i[end] != i[own]) & (SHARE_DEN * np.minimum(n, n[end]) >= SHARE_NUM * np.maximum(n, n[end]))
+            partners.append((i[end], ~fits))
+            kept |= fits
+        return pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(i[kept]), pa.array(size[kept].astype(np.int64)), *(pa.array(v[kept], mask=m[kept]) for v, m in partners)], ["h", "id", "size", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[list[np.ndarray]] = []
         held = 0
         for batch in batches:
-            rest.append([batch.column(k).to_numpy() for k in range(2)])
+            rest.append([batch.column(k).to_numpy() for k in range(3)])
             held += batch.num_rows
             if held < 1 << 18:
                 continue
-            h, i = (np.concatenate(x) for x in zip(*rest, strict=True))
-            cut = int(np.searchsorted(h, h[-1]))  # the last tile may go on
+            columns = [np.concatenate(x) for x in zip(*rest, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last tile may go on
             if cut:
-                yield tiles(h[:cut], i[:cut])
-            rest, held = [[h[cut:], i[cut:]]], 0
+                yield tiles(*(c[:cut] for c in columns))
+            rest, held = [[c[cut:] for c in columns]], 0
         if rest:
             yield tiles(*(np.concatenate(x) for x in zip(*rest, strict=True)))
 
-    return entries.repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, "h long, id long, first long, last long")
+    return entries.repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, "h long, id long, size long, first long, last long")
 
 
 def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -399,12 +410,13 @@ def classes_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     distinct = materialize(sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id")), "join-distinct")
     signatures = sets.filter("n > 0").select("id", "n", "signature")
     tiles = materialize(_shared_tiles(_entries(sets, distinct)), "join-tiles")
-    stars = [tiles.filter(F.col("id") != F.col(p)).select(F.least("id", p).alias("a"), F.greatest("id", p).alias("b")) for p in ("first", "last")]
+    stars = [tiles.filter(F.col(p).isNotNull()).select(F.least("id", p).alias("a"), F.greatest("id", p).alias("b")) for p in ("first", "last")]
     links = _verified(_near(stars[0].unionByName(stars[1]).distinct(), signatures), docs)
     classes = components(links)
-    spans = tiles.select("h", "id").join(classes, "id", "left").select("h", F.coalesce("component", "id").alias("c"))
+    large = tiles.filter(F.col("size") > _STAR_PAIRS).select("h", "id").distinct()
+    spans = large.join(classes, "id", "left").select("h", F.coalesce("component", "id").alias("c"))
     several = spans.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("h")
-    open_tiles = tiles.select("h", "id").distinct().join(several, "h", "left_semi")
+    open_tiles = large.join(several, "h", "left_semi")
     cross = materialize(_cross_pairs(open_tiles, signatures, classes).distinct(), "join-cross")
     classes = components(links.unionByName(_verified(cross, docs)))
     named = distinct.join(classes, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))

@@ -30,6 +30,8 @@ SAMPLE_PER_LANGUAGE = 2000
 #: A posterior counts so many n-grams at most, as n-grams of one text are far from independent.
 EVIDENCE = 60.0
 _TABLE = 0x20000
+#: Letters from _TABLE on are ideographs, up to here.
+_IDEOGRAPHS_END = 0x323B0
 
 
 @lru_cache(1)
@@ -48,7 +50,7 @@ def sparse_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """(bucket indices by order, starts of the texts, letters of each text). The bucket after the last stands for white space."""
     glued = "  ".join(texts) + "  "
     codes = np.frombuffer(glued.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(codes < _TABLE, _folded()[np.minimum(codes, _TABLE - 1)], codes)
+    codes = np.where(codes < _TABLE, _folded()[np.minimum(codes, _TABLE - 1)], np.where(codes < _IDEOGRAPHS_END, codes, 32))
     starts = np.zeros(len(texts), np.int64)
     np.cumsum([len(t) + 2 for t in texts[:-1]], out=starts[1:])
     blank = codes == 32

@@ -28,6 +28,8 @@ BUCKETS = 128
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 #: Differences of the whole digest that count as no likeness at all: what unrelated texts come to.
 MOST_DIFFERENCE = 160.0
+#: Ranges of the key for each task: they are dealt to tasks by hash, so several even out.
+RANGES_PER_TASK = 4
 _FACTORS = (0x9E37, 0x85EB, 0xC2B3)
 _SALTS = (0x632D, 0x27D5, 0x1657, 0xB5D9, 0x4CF7, 0xE995)
 _STEP_COST = np.array([0, 1, 2, 6])
@@ -100,7 +102,8 @@ def compare_with_next(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     small_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counted = rows.agg(F.count("*").alias("n"), F.count("key").alias("known")).first()
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), counted["n"]))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(RANGES_PER_TASK * tasks, counted["n"]))
     cuts = sorted(set(rows.select("key").approxQuantile("key", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 and counted["known"] else []
     bounds = np.array([int(c) for c in cuts], np.int64)
 
@@ -118,7 +121,7 @@ def compare_with_next(df: DataFrame, text: str = "text", key: str = "doc_id") ->
         copy = F.when(F.col("key").eqNullSafe(F.lit(least)), F.lit(part)).otherwise(copy)
     last_part = order[-1] if order else 0
     copies = ranged.withColumn("part", copy).filter("part IS NOT NULL").withColumn("kind", F.when(F.col("part") == last_part, 2).otherwise(1))
-    dealt = ranged.withColumn("kind", F.lit(0)).unionByName(copies).repartition(max(len(bounds) + 1, 1), "part").sortWithinPartitions("part", "kind", "key", "text")
+    dealt = ranged.withColumn("kind", F.lit(0)).unionByName(copies).repartition(tasks, "part").sortWithinPartitions("part", "kind", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None  # (part, key, text, digest)

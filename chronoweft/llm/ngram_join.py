@@ -6,9 +6,10 @@ their sets of word 5-grams. It is exact; nothing is sampled or capped:
 1. A fixed number of counters over all n-gram hashes of all documents tells frequent n-grams from rare ones, which
    gives one total order of n-grams for all documents: rare first, then by hash.
 2. Documents with equal sets are one class from the start (digest of the sorted hashes). Of each distinct set the
-   prefix under that order is kept, so long that two similar sets share a member of their prefixes.
+   prefix under that order is kept, so long that two similar sets share two members of their prefixes.
 3. Sets that share such an n-gram form a tile. A first pass over the tiles only compares each set with two others
-   of its tile, and joins what is linked; in a large group of copies that leaves few classes.
+   of its tile, if they meet in two tiles, and joins what is linked; in a large group of copies that leaves few
+   classes. Pairs that only meet in tiles of two or three sets are settled by this.
 4. Tiles of more than three sets that still hold several classes are gone through in full, in order of size: a set is compared with those
    of other classes up to 1 / 0.8 times its size. Bitmap signatures (parity of hashed n-grams, as many bits as the
    size band needs) bound the overlap from above; what passes is put to the exact test.
@@ -42,6 +43,8 @@ COUNTER_BITS = 22
 _MOST_FLAG_BITS = 26
 #: Bits of a hash that name a tile; sets that meet in one by chance are told apart by the tests.
 _TILE_BITS = 40
+#: Members of both prefixes that linked sets have in common at least.
+SHARED = 2
 #: Sets of a tile whose pairs with its first and last set are all pairs.
 _STAR_PAIRS = 3
 #: How much longer the signatures are that a pair must pass before its arrays are compared.
@@ -90,8 +93,8 @@ def _rarely(order: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int) -> int:
-    """So many first n-grams, in any total order, that two linked sets share one."""
-    return n - -(-SHARE_NUM * n // SHARE_DEN) + 1
+    """So many first n-grams, in any total order, that two linked sets that differ share SHARED of them: they have at least four in common."""
+    return min(n, n - -(-SHARE_NUM * n // SHARE_DEN) + SHARED)
 
 
 def bitmap_bits(n: int) -> int:
@@ -254,8 +257,8 @@ def _entries(sets: DataFrame, distinct: DataFrame) -> DataFrame:
 def _shared_tiles(entries: DataFrame) -> DataFrame:
     """entries (h, id, n) of the tiles that hold two sets or more: (h, id, size, first, last).
 
-    first and last are the ends of the tile, as partners of each other set in it whose size allows a link, else null. They make up all
-    pairs of a tile of two or three, so sets of such tiles without a partner are left out.
+    first and last are the ends of the tile, as partners of each other set in it whose size allows a link, else null; the pair of both ends
+    comes once. They make up all pairs of a tile of two or three, so sets of such tiles without a partner are left out.
     """
 
     def tiles(h: np.ndarray, i: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -264,8 +267,9 @@ def _shared_tiles(entries: DataFrame) -> DataFrame:
         size = np.repeat(sizes, sizes)
         own = np.arange(len(h))
         partners, kept = [], size > _STAR_PAIRS
-        for end in (np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)):
-            fits = (i[end] != i[own]) & (SHARE_DEN * np.minimum(n, n[end]) >= SHARE_NUM * np.maximum(n, n[end]))
+        first = np.repeat(starts, sizes)
+        for end in (first, np.repeat(starts + sizes - 1, sizes)):
+            fits = (own != first) & (i[end] != i[own]) & (SHARE_DEN * np.minimum(n, n[end]) >= SHARE_NUM * np.maximum(n, n[end]))
             partners.append((i[end], ~fits))
             kept |= fits
         return pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(i[kept]), pa.array(size[kept].astype(np.int64)), *(pa.array(v[kept], mask=m[kept]) for v, m in partners)], ["h", "id", "size", "first", "last"])
@@ -411,7 +415,8 @@ def classes_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     signatures = sets.filter("n > 0").select("id", "n", "signature")
     tiles = materialize(_shared_tiles(_entries(sets, distinct)), "join-tiles")
     stars = [tiles.filter(F.col(p).isNotNull()).select(F.least("id", p).alias("a"), F.greatest("id", p).alias("b")) for p in ("first", "last")]
-    links = _verified(_near(stars[0].unionByName(stars[1]).distinct(), signatures), docs)
+    often = stars[0].unionByName(stars[1]).groupBy("a", "b").agg(F.count("*").alias("tiles")).filter(F.col("tiles") >= SHARED)
+    links = _verified(_near(often.select("a", "b"), signatures), docs)
     classes = components(links)
     large = tiles.filter(F.col("size") > _STAR_PAIRS).select("h", "id").distinct()
     spans = large.join(classes, "id", "left").select("h", F.coalesce("component", "id").alias("c"))

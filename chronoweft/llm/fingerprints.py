@@ -109,16 +109,21 @@ def compare_with_next(df: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     @F.pandas_udf("int")
     def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), "right").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "right").astype(np.int32))
 
-    ranged = rows.withColumn("part", part_of("key"))
+    ranged = rows.withColumn("part", part_of(F.coalesce("key", F.lit(int(np.iinfo(np.int64).min)))))
     # The smallest key of each range, and so many as there are ranges: the range before needs that document.
     first = {r["part"]: r["least"] for r in ranged.groupBy("part").agg(F.min("key").alias("least")).collect()}
     order = sorted(first)
     wanted = [(order[k - 1], first[p]) for k, p in enumerate(order)]  # the last range needs the first document of all
-    copy = F.lit(None).cast("int")
-    for part, least in wanted:
-        copy = F.when(F.col("key").eqNullSafe(F.lit(least)), F.lit(part)).otherwise(copy)
+    low = np.iinfo(np.int64).min
+    copies_of = {low if least is None else least: part for part, least in wanted}
+
+    @F.pandas_udf("int")
+    def copy_for(key: pd.Series) -> pd.Series:
+        return key.map(copies_of).astype("Int32")
+
+    copy = copy_for(F.coalesce("key", F.lit(int(low))))
     last_part = order[-1] if order else 0
     copies = ranged.withColumn("part", copy).filter("part IS NOT NULL").withColumn("kind", F.when(F.col("part") == last_part, 2).otherwise(1))
     dealt = ranged.withColumn("kind", F.lit(0)).unionByName(copies).repartition(tasks, "part").sortWithinPartitions("part", "kind", "key", "text")

@@ -1,9 +1,11 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the text they hold outside links and boilerplate. The best ones vote, in
-Spark, on paths for their host: tags and classes from the root down, with digits generalised. Each page is then
-extracted again with the winning path of its host; a page without that path, or without text there, uses its own
-best container.
+The content of a page is its blocks outside boilerplate that are neither mostly links nor labels (a single short
+word that stands in no paragraph, heading, list or table). Each page votes, in Spark, for the innermost container
+that holds all of its content, and with smaller shares for those around it, as paths for their host: tags and classes
+from the root down, with digits generalised. Each page is then extracted again with the winning path of its host: all
+blocks in there, links and labels too, and content wherever else it stands on the page. A page without that path, or
+without text there, uses its own container.
 
 The markup is read leniently: unclosed and misnested elements, comments and scripts without an end, attributes with
 or without quotes. Blocks end at block elements and at line breaks; character references are decoded after markup
@@ -41,7 +43,9 @@ _BOILERPLATE = frozenset(
     " popup modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist reply replies respond discussion disqus related recommended recommendations share sharing social widget toolbar pagination pager tags skip hidden"
     " search legal disclaimer toc".split()
 )
-_CONTENT = frozenset("article main content post entry story body text".split())
+#: A single word of so many characters at most, right in one of these elements, is a label.
+_LABEL_CHARS = 20
+_PLAIN = frozenset(["", "html", "body", "div", "section"])
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -58,19 +62,15 @@ class Container:
     path: str
     parent: int
     depth: int
-    weight: float
     dropped: bool
-    text: float = 0.0
-    links: float = 0.0
-    blocks: int = 0
 
 
 @dataclass
 class Page:
-    """The containers of a page in page order, and its blocks: (innermost container, text)."""
+    """The containers of a page in page order, and its blocks: (innermost container, text, whether it is content, whether it is mostly links)."""
 
     containers: list[Container] = field(default_factory=list)
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[tuple[int, str, bool, bool]] = field(default_factory=list)
 
     def within(self, at: int, chosen: set[int]) -> bool:
         while at >= 0:
@@ -79,36 +79,28 @@ class Page:
             at = self.containers[at].parent
         return False
 
-    def scores(self) -> list[float]:
-        """Of each container: characters of its blocks with all they hold, less those in links, times the weight of its name."""
-        total, links = [c.text for c in self.containers], [c.links for c in self.containers]
-        for k in range(len(self.containers) - 1, 0, -1):
-            p = self.containers[k].parent
-            total[p] += total[k]
-            links[p] += links[k]
-        return [max(0.0, t - 2 * x) * c.weight for t, x, c in zip(total, links, self.containers, strict=True)]
-
     def best(self) -> list[tuple[str, float]]:
-        """Paths of the best containers with their shares: from the root down to the innermost that keeps most of the score, and the next ones."""
-        if not self.containers:
+        """Paths with their shares: the innermost container that leaves no content behind, and those around it. A page without content goes by its labels."""
+        counted = [at for at, _, content, _ in self.blocks if content] or [at for at, _, _, linked in self.blocks if not linked]
+        if not counted:
             return []
-        scores = self.scores()
-        children: dict[int, list[int]] = {}
-        for k, c in enumerate(self.containers):
-            children.setdefault(c.parent, []).append(k)
-        at, line = 0, []
-        while True:
+        total = [0] * len(self.containers)
+        for at in counted:
+            total[at] += 1
+        for k in range(len(total) - 1, 0, -1):
+            total[self.containers[k].parent] += total[k]
+        at = max(k for k, n in enumerate(total) if n == total[0])
+        line = []
+        while at >= 0 and len(line) < _MOST_VOTES:
             line.append(at)
-            inner = max(children.get(at, []), key=lambda k: (scores[k], -k), default=None)
-            if inner is None or scores[inner] < 0.6 * scores[at] / self.containers[at].weight or scores[inner] <= 0:
-                break
-            at = inner
-        line = [k for k in line if scores[k] > 0][::-1][:_MOST_VOTES]
+            at = self.containers[at].parent
         return [(self.containers[k].path, 1.0 / (1 + n)) for n, k in enumerate(line)]
 
     def extract(self, path: str | None) -> str:
+        """All blocks below the path and the content beside it; empty if the page has no text below the path."""
         chosen = {k for k, c in enumerate(self.containers) if c.path == path and not c.dropped}
-        return "\n".join(t for at, t in self.blocks if self.within(at, chosen)) if chosen else ""
+        inside = [bool(chosen) and self.within(at, chosen) for at, *_ in self.blocks]
+        return "\n".join(t for (_, t, content, _), here in zip(self.blocks, inside, strict=True) if here or content) if any(inside) else ""
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -117,11 +109,11 @@ def _attributes(rest: str) -> dict[str, str]:
 
 def read(page: str | None) -> Page:
     """The containers and blocks of a page, boilerplate left out."""
-    out = Page([Container("", -1, 0, 0.5, False)])
+    out = Page([Container("", -1, 0, False)])
     stack = [(0, "")]
     text: list[str] = []
     linked = 0
-    in_link = False
+    in_link = named = False  # named: in a paragraph, heading or the like
 
     def end_block() -> None:
         nonlocal linked
@@ -130,10 +122,9 @@ def read(page: str | None) -> Page:
             c = out.containers[at]
             whole = " ".join(html.unescape("".join(text)).split())
             if whole and not c.dropped:
-                out.blocks.append((at, whole))
-                c.text += len(whole)
-                c.links += min(linked, len(whole))
-                c.blocks += 1
+                links = 2 * linked >= len(whole)
+                label = not named and stack[-1][1] in _PLAIN and len(whole) <= _LABEL_CHARS and whole.isascii() and " " not in whole
+                out.blocks.append((at, whole, not links and not label, links))
             text.clear()
         linked = 0
 
@@ -158,6 +149,8 @@ def read(page: str | None) -> Page:
         if tag not in _BLOCKS:
             continue
         end_block()
+        if tag not in ("br", "hr"):
+            named = tag not in _CONTAINERS and not m["close"]
         if tag not in _CONTAINERS:
             continue
         if m["close"]:
@@ -177,9 +170,8 @@ def read(page: str | None) -> Page:
         parent = stack[-1][0]
         above = out.containers[parent]
         bad = tag in _DROPPED or names.get("role", "").lower() in _ROLES or "hidden" in names or names.get("aria-hidden") == "true" or bool(parts & _BOILERPLATE) and tag not in ("html", "body", "main", "article")
-        good = tag in ("article", "main") or bool(parts & _CONTENT) or names.get("itemprop", "").lower() == "articlebody"
         label = ".".join([tag, *sorted({_DIGITS.sub("0", c) for c in classes})])
-        out.containers.append(Container(f"{above.path}/{label}", parent, above.depth + 1, 1.3 if good else 1.0, above.dropped or bad))
+        out.containers.append(Container(f"{above.path}/{label}", parent, above.depth + 1, above.dropped or bad))
         stack.append((len(out.containers) - 1, tag))
     add(page[done:])
     end_block()

@@ -230,6 +230,27 @@ def test_html(spark):
     assert {r["path"] for r in html_consensus.host_paths(df.filter("page_id < 4")).collect()} == {"/html/body/div.post.post-0"}
 
 
+def test_html_with_several_content_containers(spark):
+    lead, body, tail = "lead words of it " * 10, "the body words of it " * 20, "last words of it " * 8
+    items = "".join(f"<li>entry {n} of the long list</li>" for n in range(30))
+    shapes = {
+        "parts": (f"<article><h1>Title</h1><div class=lead>{lead}</div><div class=entry-content><p>{body}</p></div><div>{tail}</div></article>", ["Title", lead, body, tail]),
+        "list": (f"<article><h1>Title</h1><p>{lead}</p><ul>{items}</ul><p>{tail}</p></article>", ["Title", lead, *(f"entry {n} of the long list" for n in range(30)), tail]),
+        "table": (f"<div class=post><p>{lead}</p><table><tr><td>{body}</td></tr></table><p>{tail}</p></div>", [lead, body, tail]),
+    }
+    page = lambda x: f"<html><body><nav><a href=/>Home page</a></nav><div class=links><a href=/1>one more page</a></div>{x}<footer>foot</footer></body></html>"
+    rows, expected = [], {}
+    for h, (markup, blocks) in enumerate(shapes.values()):
+        for k in range(4):
+            rows.append((10 * h + k, f"https://h{h}.example/{k}", page(markup)))
+            expected[10 * h + k] = "\n".join(" ".join(b.split()) for b in blocks)
+    # A page with more than the others of its host: content beside the winning path stays.
+    rows.append((5, "https://h0.example/5", page(shapes["parts"][0] + f"<div class=more><p>{tail}</p></div>")))
+    expected[5] = expected[0] + "\n" + tail.strip()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_consensus.extract(df).collect()} == expected
+
+
 # ---- pieces
 
 

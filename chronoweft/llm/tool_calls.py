@@ -8,11 +8,15 @@ The level of a call is the number of calls before it on its chain of parents. Le
 each round joins every call with the ancestor it points to and doubles the distance, so n calls need about log2(n)
 joins by identifier, and no conversation is ever gathered in one task.
 
-Cases: a call without an identifier is `no_id` and is linked with nothing. Of several calls or results with one
-identifier the first (by turn, then text) counts and the others are left out. A result without a call is `orphan`,
-a call without a result `unanswered`. A parent that doesn't exist is as none. Calls on a cycle, or behind one, are
-`cyclic` and have no level. Arguments that are null or no JSON object are invalid, and are null in the JSON. Tools
-without a schema are invalid by name. Other columns play no part, whatever their names.
+An identifier counts within its conversation. `link` gives one row a call or orphan result; `link_all` gives every row
+of its input, so that nothing goes without a trace.
+
+Cases: a call or result without an identifier is `no_id` and is linked with nothing (`link` leaves such results out). Of
+several calls or results with one identifier in a conversation the first (by turn, then text) counts; the others are
+`duplicate` (`link` leaves them out). Rows that are neither calls nor results are `other_role`. A result without a call is
+`orphan`, a call without a result `unanswered`. A parent that doesn't exist in the conversation is as none. Calls on a
+cycle, or behind one, are `cyclic` and have no level. Arguments that are null or no JSON object are invalid, and are null
+in the JSON. Tools without a schema are invalid by name. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,45 +93,84 @@ def levels(calls: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
+_CALL, _RESULT = ["turn", "parent_id", "name", "arguments"], ["turn", "content"]
+
+
+def _key(identifier: str) -> Column:
+    return F.struct("conv_id", F.col(identifier).alias("id"))
+
+
 def _first(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row an identifier: the smallest by the other columns."""
-    return rows.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct(*columns)).alias("r")).select("call_id", "r.*")
+    """One row an identifier of a conversation: the smallest by the other columns."""
+    return rows.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct(*columns)).alias("r")).select("conv_id", "call_id", "r.*")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Field]]) -> DataFrame:
-    """calls: conv_id, turn, call_id, parent_id, name, arguments; results: conv_id, turn, call_id, content.
+def _numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with `row`, a number of each; exact copies are told apart by it."""
+    return materialize(rows.select("conv_id", "call_id", *columns, F.monotonically_increasing_id().alias("row")), "tool-rows")
 
-    One row a call or orphan result: conv_id, turn, call_id, status (linked, unanswered, orphan, cyclic, no_id), level, valid,
-    errors, json. Ordered by (conv_id, level, turn, call_id) calls come after those that they depend on.
-    """
-    own = _first(calls, ["turn", "conv_id", "parent_id", "name", "arguments"])
-    answers = _first(results, ["turn", "conv_id", "content"]).withColumnsRenamed({"turn": "r_turn", "conv_id": "r_conv_id"})
-    placed = own.join(levels(own), "call_id").withColumn("is_call", F.lit(True))
-    unnamed = calls.filter("call_id IS NULL").select("call_id", "turn", "conv_id", F.lit(None).cast("string").alias("parent_id"), "name", "arguments", F.lit(0).cast("long").alias("level"), F.lit(True).alias("is_call"))
-    joined = placed.join(answers, "call_id", "full").unionByName(unnamed, allowMissingColumns=True)
-    checked = validated(joined, schemas)
-    status = (
-        F.when(F.col("is_call").isNull(), "orphan")
-        .when(F.col("call_id").isNull(), "no_id")
-        .when(F.col("level").isNull(), "cyclic")
-        .when(F.col("r_turn").isNull() & F.col("r_conv_id").isNull() & F.col("content").isNull(), "unanswered")
-        .otherwise("linked")
-    )
+
+def _counted(own: DataFrame, answers: DataFrame) -> DataFrame:
+    """First calls and first results side by side, with levels and statuses."""
+    own = own.withColumn("key", _key("call_id"))
+    parents = own.select(F.col("key").alias("call_id"), F.when(F.col("parent_id").isNotNull(), _key("parent_id")).alias("parent_id"))
+    placed = own.join(levels(parents).withColumnRenamed("call_id", "key"), "key").withColumn("is_call", F.lit(True))
+    answers = answers.select(_key("call_id").alias("key"), F.col("turn").alias("r_turn"), "content", F.lit(True).alias("is_result"))
+    joined = placed.select("key", "turn", "name", "arguments", "level", "is_call").join(answers, "key", "full")
+    status = F.when(F.col("is_call").isNull(), "orphan").when(F.col("level").isNull(), "cyclic").when(F.col("is_result").isNull(), "unanswered").otherwise("linked")
+    turn = F.when(F.col("is_call").isNotNull(), F.col("turn")).otherwise(F.col("r_turn"))
+    return joined.select(F.col("key.conv_id").alias("conv_id"), turn.alias("turn"), F.col("key.id").alias("call_id"), "name", "arguments", "content", "level", "is_call", status.alias("status"))
+
+
+def _marked_calls(calls: DataFrame) -> DataFrame:
+    """Calls that are linked with nothing, as no_id or duplicate."""
+    unnamed = F.col("call_id").isNull()
+    return calls.select("conv_id", "turn", "call_id", "name", "arguments", F.when(unnamed, 0).cast("long").alias("level"), F.lit(True).alias("is_call"), F.when(unnamed, "no_id").otherwise("duplicate").alias("status"))
+
+
+def _described(rows: DataFrame, schemas: Mapping[str, Mapping[str, Field]]) -> DataFrame:
     is_call = F.col("is_call").isNotNull()
     body = F.struct(F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"))
-    json = F.to_json(body, {"ignoreNullFields": "false"})
-    return checked.select(
-        F.coalesce("conv_id", "r_conv_id").alias("conv_id"),
-        F.coalesce("turn", "r_turn").alias("turn"),
+    return validated(rows, schemas).select(
+        "conv_id",
+        "turn",
         "call_id",
-        status.alias("status"),
+        "status",
         "level",
         F.when(is_call, F.size("errors") == 0).otherwise(False).alias("valid"),
         F.when(is_call, F.array_join("errors", "; ")).otherwise("no call").alias("errors"),
-        json.alias("json"),
+        F.to_json(body, {"ignoreNullFields": "false"}).alias("json"),
     )
 
 
+def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Field]]) -> DataFrame:
+    """calls: conv_id, turn, call_id, parent_id, name, arguments; results: conv_id, turn, call_id, content.
+
+    One row a call or orphan result: conv_id, turn, call_id, status (linked, unanswered, orphan, cyclic, no_id), level, valid,
+    errors, json. Ordered by (conv_id, level, turn, call_id) calls come after those that they depend on. Duplicates and results
+    without an identifier have no row here; see link_all.
+    """
+    joined = _counted(_first(calls, _CALL), _first(results, _RESULT))
+    return _described(joined.unionByName(_marked_calls(calls.filter("call_id IS NULL")), allowMissingColumns=True), schemas)
+
+
+def link_all(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Field]], others: DataFrame | None = None) -> DataFrame:
+    """As link, with every other row too: repeated calls and results as `duplicate`, results without an identifier as `no_id`,
+    and others (conv_id, turn, content), which are neither calls nor results, as `other_role`.
+
+    The result of a linked or cyclic call is in the call's row; every other row of the input has a row of its own. Duplicates are
+    told by row numbers, so that an identifier of many rows isn't gathered in one task.
+    """
+    calls, results = _numbered(calls, _CALL), _numbered(results, _RESULT)
+    own, answers = _first(calls, [*_CALL, "row"]), _first(results, [*_RESULT, "row"])
+    rows = _counted(own, answers).unionByName(_marked_calls(calls.join(own.select("row"), "row", "left_anti")), allowMissingColumns=True)
+    again = results.join(answers.select("row"), "row", "left_anti").select("conv_id", "turn", "call_id", "content", F.when(F.col("call_id").isNull(), "no_id").otherwise("duplicate").alias("status"))
+    rows = rows.unionByName(again, allowMissingColumns=True)
+    if others is not None:
+        rows = rows.unionByName(others.select("conv_id", "turn", "content", F.lit("other_role").alias("status")), allowMissingColumns=True)
+    return _described(rows, schemas)
+
+
 #: Tool of the conversations table: a user's turn asks, the next turn of the assistant answers.
 TURN_SCHEMAS = {"answer": {"query": Field("string", least_length=1, most_length=400), "turn": Field("integer")}}
 
@@ -142,3 +185,7 @@ def calls_of_turns(turns: DataFrame) -> DataFrame:
 def results_of_turns(turns: DataFrame) -> DataFrame:
     name = F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 1).cast("string"))
     return turns.filter("role = 'assistant'").select("conv_id", "turn", name.alias("call_id"), F.col("text").alias("content"))
+
+
+def others_of_turns(turns: DataFrame) -> DataFrame:
+    return turns.filter("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "turn", F.col("text").alias("content"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -174,6 +176,26 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.limit(0), r.limit(0), tool_calls.TURN_SCHEMAS).count() == 0
 
 
+def test_tool_calls_keep_every_row(spark):
+    """One identifier in several conversations, hot and repeated identifiers, none at all, and turns of another role."""
+    calls = [(c, 0, "call_1", None, "answer", '{"turn":0,"query":"x"}') for c in (1, 2, None)] + [(2, 2, "call_2", "call_1", "answer", "{}"), (3, 0, "call_2", "call_1", "answer", "{}"), (1, 4, None, None, "answer", "{}")]
+    calls += [(4, 0, "hot", None, "answer", "{}")] * 20 + [(4, 9, "hot", None, "answer", '{"later":1}')]
+    results = [(1, 1, "call_1", "one"), (2, 1, "call_1", "two"), (None, 1, "call_1", "none"), (2, 3, "call_1", "again"), (4, 1, "hot", "h"), (4, 1, "hot", "h"), (5, 1, None, "lost"), (None, None, None, None)]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, parent_id string, name string, arguments string").withColumn("row", F.lit("clash"))
+    r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string").withColumn("key", F.lit("clash"))
+    o = spark.createDataFrame([(1, 0, "be kind"), (None, None, None)], "conv_id long, turn long, content string")
+    got = tool_calls.link_all(c, r, tool_calls.TURN_SCHEMAS, o).collect()
+    assert Counter((x["conv_id"], x["call_id"], x["status"], x["level"], json.loads(x["json"])["result"]) for x in got) == Counter(
+        {(1, "call_1", "linked", 0, "one"): 1, (2, "call_1", "linked", 0, "two"): 1, (None, "call_1", "linked", 0, "none"): 1, (2, "call_2", "unanswered", 1, None): 1, (3, "call_2", "unanswered", 0, None): 1, (1, None, "no_id", 0, None): 1}
+        | {(4, "hot", "linked", 0, "h"): 1, (4, "hot", "duplicate", None, None): 20, (4, "hot", "duplicate", None, "h"): 1, (2, "call_1", "duplicate", None, "again"): 1, (5, None, "no_id", None, "lost"): 1, (None, None, "no_id", None, None): 1}
+        | {(1, None, "other_role", None, "be kind"): 1, (None, None, "other_role", None, None): 1}
+    )
+    linked = sum(x["status"] == "linked" for x in got)
+    assert len(got) == c.count() + r.count() + o.count() - linked
+    counting = tool_calls.link(c, r, tool_calls.TURN_SCHEMAS).collect()
+    assert len(counting) == 7 and {x["conv_id"] for x in counting if x["status"] == "linked"} == {1, 2, 4, None}
+
+
 def test_levels_of_a_long_chain(spark):
     chain = spark.range(300).select(F.col("id").cast("string").alias("call_id"), (F.col("id") - 1).cast("string").alias("parent_id"))
     assert all(int(r["call_id"]) == r["level"] for r in tool_calls.levels(chain).collect())

@@ -31,6 +31,14 @@ def test_classifiers_cover_all(spark, name):
     assert got.join(docs.select("doc_id", held_out().alias("h")), "doc_id").filter("held_out <> h").isEmpty()
 
 
+def test_tool_calls_of_every_turn(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    got = QUERIES["op3_tool_call_rows"](spark, SF).cache()
+    assert got.count() + got.filter("status = 'linked'").count() == turns.count()
+    assert got.filter("status = 'other_role'").count() == turns.filter("role = 'system'").count() > 0
+    assert sorted(map(repr, got.filter("status <> 'other_role'").collect())) == sorted(map(repr, QUERIES["op3_tool_calls"](spark, SF).collect()))
+
+
 def test_pipeline_stages(spark):
     """Each stage against its operator on its own input; packing holds exactly what is left."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,9 +1,10 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text (hashed words and text statistics) and its page metadata (source, language,
-length). Each view has a logistic classifier. Over several rounds each classifier labels the unlabelled documents
-that it is surest of, and those pseudo-labels join the training set of the other one. Both views are then
-calibrated on labelled rows kept back from training, and their calibrated log-odds are added, less the prior.
+length). Each view has a logistic classifier. Over several rounds each classifier scores all unlabelled documents, in
+Spark, and labels those that it is sure of; of these pseudo-labels a bounded number joins the training set of the other
+one, dealt evenly over sources, so that rare sources have their share beside a hot one. The words of the documents are
+hashed once, for all rounds. Both views are then calibrated on labelled rows kept back from training, and their calibrated log-odds are added, less the prior.
 
 Cases: null text or metadata count as empty, a null length as the text's own; rows with a null label teach nothing.
 Without labelled rows of both classes every score is 0.5 and every document is kept. Columns of the input other
@@ -13,23 +14,27 @@ than the named ones play no part, whatever their names.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_sample, map_batches, one_label, texts_of
+from chronoweft.llm.common import bounded_sample, map_batches, materialize, one_label, texts_of
 from chronoweft.llm.hashed_words import WordIndex
 
-#: Bounds of the training sample, about: labelled rows of each class, and unlabelled rows.
+#: Bound of the training sample, about: labelled rows of each class.
 SAMPLE_PER_CLASS = 1500
-SAMPLE_UNLABELLED = 2000
 ROUNDS = 4
-#: Share of the unlabelled sample that a view labels in each round.
+#: Share of the unlabelled rows at hand that a view labels in each round.
 SHARE_PER_ROUND = 0.05
+#: Of the documents that a view is sure of, so many of a source and class, and of a class, are learned from in each round at most.
+MOST_PER_SOURCE = 25
+MOST_PER_ROUND = 250
+_SURE = 0.9
 METADATA_BUCKETS = 1 << 10
 #: Passes over a training set at least, and rows seen at least: few labels are seen more often.
 EPOCHS = 6
@@ -132,8 +137,12 @@ class QualityModel:
         return p(zt + zm - self.prior), p(zt), p(zm)
 
 
-def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, share: float = SHARE_PER_ROUND, seed: int = 5) -> QualityModel:
-    """labels: 0, 1, or -1 for an unlabelled row."""
+#: From (views, calibrations, rows that each view has labelled) to (the new (row, label) that each view is sure of, features of these rows).
+Search = Callable[[dict[str, tuple], dict[str, tuple[float, float]], dict[str, set[int]]], tuple[dict[str, list[tuple[int, int]]], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]]
+
+
+def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, share: float = SHARE_PER_ROUND, seed: int = 5, search: Search | None = None) -> QualityModel:
+    """labels: 0, 1, or -1 for an unlabelled row. Pseudo-labels are looked for among the unlabelled rows, or by search, if given."""
     model = QualityModel()
     known = np.flatnonzero(labels >= 0)
     if len(known) < 2 or labels[known].min() == labels[known].max():
@@ -148,6 +157,12 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
     for view in own:
         own[view] = {i: int(labels[i]) for i in train.tolist()}
     none = np.zeros((len(labels), 1))
+    place: dict[int, int] = {}
+    taken: dict[str, set[int]] = {"text": set(), "meta": set()}
+
+    def calibrated(view: str) -> tuple[float, float]:
+        z = model._raw(model.text, [words[i] for i in back], statistics[back]) if view == "text" else model._raw(model.meta, list(metadata[back]), none[back])
+        return _platt(z, labels[back])
 
     def fit(view: str) -> tuple:
         rows = np.array(list(own[view]))
@@ -160,14 +175,29 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
     model.text, model.meta = fit("text"), fit("meta")
     for _ in range(rounds):
         given = []
+        if search:
+            found, features = search({"text": model.text, "meta": model.meta}, {v: calibrated(v) for v in own}, taken)
+            new = [r for r in sorted(features) if r not in place]
+            if new:
+                place.update({r: len(labels) + k for k, r in enumerate(new)})
+                words = [*words, *(features[r][0] for r in new)]
+                statistics, metadata = np.vstack([statistics, *(features[r][1] for r in new)]), np.vstack([metadata, *(features[r][2] for r in new)])
+                labels = np.concatenate([labels, np.full(len(new), -1)])
+                none = np.zeros((len(labels), 1))
+            for view, other in (("text", "meta"), ("meta", "text")):
+                own[other].update({place[r]: y for r, y in found[view]})
+                taken[view].update(r for r, _ in found[view])
+                given.append(len(found[view]))
+            model.rounds.append(tuple(given))
+            model.text, model.meta = fit("text"), fit("meta")
+            continue
         for view, other in (("text", "meta"), ("meta", "text")):
             free = np.array([i for i in pool.tolist() if i not in own[other]], int)
             if not len(free):
                 given.append(0)
                 continue
             z = model._raw(model.text, [words[i] for i in free], statistics[free]) if view == "text" else model._raw(model.meta, list(metadata[free]), none[free])
-            kept_z = model._raw(model.text, [words[i] for i in back], statistics[back]) if view == "text" else model._raw(model.meta, list(metadata[back]), none[back])
-            a, b = _platt(kept_z, labels[back])
+            a, b = calibrated(view)
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             k = max(1, int(share * len(pool)) // 2)
             order = np.argsort(p, kind="stable")
@@ -178,8 +208,7 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
         model.text, model.meta = fit("text"), fit("meta")
     y = labels[back]
     model.prior = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
-    model.platt["text"] = _platt(model._raw(model.text, [words[i] for i in back], statistics[back]), y)
-    model.platt["meta"] = _platt(model._raw(model.meta, list(metadata[back]), none[back]), y)
+    model.platt = {view: calibrated(view) for view in own}
     model.fitted = True
     return model
 
@@ -190,13 +219,76 @@ def _views(texts: list[str], index: WordIndex, sources: list, langs: list, lengt
     return np.split(buckets, np.cumsum(sizes)[:-1]), text_statistics(texts, rows, sizes), metadata_features(sources, langs, [len(t) if n is None else n for t, n in zip(texts, lengths, strict=True)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample_per_class: int = SAMPLE_PER_CLASS, sample_unlabelled: int = SAMPLE_UNLABELLED) -> QualityModel:
-    """Learns from docs (key, text, source, lang, n_chars) and labels (key, label of 0 or 1): bounded samples of the labelled and the other
-    documents (see SAMPLE_PER_CLASS, SAMPLE_UNLABELLED); their keys are so few that they may be broadcast."""
+def _hashed(docs: DataFrame, key: str) -> DataFrame:
+    """key, row (a number of each document), source and the features of both views as bytes, written once for all rounds."""
+    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), "source", "text", "lang", "n_chars").filter("key IS NOT NULL")
+
+    def make():
+        index = WordIndex()
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words, statistics, metadata = _views(texts_of(batch), index, *(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+            as_bytes = lambda rows, kind: pa.array([x.astype(kind).tobytes() for x in rows], pa.binary())
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "row", "source")), as_bytes(words, np.int16), as_bytes(statistics, np.float64), as_bytes(metadata, np.int16)], ["key", "row", "source", "words", "statistics", "metadata"])
+
+        return one
+
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, row long, source {rows.schema['source'].dataType.simpleString()}, words binary, statistics binary, metadata binary"
+    return materialize(map_batches(rows, make, schema, rows=256), "quality-features")
+
+
+def _stored(words: list[bytes], statistics: list[bytes], metadata: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    return [np.frombuffer(x, np.int16) for x in words], np.frombuffer(b"".join(statistics)).reshape(len(words), -1), np.frombuffer(b"".join(metadata), np.int16).reshape(-1, 3).astype(np.int64)
+
+
+def _search_of(docs: DataFrame, known: DataFrame, key: str, most_per_source: int, most_per_round: int) -> Search:
+    """Looks through all documents of docs whose keys aren't among the known ones."""
+    made: list[DataFrame] = []
+
+    def search(views: dict[str, tuple], platt: dict[str, tuple[float, float]], taken: dict[str, set[int]]):
+        if not made:
+            made.append(_hashed(docs, key))
+        features = made[0]
+        shared = features.sparkSession.sparkContext.broadcast((views, platt))
+
+        def make():
+            views, platt = shared.value
+            model = QualityModel()
+
+            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+                words, statistics, metadata = _stored(*(batch.column(c).to_pylist() for c in ("words", "statistics", "metadata")))
+                z = {"text": model._raw(views["text"], words, statistics), "meta": model._raw(views["meta"], list(metadata), np.zeros((len(words), 1)))}
+                p = [1 / (1 + np.exp(-np.clip(platt[v][0] * z[v] + platt[v][1], -30, 30))) for v in ("text", "meta")]
+                return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "row", "source")), *(pa.array(x, pa.float64()) for x in p)], ["key", "row", "source", "text", "meta"])
+
+            return one
+
+        kind = {f.name: f.dataType.simpleString() for f in features.schema}
+        scored = map_batches(features, make, f"key {kind['key']}, row long, source {kind['source']}, text double, meta double")
+        sure = scored.filter(" OR ".join(f"{v} >= {_SURE} OR {v} <= 1 - {_SURE}" for v in views)).join(known.select("key"), "key", "left_anti")
+        sure = materialize(sure.select("row", "source", "text", "meta"), "quality-sure")
+        found: dict[str, list[tuple[int, int]]] = {}
+        for view in views:
+            p, found[view] = F.col(view), []
+            new = sure.filter(~F.col("row").isin(sorted(taken[view]))) if taken[view] else sure
+            labelled = new.select("row", "source", F.when(p >= _SURE, 1).when(p <= 1 - _SURE, 0).alias("label"), F.abs(p - 0.5).alias("margin")).filter("label IS NOT NULL")
+            dealt = labelled.withColumn("n", F.row_number().over(Window.partitionBy("label", "source").orderBy(F.desc("margin"), "row"))).filter(F.col("n") <= most_per_source)
+            for y in (0, 1):
+                found[view] += [(r["row"], y) for r in dealt.filter(F.col("label") == y).orderBy("n", F.desc("margin"), "row").limit(most_per_round).select("row").collect()]
+        wanted = sorted({r for rows in found.values() for r, _ in rows})
+        got = features.filter(F.col("row").isin(wanted)).select("row", "words", "statistics", "metadata").collect() if wanted else []
+        parts = {r["row"]: _stored([bytes(r["words"])], [bytes(r["statistics"])], [bytes(r["metadata"])]) for r in got}
+        shared.unpersist()
+        return found, {r: (w[0].astype(np.int32), t[0], m[0]) for r, (w, t, m) in parts.items()}
+
+    return search
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample_per_class: int = SAMPLE_PER_CLASS, most_per_source: int = MOST_PER_SOURCE, most_per_round: int = MOST_PER_ROUND) -> QualityModel:
+    """Learns from docs (key, text, source, lang, n_chars) and labels (key, label of 0 or 1): a bounded sample of the labelled documents
+    (see SAMPLE_PER_CLASS), whose keys are so few that they may be broadcast, and pseudo-labels from a pass over all others in each round."""
     known = one_label(labels, label, key)
-    free = docs.select(F.col(key).alias("key"), F.lit(-1).alias("label")).filter("key IS NOT NULL")
-    free = bounded_sample(free, "label", sample_unlabelled, "key", "quality").distinct().join(known.select("key"), "key", "left_anti")
-    keys = bounded_sample(known, "label", sample_per_class, "key", "quality").unionByName(free)
+    keys = bounded_sample(known, "label", sample_per_class, "key", "quality")
     sample = docs.select(F.col(key).alias("key"), "text", "source", "lang", "n_chars").join(F.broadcast(keys), "key")
     got = sample.toPandas().sort_values(["key", "text"], kind="stable")
     if not len(got):
@@ -209,7 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         words += [x.astype(np.int32) for x in w]
         statistics.append(t)
         metadata.append(m)
-    return co_train(words, np.vstack(statistics), np.vstack(metadata), got["label"].to_numpy())
+    search = _search_of(docs, known, key, most_per_source, most_per_round)
+    return co_train(words, np.vstack(statistics), np.vstack(metadata), got["label"].to_numpy(), search=search)
 
 
 def predict(df: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:

@@ -160,6 +160,16 @@ def test_views_teach_each_other():
     assert ((score >= 0.5) == truth).mean() > 0.97
 
 
+def test_every_unlabelled_document_may_be_labelled(spark):
+    """Sources of one document each, none of them labelled, beside a hot source of thousands: all reach the metadata view."""
+    rng = random.Random(9)
+    text = lambda k: sentences("en", 60, rng).replace(" ", " " if k % 2 else "### ")
+    rows = [(k, text(k), "en", "hot" if k < 5000 else f"rare {k}", 70) for k in range(5012)]
+    model = quality_cotraining.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int"))
+    weights = [model.meta[0][quality_cotraining.metadata_features([f"rare {k}"], ["en"], [70])[0][0]] for k in range(5000, 5012)]
+    assert all(w > 0 if k % 2 else w < 0 for k, w in enumerate(weights))
+
+
 # ---- tool calls
 
 

@@ -23,9 +23,10 @@ def edit_events(segments: DataFrame, by: Sequence[str], order: Sequence[str], fp
 
 
 def edit_list_lines(events: DataFrame, reel: Column, fps: int = 25) -> DataFrame:
-    """events with `line`, the text of each in an edit decision list."""
+    """events with `line`, the text of each in an edit decision list; numbers have three digits at least."""
+    number = F.col("number").cast("string")
     codes = [timecode.timecode(F.col(c), fps) for c in ("source_in", "source_out", "record_in", "record_out")]
-    return events.withColumn("line", F.concat_ws(" ", F.lpad(F.col("number").cast("string"), 3, "0"), F.rpad(reel, 8, " "), F.lit("V     C       "), *codes))
+    return events.withColumn("line", F.concat_ws(" ", F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")), F.rpad(reel, 8, " "), F.lit("V     C       "), *codes))
 
 
 def reel_name(path: Column) -> Column:

@@ -25,7 +25,7 @@ def _tc(c: str) -> str:
 @query("edit_list_lines", f"""WITH {_EVENTS} SELECT source, number, printf('%03d', number) || ' ' || rpad('CONV' || source, 8, ' ') || ' V     C        ' || {_tc("source_in")} || ' ' || {_tc("source_out")} || ' ' || {_tc("record_in")} || ' ' || {_tc("record_out")} AS line FROM g WHERE number < 1000""")
 def edit_list_lines(spark, sf_dir):
     reel = timeline.reel_name(F.concat(F.lit("media/conv_"), F.col("source"), F.lit(".mp4")))
-    return timeline.edit_list_lines(edit_events(spark, sf_dir).filter("number < 1000"), reel).select("source", "number", "line")
+    return timeline.edit_list_lines(edit_events(spark, sf_dir), reel).select("source", "number", "line")
 
 
 @query("output_times", f"""WITH {SEGMENTS} SELECT source, id, CAST(floor(coalesce(sum(("end" - start) / 1.25::DOUBLE) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) + 500 AS out_start,

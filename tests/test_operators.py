@@ -225,3 +225,17 @@ def test_timeline(spark):
     assert rows(timeline.edit_events(clips, ["source"], ["id"]), "number", "source_in", "record_in", "record_out") == [(1, 0, 0, 25), (2, 50, 25, 50)]
     names = spark.createDataFrame([("a/b c-1.final.mp4",), ("...",)], "p string").select(timeline.reel_name(F.col("p"))).collect()
     assert [r[0] for r in names] == ["BC1FINAL", "AX"]
+
+
+def _long_conversation(spark, tmp_path):
+    """1,200 turns of ten seconds in one conversation: numbers go past 999, and times past an hour."""
+    rows = spark.range(1200).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("words "), 30).alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
+
+
+def test_edit_list_has_every_event(spark, tmp_path):
+    from chronoweft.plans import registry
+
+    got = {r["number"]: r["line"] for r in registry.queries()["edit_list_lines"](spark, _long_conversation(spark, tmp_path)).collect()}
+    assert len(got) == 1200 and all(line.split(" ")[0] == f"{number:03d}" for number, line in got.items())

@@ -37,7 +37,7 @@ def srt_round_trip(spark, sf_dir):
 
 @query("chapter_list", f"""WITH {SEGMENTS} SELECT source, string_agg((start // 60000) || ':' || printf('%02d', (start // 1000) % 60) || ' ' || speaker, chr(10) ORDER BY start, speaker) AS text FROM s WHERE start < 3600000 GROUP BY source""")
 def chapter_list(spark, sf_dir):
-    return sinks.chapters(segments(spark, sf_dir).filter("start < 3600000").select("source", "start", F.col("speaker").alias("title")), ["source"])
+    return sinks.chapters(segments(spark, sf_dir).select("source", "start", F.col("speaker").alias("title")), ["source"])
 
 
 @query("timeline_json", f"""WITH {_EVENTS} SELECT source, '{{"kind":"Timeline","clips":[' || string_agg('{{"kind":"Clip","name":' || number || ',"source_range":{{"duration":{{"rate":25,"value":' || (source_out - source_in) || '}},"start_time":{{"rate":25,"value":' || source_in || '}}}}}}', ',' ORDER BY number) || ']}}' AS text FROM g GROUP BY source""")

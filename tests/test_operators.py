@@ -239,3 +239,11 @@ def test_edit_list_has_every_event(spark, tmp_path):
 
     got = {r["number"]: r["line"] for r in registry.queries()["edit_list_lines"](spark, _long_conversation(spark, tmp_path)).collect()}
     assert len(got) == 1200 and all(line.split(" ")[0] == f"{number:03d}" for number, line in got.items())
+
+
+def test_chapters_go_past_an_hour(spark, tmp_path):
+    from chronoweft.plans import registry
+
+    (got,) = registry.queries()["chapter_list"](spark, _long_conversation(spark, tmp_path)).collect()
+    lines = got["text"].split("\n")
+    assert len(lines) == 1200 and lines[0] == "0:00 user" and lines[359] == "59:50 assistant" and lines[360] == "1:00:00 user" and lines[-1] == "3:19:50 assistant"

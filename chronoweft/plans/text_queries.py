@@ -65,6 +65,15 @@ def guard_gate(spark, sf_dir):
     return d.join(found, "doc_id", "left").select("doc_id", F.when(F.col("hard") > 0, "blocked").when(F.col("all") > 0, "review").otherwise("ready").alias("status"))
 
 
+@query("guard_gate_text")
+def guard_gate_text(spark, sf_dir):
+    """Gate on the whole text with all rules; the first 24 characters are judged as a title besides."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 24).alias("title"))
+    found = T.violations(d, ["doc_id"], "text").unionByName(T.violations(d, ["doc_id"], "title", context="title"))
+    counts = found.groupBy("doc_id").agg(F.count_if(F.col("level") == "hard").alias("hard"), F.count("*").alias("all"))
+    return d.join(counts, "doc_id", "left").select("doc_id", F.when(F.col("hard") > 0, "blocked").when(F.col("all") > 0, "review").otherwise("ready").alias("status"))
+
+
 @query("bigram_jaccard", """WITH n AS (SELECT doc_id, lower(substr(text, 1, 60)) AS a, lower(substr(text, 31, 60)) AS b FROM documents), g AS (SELECT doc_id, list_distinct([substr(a, i, 2) FOR i IN range(1, length(a))]) AS x, list_distinct([substr(b, i, 2) FOR i IN range(1, length(b))]) AS y FROM n WHERE length(b) >= 2)
 SELECT doc_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS likeness FROM g""")
 def bigram_jaccard(spark, sf_dir):

@@ -247,3 +247,13 @@ def test_chapters_go_past_an_hour(spark, tmp_path):
     (got,) = registry.queries()["chapter_list"](spark, _long_conversation(spark, tmp_path)).collect()
     lines = got["text"].split("\n")
     assert len(lines) == 1200 and lines[0] == "0:00 user" and lines[359] == "59:50 assistant" and lines[360] == "1:00:00 user" and lines[-1] == "3:19:50 assistant"
+
+
+def test_gate_on_whole_texts(spark, tmp_path):
+    from chronoweft.plans import registry
+
+    plain = "nothing to see in this text " * 5
+    texts = [plain, plain + "www.shop.example", plain + "call 13812345678 now", plain + "my vx is here", plain + "qq", "short", "well...", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(registry.queries()["guard_gate_text"](spark, str(tmp_path)).collect())
+    assert got == {0: "review", 1: "blocked", 2: "blocked", 3: "blocked", 4: "blocked", 5: "ready", 6: "review", 7: "ready"}

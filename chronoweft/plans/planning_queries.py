@@ -53,9 +53,19 @@ p AS (SELECT *, lead(section) OVER w AS ns, lead(route) OVER w AS nr, lead(kw) O
 q AS (SELECT source, id, greatest(0, CASE WHEN section <> ns THEN 1.0 ELSE 0 END + CASE WHEN route <> nr THEN 1.0 ELSE 0 END + CASE WHEN NOT list_has_any(kw, nk) THEN 0.75 ELSE 0 END - CASE WHEN ns = 'cta' THEN 0.75 ELSE 0 END + CASE WHEN section = 'hook' AND ns IN ('pain', 'turn') THEN 0.5 ELSE 0 END)::DOUBLE AS need FROM p WHERE ns IS NOT NULL)
 SELECT source, id, need, need >= 2.5 AND sum(CASE WHEN need >= 2.5 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY id) <= 2 AS bridge FROM q""")
 def transition_bridges(spark, sf_dir):
+    return _bridges(spark, sf_dir, F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6))
+
+
+@query("transition_bridges_words")
+def transition_bridges_words(spark, sf_dir):
+    """With all words of each turn as its keywords, of any script."""
+    return _bridges(spark, sf_dir, F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
+
+
+def _bridges(spark, sf_dir, words):
     c = table(spark, sf_dir, "conversations")
     section = F.element_at(F.array(*map(F.lit, ("hook", "pain", "value", "cta"))), (F.col("turn") % 4 + 1).cast("int"))
-    shots = c.select(F.col("conv_id").alias("source"), F.col("turn").alias("id"), section.alias("section"), F.col("role").alias("route"), F.transform(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6), F.lower).alias("keywords"))
+    shots = c.select(F.col("conv_id").alias("source"), F.col("turn").alias("id"), section.alias("section"), F.col("role").alias("route"), F.transform(words, F.lower).alias("keywords"))
     return planning.bridges(planning.transition_scores(shots, ["source"], ["id"]), ["source"], ["id"], 2.5, 2).select("source", "id", "need", "bridge")
 
 

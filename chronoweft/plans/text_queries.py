@@ -81,6 +81,14 @@ def bigram_jaccard(spark, sf_dir):
     return d.select("doc_id", T.jaccard(T.character_ngrams(F.col("a")), T.character_ngrams(F.col("b"))).alias("likeness"))
 
 
+@query("bigram_jaccard_turns")
+def bigram_jaccard_turns(spark, sf_dir):
+    """Each whole turn of a conversation against the whole next one."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("a"))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", T.jaccard(T.character_ngrams(F.col("a")), T.character_ngrams(F.col("b"))).alias("likeness"))
+
+
 @query("timecodes", f"""WITH {UNITS}, m AS (SELECT id, ("end" - start) AS ms FROM u), f AS (SELECT id, ms, CAST(round_even(ms / 1000.0::DOUBLE * 25, 0) AS BIGINT) AS frames, ((ms + 5) // 10) * 10 AS cs FROM m)
 SELECT id, frames, printf('%02d:%02d:%02d:%02d', (frames // 25) // 3600, (frames // 1500) % 60, (frames // 25) % 60, frames % 25) AS timecode,
  printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS srt, printf('%d:%02d:%02d.%02d', cs // 3600000, (cs // 60000) % 60, (cs // 1000) % 60, (cs % 1000) // 10) AS ass,

@@ -257,3 +257,17 @@ def test_gate_on_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(registry.queries()["guard_gate_text"](spark, str(tmp_path)).collect())
     assert got == {0: "review", 1: "blocked", 2: "blocked", 3: "blocked", 4: "blocked", 5: "ready", 6: "review", 7: "ready"}
+
+
+def test_whole_turns_are_compared(spark, tmp_path):
+    from chronoweft.plans import registry
+
+    texts = ["one two three four five six seven " + "left " * 40 + "shared", "ab " * 60 + "élan Shared", "x", "y zebra"]
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    grams = [{t.lower()[i : i + 2] for i in range(len(t) - 1)} or {t} for t in texts]
+    got = {r["turn"]: r["likeness"] for r in registry.queries()["bigram_jaccard_turns"](spark, str(tmp_path)).collect()}
+    assert got == {k: len(grams[k] & grams[k + 1]) / len(grams[k] | grams[k + 1]) for k in range(3)}
+    need = {q: {r["id"]: r["need"] for r in registry.queries()[q](spark, str(tmp_path)).collect()} for q in ("transition_bridges", "transition_bridges_words")}
+    assert need["transition_bridges"][0] - need["transition_bridges_words"][0] == 0.75
+    assert need["transition_bridges"][2] == need["transition_bridges_words"][2]

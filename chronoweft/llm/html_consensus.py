@@ -1,7 +1,12 @@
 """HTML extraction by consensus host paths.
 
+Boilerplate is what stands in elements, roles or classes of that kind. A class or id counts by its whole tokens: `site-footer`
+and `comments` name boilerplate, `no-sidebar`, `has-footer` and `overflow-hidden` say how a page is laid out. A container with
+such a class is still none if it holds `main` or nearly all of the page's text. In a `header` within an article or `main` the
+headings are content. Where a page has text in boilerplate of classes only, that is its content.
+
 The content of a page is its blocks outside boilerplate that are neither mostly links nor labels (a single short
-word that stands in no paragraph, heading, list or table). Each page votes, in Spark, for the innermost container
+word that stands in no paragraph, heading, list or table); without any, its other blocks, those of links last. Each page votes, in Spark, for the innermost container
 that holds all of its content, and with smaller shares for those around it, as paths for their host: tags and classes
 from the root down, with digits generalised. Each page is then extracted again with the winning path of its host: all
 blocks in there, links and labels too, and content wherever else it stands on the page. A page without that path, or
@@ -20,16 +25,22 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.llm.common import map_batches, materialize
 
-#: A host's path has so many bytes at most when winners are broadcast; so many hosts may be.
+#: So many hosts' winning paths may be broadcast; a path has at most _PATH_LABELS labels of _LABEL_BYTES characters and a digest.
 BROADCAST_HOSTS = 50_000
+_PATH_LABELS = 8
+_LABEL_BYTES = 100
+#: Containers with a class of boilerplate hold this share of a page's text only if they are around the article too.
+_NEARLY_ALL = 0.8
 SALTS = 16
 _MOST_VOTES = 3
 
@@ -37,7 +48,11 @@ _MOST_VOTES = 3
 _RAW = "script|style|title|noscript|textarea|template|svg|math|iframe|object|select|canvas"
 _CONTAINERS = frozenset("html body main article section div table tbody tr td th ul ol li dl dd dt nav header footer aside form figure figcaption blockquote details dialog menu fieldset head button label".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre br hr address summary caption thead tfoot center option legend".split())
-_DROPPED = frozenset("nav header footer aside form head button menu dialog label fieldset figcaption".split())
+_DROPPED = frozenset("nav header footer aside form head button menu dialog label fieldset".split())
+#: First parts of class names that say how a page is laid out, and words of _BOILERPLATE that count only as whole names.
+_LAYOUT = frozenset("no not has with without is hide show toggle overflow col row grid".split())
+_WHOLE_ONLY = frozenset("hidden side rail reply skip search foot tags legal social".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot copyright cookie cookies consent gdpr notice notices alert"
     " popup modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist reply replies respond discussion disqus related recommended recommendations share sharing social widget toolbar pagination pager tags skip hidden"
@@ -59,72 +74,134 @@ _DIGITS = re.compile(r"\d+")
 
 @dataclass
 class Container:
-    path: str
+    """label: tag and classes. digest: of the labels from the root down to here. kind: 2 boilerplate, 1 by class only, 0 none."""
+
+    label: str
+    digest: int
     parent: int
-    depth: int
-    dropped: bool
+    kind: int
+    main: bool = False
+
+
+@dataclass
+class Block:
+    at: int
+    text: str
+    content: bool
+    linked: bool
+    heading: bool
 
 
 @dataclass
 class Page:
-    """The containers of a page in page order, and its blocks: (innermost container, text, whether it is content, whether it is mostly links)."""
+    """The containers of a page in page order, and its blocks with their innermost container; boilerplate too until settled."""
 
     containers: list[Container] = field(default_factory=list)
-    blocks: list[tuple[int, str, bool, bool]] = field(default_factory=list)
-
-    def within(self, at: int, chosen: set[int]) -> bool:
-        while at >= 0:
-            if at in chosen:
+    blocks: list[Block] = field(default_factory=list)
+
+    def path(self, at: int) -> str:
+        """Name of a container's path: a digest of all labels and the last few of them."""
+        labels, k = [], at
+        while k > 0 and len(labels) < _PATH_LABELS:
+            labels.append(self.containers[k].label[:_LABEL_BYTES])
+            k = self.containers[k].parent
+        return f"{'/'.join(reversed(labels))}#{self.containers[at].digest:016x}"
+
+    def totals(self, of: list[int]) -> list[int]:
+        """`of` by container, with what is in the containers inside."""
+        for k in range(len(of) - 1, 0, -1):
+            of[self.containers[k].parent] += of[k]
+        return of
+
+    def settle(self) -> None:
+        """Decides which containers are boilerplate and leaves out their blocks."""
+        held, mains = [0] * len(self.containers), [0] * len(self.containers)
+        hard = self.below(lambda c: c.kind == 2)
+        for b in self.blocks:
+            held[b.at] += len(b.text) * (not hard[b.at] and not b.linked)
+        for k, c in enumerate(self.containers):
+            mains[k] += c.main
+        held, mains = self.totals(held), self.totals(mains)
+        for k, c in enumerate(self.containers):
+            if c.kind == 1 and (mains[k] or held[k] > _NEARLY_ALL * held[0]):
+                c.kind = 0
+        bad = self.below(lambda c: c.kind > 0)
+        kept = [b for b in self.blocks if not bad[b.at] or b.heading and not self.outside_article(b.at)]
+        self.blocks = kept or [b for b in self.blocks if not hard[b.at]]
+
+    def below(self, is_one) -> list[bool]:
+        """By container: whether it or one around it is such a one."""
+        out: list[bool] = []
+        for c in self.containers:
+            out.append(is_one(c) or c.parent >= 0 and out[c.parent])
+        return out
+
+    def outside_article(self, at: int) -> bool:
+        """Whether a container isn't, by no other boilerplate than `header` elements, in an article or main."""
+        while at > 0:
+            c = self.containers[at]
+            tag = c.label.split(".", 1)[0]
+            if c.kind == 0 and tag in ("article", "main"):
+                return False
+            if c.kind and tag != "header":
                 return True
-            at = self.containers[at].parent
-        return False
+            at = c.parent
+        return True
 
     def best(self) -> list[tuple[str, float]]:
-        """Paths with their shares: the innermost container that leaves no content behind, and those around it. A page without content goes by its labels."""
-        counted = [at for at, _, content, _ in self.blocks if content] or [at for at, _, _, linked in self.blocks if not linked]
+        """Paths with their shares: the innermost container that leaves no content behind, and those around it. A page without content goes by its labels, or by its links."""
+        counted = [b.at for b in self.blocks if b.content] or [b.at for b in self.blocks if not b.linked] or [b.at for b in self.blocks]
         if not counted:
             return []
         total = [0] * len(self.containers)
         for at in counted:
             total[at] += 1
-        for k in range(len(total) - 1, 0, -1):
-            total[self.containers[k].parent] += total[k]
+        total = self.totals(total)
         at = max(k for k, n in enumerate(total) if n == total[0])
         line = []
         while at >= 0 and len(line) < _MOST_VOTES:
             line.append(at)
             at = self.containers[at].parent
-        return [(self.containers[k].path, 1.0 / (1 + n)) for n, k in enumerate(line)]
+        return [(self.path(k), 1.0 / (1 + n)) for n, k in enumerate(line)]
 
     def extract(self, path: str | None) -> str:
         """All blocks below the path and the content beside it; empty if the page has no text below the path."""
-        chosen = {k for k, c in enumerate(self.containers) if c.path == path and not c.dropped}
-        inside = [bool(chosen) and self.within(at, chosen) for at, *_ in self.blocks]
-        return "\n".join(t for (_, t, content, _), here in zip(self.blocks, inside, strict=True) if here or content) if any(inside) else ""
+        digest = int(path.rsplit("#", 1)[1], 16) if path else None
+        inside = self.below(lambda c: c.digest == digest)
+        here = [inside[b.at] for b in self.blocks]
+        return "\n".join(b.text for b, within in zip(self.blocks, here, strict=True) if within or b.content) if any(here) else ""
 
 
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {}
 
 
+def _of_boilerplate(name: str) -> bool:
+    """Whether a class or id names boilerplate: by its first or last part, unless the first says how the page is laid out."""
+    parts = [p for p in _PARTS.split(name) if p]
+    if not parts or parts[0] in _LAYOUT:
+        return False
+    return len(parts) == 1 and parts[0] in _BOILERPLATE or any(p in _BOILERPLATE and p not in _WHOLE_ONLY for p in (parts[0], parts[-1]))
+
+
 def read(page: str | None) -> Page:
     """The containers and blocks of a page, boilerplate left out."""
-    out = Page([Container("", -1, 0, False)])
+    out = Page([Container("", 0, -1, 0)])
     stack = [(0, "")]
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
-    in_link = named = False  # named: in a paragraph, heading or the like
+    in_link = named = heading = False  # named: in a paragraph, heading or the like
 
     def end_block() -> None:
         nonlocal linked
         if text:
             at = stack[-1][0]
-            c = out.containers[at]
             whole = " ".join(html.unescape("".join(text)).split())
-            if whole and not c.dropped:
+            if whole:
                 links = 2 * linked >= len(whole)
                 label = not named and stack[-1][1] in _PLAIN and len(whole) <= _LABEL_CHARS and whole.isascii() and " " not in whole
-                out.blocks.append((at, whole, not links and not label, links))
+                out.blocks.append(Block(at, whole, not links and not label, links, heading))
             text.clear()
         linked = 0
 
@@ -135,6 +212,12 @@ def read(page: str | None) -> Page:
             if in_link:
                 linked += len(part)
 
+    def close(tag: str) -> None:
+        if open_tags[tag]:
+            while (last := stack.pop()[1]) != tag:
+                open_tags[last] -= 1
+            open_tags[tag] -= 1
+
     page, done = page or "", 0
     for m in _TOKEN.finditer(page):
         add(page[done : m.start()])
@@ -151,30 +234,31 @@ def read(page: str | None) -> Page:
         end_block()
         if tag not in ("br", "hr"):
             named = tag not in _CONTAINERS and not m["close"]
+            heading = tag in _HEADINGS and not m["close"]
         if tag not in _CONTAINERS:
             continue
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == tag:
-                    del stack[k:]
-                    in_link = False
-                    break
+            if open_tags[tag]:
+                close(tag)
+                in_link = False
             continue
         if tag in ("li", "td", "th", "tr", "dd", "dt") and stack[-1][1] == tag:
-            stack.pop()
+            close(tag)
         if tag == "body" and stack[-1][1] == "head":
-            stack.pop()
+            close("head")
         names = _attributes(m["rest"])
         classes = names.get("class", "").lower().split()
-        parts = {p for c in [*classes, names.get("id", "").lower()] for p in _PARTS.split(c) if p}
         parent = stack[-1][0]
-        above = out.containers[parent]
-        bad = tag in _DROPPED or names.get("role", "").lower() in _ROLES or "hidden" in names or names.get("aria-hidden") == "true" or bool(parts & _BOILERPLATE) and tag not in ("html", "body", "main", "article")
+        hard = tag in _DROPPED or names.get("role", "").lower() in _ROLES or "hidden" in names or names.get("aria-hidden") == "true"
+        soft = tag not in ("html", "body", "main", "article") and any(map(_of_boilerplate, [*classes, names.get("id", "").lower()]))
         label = ".".join([tag, *sorted({_DIGITS.sub("0", c) for c in classes})])
-        out.containers.append(Container(f"{above.path}/{label}", parent, above.depth + 1, above.dropped or bad))
+        digest = xxhash.xxh3_64_intdigest(label.encode("utf-8", "replace"), seed=out.containers[parent].digest)
+        out.containers.append(Container(label, digest, parent, 2 if hard else int(soft), tag == "main"))
         stack.append((len(out.containers) - 1, tag))
+        open_tags[tag] += 1
     add(page[done:])
     end_block()
+    out.settle()
     return out
 
 

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six ASCII white-space characters (bytes.split() cuts at the same ones).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _HASH_SPAN = 1 << 30
+#: So many values may be sampled by with a broadcast; more, e.g. of a dirty column, with a shuffle.
+_BROADCAST_VALUES = 10_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one of our own only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a local one of our own only where it is unset and Spark runs on this machine alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="chronoweft-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -75,10 +79,15 @@ def one_label(labels: DataFrame, label: str, key: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, by: str, bound: int, key: str, seed: str) -> DataFrame:
-    """About `bound` rows of each value of `by` at most, chosen by a hash of `key`; fewer values than rows are assumed, e.g. labels or languages."""
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    share = F.lit(_HASH_SPAN)
-    for value, n in counts.items():
-        if n > bound:
-            share = F.when(F.col(by) == F.lit(value), F.lit(int(_HASH_SPAN * bound / n))).otherwise(share)
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(_HASH_SPAN)) < share)
+    """About `bound` rows of each value of `by` at most, chosen by a hash of `key`; any number of values.
+
+    Rows of one key are taken or left together, so a key that very many rows share is in the sample with all of them or with none:
+    callers that bring the sample to the driver deduplicate it by key first.
+    """
+    counts = df.groupBy(by).agg(F.count("*").alias("__n"))
+    shares = counts.select(F.col(by).alias("__by"), (F.lit(_HASH_SPAN) * F.least(F.lit(1.0), F.lit(float(bound)) / F.col("__n"))).cast("long").alias("__share"))
+    few = shares.limit(_BROADCAST_VALUES + 1).collect()
+    if len(few) <= _BROADCAST_VALUES:
+        shares = F.broadcast(df.sparkSession.createDataFrame(few, shares.schema))
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(_HASH_SPAN))
+    return df.join(shares, F.col(by) == F.col("__by")).filter(place < F.col("__share")).drop("__by", "__share")

@@ -25,18 +25,22 @@ MOST_REMOVED = 0.5
 LEAST_WORDS = 50
 #: Repeated words, in hundredths of all words, above which a document fails.
 MOST_REPEATED = 50
-#: Copies of the list of frequent lines that one line's occurrences are spread over.
-SALTS = 16
+#: Bytes of frequent lines (hash and host) that may be broadcast; more are joined by shuffle, and AQE splits lines that very many rows have.
+BROADCAST_BYTES = 8 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 _CACHE_WORDS = 60_000
+#: Longer words are held by their digest, which gives the table a bound in bytes.
+_CACHE_WORD_BYTES = 64
 
 
 class _Numbers(dict):
     """word -> a number of its own."""
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > _CACHE_WORD_BYTES:
+            return self[b"\n" + xxhash.xxh3_128_digest(word)]  # no word has a line feed
         self[word] = n = len(self)
         return n
 
@@ -88,8 +92,8 @@ def _measured(text: str, numbers: _Numbers) -> tuple[int, int, int, int, int, li
 
 
 def measure(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
-    """id, host, row (hash of id and text), the base counts, and `lines`, the distinct normalised lines with their words."""
-    rows = docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), F.xxhash64(key, text).alias("row"), F.col(text).alias("__text"))
+    """id, host, content (hash of the text), the base counts, and `lines`, the distinct normalised lines with their words."""
+    rows = docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("content"), F.col(text).alias("__text"))
 
     def make():
         numbers = _Numbers()
@@ -102,11 +106,11 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
             flat = [x for g in got for x in g[5]]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(g[5]) for g in got])]), pa.int32())
             pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32())], ["h", "words"])
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "row")), *counts, pa.ListArray.from_arrays(offsets, pairs)], ["id", "host", "row", *_COUNTS, "lines"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "content")), *counts, pa.ListArray.from_arrays(offsets, pairs)], ["id", "host", "content", *_COUNTS, "lines"])
 
         return one
 
-    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, host string, row long, {', '.join(f'{c} long' for c in _COUNTS)}, lines array<struct<h:long,words:int>>", rows=256)
+    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, host string, content long, {', '.join(f'{c} long' for c in _COUNTS)}, lines array<struct<h:long,words:int>>", rows=256)
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -120,22 +124,25 @@ def frequent_lines(measured: DataFrame, most_documents: int = MOST_DOCUMENTS) ->
 
 def verdicts(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", most_documents: int = MOST_DOCUMENTS) -> DataFrame:
     """The base counts of each row, base_failed, removed_words, removed (hashes of its removed lines) and kept."""
-    measured = materialize(measure(docs, text, key, host), "lines-measured")
-    salted = materialize(frequent_lines(measured, most_documents), "lines-frequent").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = measured.select("row", "host", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.inline("lines"))
-    on = lines["host"].eqNullSafe(salted["host"]) & (lines["h"] == salted["h"]) & (lines["salt"] == salted["salt"])
-    hit = lines.join(salted, on).select(lines["row"], lines["h"], "words").distinct()
+    measured = materialize(measure(docs, text, key, host).withColumn("row", F.monotonically_increasing_id()), "lines-measured")
+    frequent = materialize(frequent_lines(measured, most_documents), "lines-frequent")
+    size = frequent.agg(F.count("*").alias("n"), F.sum(F.octet_length("host")).alias("bytes")).first()
+    lines = measured.select("row", "host", F.inline("lines"))
+    few = F.broadcast(frequent) if 16 * size["n"] + (size["bytes"] or 0) <= BROADCAST_BYTES else frequent
+    hit = lines.join(few, lines["host"].eqNullSafe(few["host"]) & (lines["h"] == few["h"])).select("row", lines["h"], "words")
     lost = hit.groupBy("row").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("h")).alias("removed"))
     joined = measured.drop("lines").join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = joined.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("removed_words") <= F.col("n_words") * MOST_REMOVED))
-    return judged.select(F.col("id").alias(key), *_COUNTS, "base_failed", "removed_words", "removed", "kept", "row")
+    return judged.select(F.col("id").alias(key), *_COUNTS, "base_failed", "removed_words", "removed", "kept", "host", "content")
 
 
-def cleaned(docs: DataFrame, judged: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def cleaned(docs: DataFrame, judged: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
     """The kept documents without their removed lines; the columns of docs."""
-    kept = judged.filter("kept").select(F.col("row").alias("__row"), F.coalesce("removed", F.array().cast("array<long>")).alias("__removed")).dropDuplicates(["__row"])
-    rows = docs.withColumn("__row", F.xxhash64(key, text)).join(kept, "__row")
+    same = [F.col(key).alias("__key"), F.col("host").alias("__host"), F.col("content").alias("__content")]
+    kept = judged.filter("kept").select(*same, F.coalesce("removed", F.array().cast("array<long>")).alias("__removed")).dropDuplicates(["__key", "__host", "__content"])
+    on = docs[key].eqNullSafe(F.col("__key")) & docs[host].cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(docs[text]) == F.col("__content"))
+    rows = docs.join(kept, on)
     columns = docs.columns
 
     def make():

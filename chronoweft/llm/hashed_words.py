@@ -12,6 +12,8 @@ BUCKETS = 1 << 15
 FEATURES = 5
 _EDGES = ".,;:!?*%$&#|()[]{}\"'`<>=+-_/\\"
 _CACHE_WORDS = 150_000
+#: Longer words are looked up by their ends and a digest, which gives the index a bound in bytes.
+_LONGEST = 64
 
 
 def features(word: bytes) -> tuple[int, int, int, int, int]:
@@ -20,6 +22,11 @@ def features(word: bytes) -> tuple[int, int, int, int, int]:
     return tuple(zlib.crc32(part.encode(), seed) % BUCKETS for seed, part in ((1, w), (2, w[:4]), (3, w[:5]), (4, w[:6]), (5, w[-4:])))
 
 
+def shortened(word: bytes) -> bytes:
+    """A word of at most _LONGEST bytes: long ones keep their ends."""
+    return word if len(word) <= _LONGEST else word[:24] + b"%08x" % zlib.crc32(word) + word[-24:]
+
+
 class WordIndex(dict):
     """word -> row number, with the features of each row; begins anew when it holds too many words."""
 
@@ -29,6 +36,8 @@ class WordIndex(dict):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > _LONGEST:
+            return self[shortened(word)]
         self[word] = at = len(self.rows)
         self.rows.append(features(word))
         return at

@@ -6,7 +6,8 @@ Spark, and labels those that it is sure of; of these pseudo-labels a bounded num
 one, dealt evenly over sources, so that rare sources have their share beside a hot one. The words of the documents are
 hashed once, for all rounds. Both views are then calibrated on labelled rows kept back from training, and their calibrated log-odds are added, less the prior.
 
-Cases: null text or metadata count as empty, a null length as the text's own; rows with a null label teach nothing.
+Cases: null text or metadata count as empty, a null length as the text's own; rows with a null label or key teach nothing, and
+of rows that share a key the one with the smallest text.
 Without labelled rows of both classes every score is 0.5 and every document is kept. Columns of the input other
 than the named ones play no part, whatever their names.
 """
@@ -35,10 +36,14 @@ SHARE_PER_ROUND = 0.05
 MOST_PER_SOURCE = 25
 MOST_PER_ROUND = 250
 _SURE = 0.9
+#: Longer texts aren't trained on, so the sample has a bound in bytes; they are scored whole like all others.
+MOST_CHARS = 50_000
 METADATA_BUCKETS = 1 << 10
 #: Passes over a training set at least, and rows seen at least: few labels are seen more often.
 EPOCHS = 6
 LEAST_SEEN = 16_000
+#: Rows of each class that a half of the rows kept back has at least; with fewer both halves are one.
+_LEAST_EACH = 20
 _WORD_BUCKETS = 1 << 15
 _TABLE = 0x3000
 
@@ -152,6 +157,10 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
     back, train = known[: len(known) // 5], known[len(known) // 5 :]
     if not len(back) or labels[train].min() == labels[train].max() or labels[back].min() == labels[back].max():
         back = train = known
+    # One half of the rows kept back says how sure a view is in each round, the other calibrates the result.
+    choose, final = back[: len(back) // 2], back[len(back) // 2 :]
+    if min(np.bincount(labels[part], minlength=2).min() for part in (choose, final)) < _LEAST_EACH:
+        choose = final = back
     pool = np.flatnonzero(labels < 0)
     own = {"text": dict.fromkeys(train.tolist()), "meta": dict.fromkeys(train.tolist())}
     for view in own:
@@ -160,9 +169,9 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
     place: dict[int, int] = {}
     taken: dict[str, set[int]] = {"text": set(), "meta": set()}
 
-    def calibrated(view: str) -> tuple[float, float]:
-        z = model._raw(model.text, [words[i] for i in back], statistics[back]) if view == "text" else model._raw(model.meta, list(metadata[back]), none[back])
-        return _platt(z, labels[back])
+    def calibrated(view: str, rows: np.ndarray) -> tuple[float, float]:
+        z = model._raw(model.text, [words[i] for i in rows], statistics[rows]) if view == "text" else model._raw(model.meta, list(metadata[rows]), none[rows])
+        return _platt(z, labels[rows])
 
     def fit(view: str) -> tuple:
         rows = np.array(list(own[view]))
@@ -176,7 +185,7 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
     for _ in range(rounds):
         given = []
         if search:
-            found, features = search({"text": model.text, "meta": model.meta}, {v: calibrated(v) for v in own}, taken)
+            found, features = search({"text": model.text, "meta": model.meta}, {v: calibrated(v, choose) for v in own}, taken)
             new = [r for r in sorted(features) if r not in place]
             if new:
                 place.update({r: len(labels) + k for k, r in enumerate(new)})
@@ -197,7 +206,7 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
                 given.append(0)
                 continue
             z = model._raw(model.text, [words[i] for i in free], statistics[free]) if view == "text" else model._raw(model.meta, list(metadata[free]), none[free])
-            a, b = calibrated(view)
+            a, b = calibrated(view, choose)
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             k = max(1, int(share * len(pool)) // 2)
             order = np.argsort(p, kind="stable")
@@ -206,9 +215,9 @@ def co_train(words: list[np.ndarray], statistics: np.ndarray, metadata: np.ndarr
             given.append(len(sure))
         model.rounds.append(tuple(given))
         model.text, model.meta = fit("text"), fit("meta")
-    y = labels[back]
+    y = labels[final]
     model.prior = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
-    model.platt = {view: calibrated(view) for view in own}
+    model.platt = {view: calibrated(view, final) for view in own}
     model.fitted = True
     return model
 
@@ -289,8 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     (see SAMPLE_PER_CLASS), whose keys are so few that they may be broadcast, and pseudo-labels from a pass over all others in each round."""
     known = one_label(labels, label, key)
     keys = bounded_sample(known, "label", sample_per_class, "key", "quality")
-    sample = docs.select(F.col(key).alias("key"), "text", "source", "lang", "n_chars").join(F.broadcast(keys), "key")
-    got = sample.toPandas().sort_values(["key", "text"], kind="stable")
+    rows = docs.select(F.col(key).alias("key"), "text", "source", "lang", "n_chars").filter(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS)
+    one = rows.join(F.broadcast(keys), "key").groupBy("key", "label").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"))
+    got = one.select("key", "label", "r.*").toPandas().sort_values("key", kind="stable")
     if not len(got):
         return QualityModel()
     index, words, statistics, metadata = WordIndex(), [], [], []

@@ -2,13 +2,12 @@
 
 Words are looked up in hashed embeddings (the word and parts of it, see hashed_words), filters of several widths
 run over the whole text, the maximum of each filter over all positions goes into one logistic unit. It is trained
-by stochastic gradient descent with AdaGrad on a bounded, documented sample of labelled rows. The first dimension
-of the embeddings begins as the log-odds of a bucket among the labels. Scores are calibrated on rows kept back
-from the training sample, and shifted so that 0.5 is the best threshold of the text's language, as predicted from
-the text itself by language ID.
+by stochastic gradient descent with AdaGrad on a bounded, documented sample of labelled rows; embeddings and filters
+begin at random. On rows kept back from the training sample a slope is fitted and scores are shifted so that 0.5 is the best
+threshold of the text's language, as predicted from the text itself by language ID.
 
-Cases: a null or empty text has no word and gets the score of an all-zero window. Rows with a null label teach
-nothing. Without rows of both classes every score is 0 (no evidence of toxicity).
+Cases: a null or empty text has no word and gets the score of an all-zero window. Rows with a null label or key teach
+nothing, and of rows that share a key the one with the smallest text. Without rows of both classes every score is 0 (no evidence of toxicity).
 """
 
 from __future__ import annotations
@@ -26,12 +25,17 @@ from chronoweft.llm.language_id import LanguageModel
 
 #: Bound of the training sample: so many labelled rows of each class, about.
 SAMPLE_PER_CLASS = 2500
+#: Longer texts aren't trained on, so the sample has a bound in bytes; they are scored whole like all others.
+MOST_CHARS = 50_000
 WIDTHS = (1, 2, 3)
 DIMENSIONS = 16
 FILTERS = 12
 #: Passes over the sample at least, and documents seen at least: few labels are seen more often.
-EPOCHS = 5
+EPOCHS = 8
 LEAST_SEEN = 24_000
+#: Deviation of the random embeddings, and bounds of the fitted slope.
+_SPREAD = 0.1
+_SLOPES = (0.25, 4.0)
 _BATCH = 32
 #: A language needs so many rows of each class for a threshold of its own.
 _LEAST = 15
@@ -96,23 +100,17 @@ class ToxicityModel:
         kept_back, train = order[: len(order) // 5], order[len(order) // 5 :]
         if labels[train].min() == labels[train].max():
             train = order
-        docs_with = np.zeros((2, BUCKETS))
-        for i in train:
-            docs_with[labels[i], np.unique(docs[i])] += 1
-        n = np.bincount(labels[train], minlength=2)
-        odds = np.log((docs_with[1] + 4) / (n[1] + 8)) - np.log((docs_with[0] + 4) / (n[0] + 8))
-        self.embeddings = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32)
-        self.embeddings[:, 0] = odds / 2
+        self.embeddings = rng.normal(0, _SPREAD, (BUCKETS, DIMENSIONS)).astype(np.float32)
         for w in WIDTHS:
-            self.filters[w] = rng.normal(0, 0.1, (w, DIMENSIONS, FILTERS)).astype(np.float32)
-            self.filters[w][:, 0, :] += np.where(np.arange(FILTERS) % 3 == 2, -0.5, 1.0) / w
-        self.out = np.where(np.tile(np.arange(FILTERS), len(WIDTHS)) % 3 == 2, -0.2, 0.3).astype(np.float32)
-        self.bias = -0.5
+            self.filters[w] = rng.normal(0, (w * DIMENSIONS) ** -0.5, (w, DIMENSIONS, FILTERS)).astype(np.float32)
+        self.out = rng.normal(0, _SPREAD, FILTERS * len(WIDTHS)).astype(np.float32)
+        positive = float(labels[train].mean())
+        self.bias = float(np.log(positive / (1 - positive)))
         self._descend(docs, labels, train, rng)
         self._calibrate(texts, labels, kept_back if len(kept_back) >= 20 else order)
 
     def _descend(self, docs: list[np.ndarray], labels: np.ndarray, train: np.ndarray, rng: np.random.Generator) -> None:
-        squares = {"e": np.full(BUCKETS, 1e-3), "o": np.full(len(self.out), 1e-3), "b": 1e-3} | {w: np.full(self.filters[w].shape, 1e-3) for w in WIDTHS}
+        squares = {"e": np.full(BUCKETS, 1e-6), "o": np.full(len(self.out), 1e-3), "b": 1e-3} | {w: np.full(self.filters[w].shape, 1e-3) for w in WIDTHS}
         rate = 0.05
         for _ in range(max(EPOCHS, min(30, LEAST_SEEN // max(len(train), 1)))):
             for at in np.array_split(rng.permutation(train), max(1, len(train) // _BATCH)):
@@ -167,6 +165,17 @@ class ToxicityModel:
             of = langs == lang
             if min(y[of].sum(), (1 - y[of]).sum()) >= _LEAST:
                 self.threshold[lang] = _best_cut(z[of], y[of])
+        self.slope = _best_slope(z - np.array([self.threshold.get(lang, self.default_threshold) for lang in langs]), y)
+
+
+def _best_slope(z: np.ndarray, y: np.ndarray) -> float:
+    """The slope of the logistic curve through 0.5 at 0 that fits best, within bounds; by bisection, as the likelihood is concave."""
+    low, high = _SLOPES
+    for _ in range(40):
+        mid = (low + high) / 2
+        rising = (z * (y - 1 / (1 + np.exp(-np.clip(mid * z, -30, 30))))).sum() > 0
+        low, high = (mid, high) if rising else (low, mid)
+    return float((low + high) / 2)
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -184,8 +193,9 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """Learns from docs (key, text) and labels (key, label of 0 or 1): a bounded sample of the labels (see SAMPLE_PER_CLASS), which is why it may be broadcast."""
     sample = bounded_sample(one_label(labels, label, key), "label", sample_per_class, "key", "toxicity")
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    got = rows.join(F.broadcast(sample), "key").select("key", "text", "label").toPandas().sort_values(["key", "text"], kind="stable")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.length("text") <= MOST_CHARS)
+    one = rows.join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    got = one.toPandas().sort_values("key", kind="stable")
     model = ToxicityModel(languages)
     model.train(got["text"].tolist(), got["label"].to_numpy(np.int64))
     return model

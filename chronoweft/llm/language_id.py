@@ -5,7 +5,8 @@ turns it into log-probabilities; predict() broadcasts that matrix and scores bat
 batch are one sparse matrix (bucket indices and row starts), multiplied with the log-probabilities.
 
 Cases: a null or empty text, or one without a letter, is `und` with score 0. Rows with a null language teach
-nothing. Repeated rows count as often as they come. Without any labelled row every text is `und`. Ties go to the
+nothing. Repeated rows count as often as they come; as the sample goes by a hash of the key, rows of one key are in it
+together or not at all. The matrix has a row for each of at most MOST_LANGUAGES languages, those with most documents. Without any labelled row every text is `und`. Ties go to the
 language that sorts first. Other columns of the input are left out of the result, whatever their names.
 """
 
@@ -27,6 +28,8 @@ ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 #: Bound of the training sample: so many documents of each language, about.
 SAMPLE_PER_LANGUAGE = 2000
+#: Languages that are learned at most: the matrix has 256 KB for each.
+MOST_LANGUAGES = 200
 #: A posterior counts so many n-grams at most, as n-grams of one text are far from independent.
 EVIDENCE = 60.0
 _TABLE = 0x20000
@@ -92,6 +95,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     """Learns from the rows of df that have a language and a text; a bounded sample of them (see SAMPLE_PER_LANGUAGE)."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    rows = rows.filter(F.col("lang").isin([r["lang"] for r in top.collect()]))
     sample = bounded_sample(rows, "lang", sample_per_language, "key", "language").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

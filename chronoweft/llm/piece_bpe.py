@@ -31,6 +31,8 @@ from chronoweft.llm.common import map_batches, texts_of
 SPACE = "▁"
 _UNKNOWN = -1
 _CACHE_CHUNKS = 400_000
+#: Longer chunks aren't kept, which gives the cache a bound in bytes.
+_CACHE_CHUNK_CHARS = 48
 _CACHE_PAIRS = 1_000_000
 
 
@@ -152,10 +154,12 @@ class PieceCoder:
         for c in self.cut.findall(" " + text.replace(SPACE, " ")):
             got = known.get(c)
             if got is None:
-                if len(known) > _CACHE_CHUNKS:
-                    known.clear()
                 ids = self.encode_chunk(c.replace(" ", SPACE))
-                got = known[c] = (len(ids), " ".join(map(str, ids)), self.decode_chunk(ids))
+                got = (len(ids), " ".join(map(str, ids)), self.decode_chunk(ids))
+                if len(c) <= _CACHE_CHUNK_CHARS:
+                    if len(known) > _CACHE_CHUNKS:
+                        known.clear()
+                    known[c] = got
             out.append(got)
         return out
 

@@ -36,14 +36,31 @@ MOST_WASTE = 0.01
 SALTS = 64
 #: Sequence ids from here on belong to full pieces.
 _FULL = 1 << 44
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 300_000
 
 
-#: A run of Latin-1 letters and one of ASCII punctuation: such words need no Unicode normalisation, and the tokenizer cuts them between the runs.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*#$%&|()]*)", re.ASCII)
+#: Longer words aren't kept, which gives the cache a bound in bytes.
+_CACHE_WORD_LENGTH = 64
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Anything but ASCII and Latin-1 letters, and what may be one of the tokenizer's own tokens: such texts need its normalisation.
+_NOT_PLAIN = re.compile(rf"[^\t\n\x0b\x0c\r -~{_LETTERS}]|<\|")
+#: How the tokenizer cuts a plain text in lower case. A fixed value: the pattern of word_bpe_49k.json, for ASCII and Latin-1.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
-class WordIds(dict):
+class _Remembered(dict):
+    """Values of keys as bytes, made when first asked for; begins anew when it holds too many."""
+
+    def __missing__(self, key) -> bytes:
+        value = self.made(key)
+        if len(key) <= _CACHE_WORD_LENGTH:
+            if len(self) > _CACHE_WORDS:
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds(_Remembered):
     """Ids of white-space-delimited words as little-endian unsigned 32-bit bytes, from a tokenizer that drops white space."""
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -51,36 +68,16 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.model = self.tokenizer.model
-        self.parts: dict[str, bytes] = {}
-        # The model sees bytes as printable characters: those that aren't printable follow after the first 256.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.plain = all(self._of_model(w) == self._ids(w) for w in ("a", "the", "\u00e9t\u00e9", "stra\u00dfe", "!", "&&&"))
+        self.parts = _Parts(self.tokenizer.model)
+        probe = "It's a straße, Été!? 'tis 12,5 && we'll x--y (z)."
+        self.plain = self._plain_ids(probe) == self._ids(probe)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-            self.parts.clear()
+    def made(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        found = _PLAIN.fullmatch(text) if self.plain else None
-        if found is None:
-            ids = self._ids(text)
-        else:
-            ids = self._part(found[1].lower()) + self._part(found[2]) if found[2] else self._part(found[1].lower())
-        self[word] = ids
-        return ids
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.parts[part] = self._of_model(part)
-        return ids
-
-    def _of_model(self, part: str) -> bytes:
-        """The model's ids of one pre-token, without the tokenizer's normalisation around it."""
-        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        return self._plain_ids(text) if self.plain and not _NOT_PLAIN.search(text) else self._ids(text)
+
+    def _plain_ids(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PIECES.findall(text.lower())))
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -89,6 +86,21 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+class _Parts(_Remembered):
+    """Ids of parts of plain words, by the tokenizer's model alone."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+        # The model sees bytes as printable characters: those that aren't printable follow after the first 256.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def made(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
+
 _words: dict[int, WordIds] = {}
 
 

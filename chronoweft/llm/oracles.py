@@ -28,17 +28,23 @@ FROM j
 
 
 OP3 = """
-WITH u AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
-a AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),
+WITH t AS (SELECT conv_id, turn, role, text, 'call-' || conv_id || '-' || CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_id FROM conversations),
+n AS (SELECT *, CASE WHEN call_id IS NOT NULL AND role = 'user' THEN row_number() OVER (PARTITION BY role, call_id ORDER BY to_json({'query': text, 'turn': turn}) NULLS FIRST)
+  WHEN call_id IS NOT NULL THEN row_number() OVER (PARTITION BY role, call_id ORDER BY turn, text NULLS FIRST) END AS k FROM t),
+u AS (SELECT * FROM n WHERE role = 'user' AND k = 1), a AS (SELECT * FROM n WHERE role = 'assistant' AND k = 1),
 p AS (SELECT *, CAST(turn AS BIGINT) - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM u),
 l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM p),
-c AS (SELECT coalesce(l.conv_id, a.conv_id) AS conv_id, coalesce(l.turn, a.turn) AS turn, 'call-' || coalesce(l.conv_id, a.conv_id) || '-' || coalesce(l.turn, a.turn - 1) AS call_id,
-  l.conv_id IS NOT NULL AS called, a.conv_id IS NOT NULL AS answered, level, l.text AS query, a.text AS result, l.turn AS call_turn
-  FROM l FULL JOIN a ON l.conv_id = a.conv_id AND l.turn = a.turn - 1),
-e AS (SELECT *, CASE WHEN NOT called THEN 'no call' WHEN query IS NULL THEN 'query: missing' WHEN length(query) < 1 THEN 'query: too short' WHEN length(query) > 400 THEN 'query: too long' ELSE '' END AS errors FROM c)
-SELECT conv_id, turn, call_id, CASE WHEN NOT called THEN 'orphan' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, level, errors = '' AS valid, errors,
-  '{"arguments":' || CASE WHEN called THEN '{' || CASE WHEN query IS NULL THEN '' ELSE '"query":' || CAST(to_json(query) AS VARCHAR) || ',' END || '"turn":' || call_turn || '}' ELSE 'null' END
-  || ',"id":"' || call_id || '","name":' || CASE WHEN called THEN '"answer"' ELSE 'null' END || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS json
+c AS (SELECT coalesce(l.conv_id, a.conv_id) AS conv_id, coalesce(l.turn, a.turn) AS turn, coalesce(l.call_id, a.call_id) AS call_id, l.call_id IS NOT NULL AS called,
+  CASE WHEN l.call_id IS NULL THEN 'orphan' WHEN a.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, level, l.text AS query, a.text AS result, l.turn AS call_turn
+  FROM l FULL JOIN a ON l.call_id = a.call_id
+  UNION ALL SELECT conv_id, turn, call_id, role = 'user', CASE WHEN call_id IS NULL THEN 'no_id' ELSE 'duplicate' END, CASE WHEN call_id IS NULL AND role = 'user' THEN 0 END,
+    CASE role WHEN 'user' THEN text END, CASE role WHEN 'assistant' THEN text END, turn FROM n WHERE role IN ('user', 'assistant') AND coalesce(k, 0) <> 1
+  UNION ALL SELECT conv_id, turn, NULL, FALSE, 'other_role', NULL, NULL, text, NULL FROM n WHERE role IS NULL OR role NOT IN ('user', 'assistant')),
+e AS (SELECT *, CASE WHEN NOT called THEN 'no call' ELSE concat_ws('; ', CASE WHEN query IS NULL THEN 'query: missing' WHEN length(query) < 1 THEN 'query: too short' WHEN length(query) > 400 THEN 'query: too long' END,
+  CASE WHEN call_turn IS NULL THEN 'turn: missing' END) END AS errors FROM c)
+SELECT conv_id, turn, call_id, status, level, errors = '' AS valid, errors,
+  '{"arguments":' || CASE WHEN called THEN '{' || concat_ws(',', '"query":' || CAST(to_json(query) AS VARCHAR), '"turn":' || call_turn) || '}' ELSE 'null' END
+  || ',"id":' || coalesce('"' || call_id || '"', 'null') || ',"name":' || CASE WHEN called THEN '"answer"' ELSE 'null' END || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS json
 FROM e
 """
 

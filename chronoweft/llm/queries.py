@@ -70,12 +70,7 @@ def op5_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations")
-    return tool_calls.link(tool_calls.calls_of_turns(turns), tool_calls.results_of_turns(turns), tool_calls.TURN_SCHEMAS)
-
-
-def op3_tool_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op3_tool_calls, with a row for every turn that isn't the result in a call's row: duplicates, turns without a key, other roles."""
+    """A row for every turn that isn't the result in a call's row: calls, orphan results, duplicates, turns without a key, other roles."""
     turns = _table(spark, sf_dir, "conversations")
     return tool_calls.link_all(tool_calls.calls_of_turns(turns), tool_calls.results_of_turns(turns), tool_calls.TURN_SCHEMAS, tool_calls.others_of_turns(turns))
 
@@ -89,7 +84,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_cotraining": op1_quality_cotraining,
         "op2_language_id": op2_language_id,
         "op3_tool_calls": op3_tool_calls,
-        "op3_tool_call_rows": op3_tool_call_rows,
         "op4_repeated_lines": op4_repeated_lines,
         "op5_html_consensus": op5_html_consensus,
         "op6_piece_bpe": op6_piece_bpe,

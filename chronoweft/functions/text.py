@@ -23,6 +23,7 @@ GUARD_RULES: dict[str, tuple[str, ...]] = {
     "medical-claim": ("治[愈疗]", "根治", "特效", "祛[斑痘印疤]", "抗[衰老氧化]", "水光针", "热玛吉", "线雕", "溶脂", "医生同款", "三甲(?:推荐|医院)"),
     "wealth-bait": (r"年入[\d一二两三四五六七八九十百千万]+", r"月入[\d一二两三四五六七八九十百千万]+", r"日入[\d一二两三四五六七八九十百千万]+", "躺赚", "财富自由", "稳赚不赔", "零成本", "包[过赚]", "暴利"),
 }
+EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
 PUNCTUATION_RUN = r"([!！?？。.])\1{2,}"
 
 
@@ -107,18 +108,37 @@ def top_terms(df: DataFrame, by: Sequence[str], text: str, limit: int, least_len
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "term"))).filter(F.col("rank") <= limit)
 
 
+def any_of(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether one of the patterns occurs, in any case."""
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def emoji_share(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(EMOJI)) / F.greatest(F.length(text), F.lit(1))
+
+
+def gate(text: Column, rules: Mapping[str, Sequence[str]] = GUARD_RULES) -> Column:
+    """blocked for a whole text with a match of any rule, review for one that is too long for a caption or mostly emoji, else ready."""
+    hard = any_of(text, [p for patterns in rules.values() for p in patterns])
+    soft = (F.length(text) > 800) | (emoji_share(text) > 0.3)
+    return F.when(hard, "blocked").when(soft, "review").otherwise("ready")
+
+
 def violations(df: DataFrame, by: Sequence[str], text: str, rules: Mapping[str, Sequence[str]] = GUARD_RULES, context: str = "body") -> DataFrame:
     """(by, level, category, matched): one row for each match of a rule, and for what the context does not allow (title or caption)."""
     column = F.col(text)
     row = lambda category: lambda m: F.struct(F.lit("hard").alias("level"), F.lit(category).alias("category"), m.alias("matched"))
-    hits = [F.transform(F.regexp_extract_all(column, F.lit(f"(?i){p}"), F.lit(0)), row(c)) for c, patterns in rules.items() for p in patterns]
+    # One look for any pattern of a category spares most texts the single ones.
+    none = F.array().cast("array<struct<level:string,category:string,matched:string>>")
+    each = {c: F.flatten(F.array(*[F.transform(F.regexp_extract_all(column, F.lit(f"(?i){p}"), F.lit(0)), row(c)) for p in patterns])) for c, patterns in rules.items()}
+    hits = [F.when(any_of(column, rules[c]), found).otherwise(none) for c, found in each.items()]
     soft = lambda when, category, matched: F.when(when, F.struct(F.lit("soft").alias("level"), F.lit(category).alias("category"), matched.alias("matched")))
     more = []
     if context == "title":
         more += [soft(F.length(column) > 20, "title-too-long", F.concat(F.substring(column, 1, 25), F.lit("…"))), soft(column.rlike(PUNCTUATION_RUN), "punct-run", F.regexp_extract(column, PUNCTUATION_RUN, 0))]
     if context in ("title", "caption"):
-        emoji = F.regexp_count(column, F.lit("[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"))
-        more.append(soft(emoji / F.greatest(F.length(column), F.lit(1)) > 0.3, "emoji-spam", F.concat_ws("/", emoji, F.length(column))))
+        emoji = F.regexp_count(column, F.lit(EMOJI))
+        more.append(soft(emoji_share(column) > 0.3, "emoji-spam", F.concat_ws("/", emoji, F.length(column))))
     if context == "caption":
         more.append(soft(F.length(column) > 800, "caption-too-long", F.concat(F.lit("len="), F.length(column))))
     parts = [*hits, F.array_compact(F.array(*more))] if more else hits

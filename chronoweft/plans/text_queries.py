@@ -55,33 +55,40 @@ def guard_scan(spark, sf_dir):
     return T.violations(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
-@query("guard_gate", r"""WITH t AS (SELECT doc_id, substr(text, 1, 24) AS title FROM documents),
-v AS (SELECT doc_id, CAST(regexp_matches(title, '(?i)(?:https?://|www\.|\.com|\.cn|\.net)') AS INT) AS hard, CAST(length(title) > 20 AS INT) + CAST(regexp_matches(title, '!!!|！！！|\?\?\?|？？？|。。。|\.\.\.') AS INT) AS soft FROM t)
-SELECT doc_id, CASE WHEN hard > 0 THEN 'blocked' WHEN soft > 0 THEN 'review' ELSE 'ready' END AS status FROM v""")
+# RE2 has no look-ahead: what must not follow is taken as one more character or the end.
+_GUARD = "|".join(f"(?:{p})" for patterns in T.GUARD_RULES.values() for p in patterns).replace("(?![0-9百千万亿])", "(?:[^0-9百千万亿]|$)").replace("'", "''")
+
+
+@query("guard_gate", f"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i){_GUARD}') THEN 'blocked' WHEN length(text) > 800 OR len(regexp_extract_all(text, '{T.EMOJI}')) > 0.3 * greatest(length(text), 1) THEN 'review' ELSE 'ready' END AS status FROM documents""")
 def guard_gate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 24).alias("title"))
-    rules = {"diversion-url": T.GUARD_RULES["diversion-url"]}
-    found = T.violations(d, ["doc_id"], "title", rules, "title").groupBy("doc_id").agg(F.count_if(F.col("level") == "hard").alias("hard"), F.count("*").alias("all"))
-    return d.join(found, "doc_id", "left").select("doc_id", F.when(F.col("hard") > 0, "blocked").when(F.col("all") > 0, "review").otherwise("ready").alias("status"))
+    """Gate on whole texts with all rules."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.gate(F.col("text")).alias("status"))
+
+
+@query("guard_gate_titles", f"""WITH t AS (SELECT conv_id, turn, string_split(text, chr(10))[1] AS title FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(title, '(?i){_GUARD}') THEN 'blocked' WHEN length(title) > 20 OR regexp_matches(title, '!!!|！！！|\\?\\?\\?|？？？|。。。|\\.\\.\\.') OR len(regexp_extract_all(title, '{T.EMOJI}')) > 0.3 * greatest(length(title), 1) THEN 'review' ELSE 'ready' END AS status FROM t""")
+def guard_gate_titles(spark, sf_dir):
+    """Gate on titles, the first line of each turn, with what only titles must not have."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(F.split("text", "\n"), 1).alias("title"))
+    found = T.violations(d, ["conv_id", "turn"], "title", context="title").groupBy("conv_id", "turn").agg(F.count_if(F.col("level") == "hard").alias("hard"), F.count("*").alias("all"))
+    return d.join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(F.col("hard") > 0, "blocked").when(F.col("all") > 0, "review").otherwise("ready").alias("status"))
 
 
-@query("guard_gate_text")
-def guard_gate_text(spark, sf_dir):
-    """Gate on the whole text with all rules; the first 24 characters are judged as a title besides."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 24).alias("title"))
-    found = T.violations(d, ["doc_id"], "text").unionByName(T.violations(d, ["doc_id"], "title", context="title"))
-    counts = found.groupBy("doc_id").agg(F.count_if(F.col("level") == "hard").alias("hard"), F.count("*").alias("all"))
-    return d.join(counts, "doc_id", "left").select("doc_id", F.when(F.col("hard") > 0, "blocked").when(F.col("all") > 0, "review").otherwise("ready").alias("status"))
+_BIGRAMS = lambda c: f"list_distinct([substr({c}, i, 2) FOR i IN range(1, length({c}))])"
 
 
-@query("bigram_jaccard", """WITH n AS (SELECT doc_id, lower(substr(text, 1, 60)) AS a, lower(substr(text, 31, 60)) AS b FROM documents), g AS (SELECT doc_id, list_distinct([substr(a, i, 2) FOR i IN range(1, length(a))]) AS x, list_distinct([substr(b, i, 2) FOR i IN range(1, length(b))]) AS y FROM n WHERE length(b) >= 2)
+@query("bigram_jaccard", f"""WITH n AS (SELECT doc_id, lower(substr(text, 1, length(text) // 2)) AS a, lower(substr(text, length(text) // 2 + 1)) AS b FROM documents WHERE length(text) >= 4), g AS (SELECT doc_id, {_BIGRAMS("a")} AS x, {_BIGRAMS("b")} AS y FROM n)
 SELECT doc_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS likeness FROM g""")
 def bigram_jaccard(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 60)).alias("a"), F.lower(F.substring("text", 31, 60)).alias("b")).filter(F.length("b") >= 2)
+    """The first half of each whole text against the second."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    d = table(spark, sf_dir, "documents").filter(F.length("text") >= 4).select("doc_id", F.lower(F.substring("text", F.lit(1), half)).alias("a"), F.lower(F.substring("text", half + 1, F.length("text"))).alias("b"))
     return d.select("doc_id", T.jaccard(T.character_ngrams(F.col("a")), T.character_ngrams(F.col("b"))).alias("likeness"))
 
 
-@query("bigram_jaccard_turns")
+@query("bigram_jaccard_turns", f"""WITH n AS (SELECT conv_id, turn, lower(text) AS a, lower(lead(text) OVER w) AS b, lead(turn) OVER w AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT conv_id, turn, CASE WHEN length(a) >= 2 THEN {_BIGRAMS("a")} WHEN length(a) = 1 THEN [a] ELSE [] END AS x, CASE WHEN length(b) >= 2 THEN {_BIGRAMS("b")} WHEN length(b) = 1 THEN [b] ELSE [] END AS y FROM n WHERE t = turn + 1)
+SELECT conv_id, turn, coalesce(len(list_intersect(x, y))::DOUBLE / nullif(len(list_distinct(list_concat(x, y))), 0), 0) AS likeness FROM g""")
 def bigram_jaccard_turns(spark, sf_dir):
     """Each whole turn of a conversation against the whole next one."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("a"))

@@ -48,24 +48,16 @@ def chapters(spark, sf_dir):
     return planning.chapters(s.select("source", "start", F.col("speaker").alias("title")), lengths, ["source"], 30_000, 6)
 
 
-@query("transition_bridges", """WITH s AS (SELECT conv_id AS source, turn AS id, CASE turn % 4 WHEN 0 THEN 'hook' WHEN 1 THEN 'pain' WHEN 2 THEN 'value' ELSE 'cta' END AS section, role AS route, [lower(w) FOR w IN regexp_extract_all(text, '[A-Za-z]+')[1:6]] AS kw FROM conversations),
+@query("transition_bridges", r"""WITH s AS (SELECT conv_id AS source, turn AS id, CASE turn % 4 WHEN 0 THEN 'hook' WHEN 1 THEN 'pain' WHEN 2 THEN 'value' ELSE 'cta' END AS section, role AS route, [lower(w) FOR w IN regexp_extract_all(text, '\p{L}+')] AS kw FROM conversations),
 p AS (SELECT *, lead(section) OVER w AS ns, lead(route) OVER w AS nr, lead(kw) OVER w AS nk FROM s WINDOW w AS (PARTITION BY source ORDER BY id)),
 q AS (SELECT source, id, greatest(0, CASE WHEN section <> ns THEN 1.0 ELSE 0 END + CASE WHEN route <> nr THEN 1.0 ELSE 0 END + CASE WHEN NOT list_has_any(kw, nk) THEN 0.75 ELSE 0 END - CASE WHEN ns = 'cta' THEN 0.75 ELSE 0 END + CASE WHEN section = 'hook' AND ns IN ('pain', 'turn') THEN 0.5 ELSE 0 END)::DOUBLE AS need FROM p WHERE ns IS NOT NULL)
 SELECT source, id, need, need >= 2.5 AND sum(CASE WHEN need >= 2.5 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY id) <= 2 AS bridge FROM q""")
 def transition_bridges(spark, sf_dir):
-    return _bridges(spark, sf_dir, F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6))
-
-
-@query("transition_bridges_words")
-def transition_bridges_words(spark, sf_dir):
     """With all words of each turn as its keywords, of any script."""
-    return _bridges(spark, sf_dir, F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
-
-
-def _bridges(spark, sf_dir, words):
     c = table(spark, sf_dir, "conversations")
     section = F.element_at(F.array(*map(F.lit, ("hook", "pain", "value", "cta"))), (F.col("turn") % 4 + 1).cast("int"))
-    shots = c.select(F.col("conv_id").alias("source"), F.col("turn").alias("id"), section.alias("section"), F.col("role").alias("route"), F.transform(words, F.lower).alias("keywords"))
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lower)
+    shots = c.select(F.col("conv_id").alias("source"), F.col("turn").alias("id"), section.alias("section"), F.col("role").alias("route"), words.alias("keywords"))
     return planning.bridges(planning.transition_scores(shots, ["source"], ["id"]), ["source"], ["id"], 2.5, 2).select("source", "id", "need", "bridge")
 
 
@@ -115,11 +107,6 @@ def keyword_route(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", selectors.keyword_route(F.col("text"), [("legal", ["license"]), ("flag", ["stupid", "scum"])], "keep").alias("route"))
 
 
-@query("wrapped_text")
-def wrapped_text(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", layout.wrapped(F.col("text"), 42).alias("lines"), layout.split_text(F.col("text"), 60).alias("parts"))
-
-
 @query("text_corrections", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\bthat\b', 'which', 'gi'), '\bof\b', 'from', 'gi') AS text FROM documents""")
 def text_corrections(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", layout.corrected(F.col("text"), [("of", "from"), ("that", "which")]).alias("text"))

@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from chronoweft.functions.geometry import hamming
 
 
-def signature_pairs(rows: DataFrame, most: int, key: str = "id", signature: str = "signature", group: str | None = None) -> DataFrame:
-    """(a, b, distance) for pairs of 64-bit signatures that differ in at most `most` bits, a < b; pairs of one group are left out.
+def signature_pairs(rows: DataFrame, most: int, key: str = "id", signature: str = "signature", group: str | None = None, same: Sequence[str] = ()) -> DataFrame:
+    """(a, b, distance) for pairs of 64-bit signatures that differ in at most `most` bits and agree in the columns `same`, a < b; pairs of one group are left out.
 
     The signature is cut into most + 1 bands; two that differ in so few bits agree in one band at least, so pairs come from an
-    equality join on bands. A pair counts only in the first band that it agrees in.
+    equality join on bands. A pair counts only in the first band that it agrees in. A band has 64 / (most + 1) bits, so up to 3 bits of
+    difference few rows meet by chance (16 bits), up to 7 some (8 bits); with more the join comes near to all pairs of equal `same`.
     """
     bands = most + 1
     edges = [64 * k // bands for k in range(bands + 1)]
     band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
     values = F.array(*[F.struct(F.lit(k).alias("band"), band(F.col(signature), k).alias("part")) for k in range(bands)])
-    side = lambda p: rows.select(F.col(key).alias(p), F.col(signature).alias(f"s{p}"), *([F.col(group).alias(f"g{p}")] if group else []), F.inline(values))
-    pairs = side("a").join(side("b"), ["band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("sa"), F.col("sb"))).filter(F.col("distance") <= most)
+    side = lambda p: rows.select(F.col(key).alias(p), F.col(signature).alias(f"s{p}"), *([F.col(group).alias(f"g{p}")] if group else []), *same, F.inline(values))
+    pairs = side("a").join(side("b"), [*same, "band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("sa"), F.col("sb"))).filter(F.col("distance") <= most)
     if group:
         pairs = pairs.filter("ga <> gb")
     first = F.lit(None).cast("int")
@@ -39,13 +40,16 @@ def frame_distance(hash_a: Column, hash_b: Column, rgb_a: Column, rgb_b: Column)
     return F.greatest(hamming(hash_a, hash_b), colour.cast("int"))
 
 
-def clip_pairs(samples: DataFrame, most: int, least_matching: int, key: str = "id") -> DataFrame:
-    """(a, b, median, matched, compared) for clips of samples (id, source, duration, fraction, signature, rgb) of other sources: samples at equal
-    fractions are compared, and a pair stays if enough of them and their median are within `most`. Pairs are found over equal fractions and signature bands."""
-    near = signature_pairs(samples.select(F.struct(key, "fraction").alias("id"), "signature"), most)
-    at = near.filter(F.col("a.fraction") == F.col("b.fraction")).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    side = lambda p: samples.select(F.col(key).alias(p), "fraction", *(F.col(c).alias(f"{c}_{p}") for c in ("source", "signature", "rgb")))
-    both = at.join(side("a"), "a").join(side("b"), ["b", "fraction"]).filter("source_a <> source_b")
+def clip_pairs(samples: DataFrame, most: int, least_matching: int, least_ratio: float = 0.5, key: str = "id") -> DataFrame:
+    """(a, b, median, matched, compared) for clips of samples (id, source, duration, fraction, signature, rgb) of other sources and like durations.
+
+    Samples at equal fractions are compared, and a pair stays if enough of them and their median are within `most`, and if the shorter
+    clip has at least least_ratio of the longer one's duration. Pairs are found over equal fractions and signature bands.
+    """
+    near = signature_pairs(samples.select(key, "source", "fraction", "signature"), most, key, group="source", same=("fraction",))
+    side = lambda p: samples.select(F.col(key).alias(p), "fraction", *(F.col(c).alias(f"{c}_{p}") for c in ("source", "duration", "signature", "rgb")))
+    both = near.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", "fraction"]).filter("source_a <> source_b")
+    both = both.filter(F.least("duration_a", "duration_b") >= least_ratio * F.greatest("duration_a", "duration_b"))
     distance = frame_distance(F.col("signature_a"), F.col("signature_b"), F.col("rgb_a"), F.col("rgb_b"))
     each = both.withColumn("d", distance).groupBy("a", "b").agg(F.median("d").alias("median"), F.count_if(F.col("d") <= most).alias("matched"), F.count("*").alias("compared"))
     return each.filter((F.col("matched") >= least_matching) & (F.col("median") <= most))
@@ -78,20 +82,37 @@ def repeat_score(a: Column, b: Column) -> Column:
     return F.greatest(sequence_ratio(a, b), inside)
 
 
+#: Targets of one or two words that are looked for one by one in every text, at most.
+_SHORT_TARGETS = 500
+
+
 def exact_matches(targets: DataFrame, texts: DataFrame, words: int, target: str = "text", text: str = "text", target_key: str = "item_id", text_key: str = "doc_id") -> DataFrame:
     """(target_key, text_key, at) of the texts that contain a target as it is; at is its first place.
 
-    Candidates come from an equality join: on the hash of the target's first `words` words against all runs of so many words of the texts.
+    The first and the last word of a target may be parts of longer ones in a text (a quote before, a full stop after), so candidates
+    come from an equality join on the words between: on the hash of the first `words` of them, or of all if there are fewer, against
+    all runs of as many words of the texts. Targets of fewer than three words have none between and must be few: each is looked for in
+    every text, and more than _SHORT_TARGETS of them are an error.
     """
     split = lambda c: F.regexp_extract_all(c, F.lit("[^\\s]+"), F.lit(0))
-    lead = F.slice(split(F.col(target)), 1, words)
-    short = targets.select(F.col(target_key), F.col(target).alias("__target"), F.array_join(lead, " ").alias("__lead")).filter(F.size(split(F.col(target))) >= words)
-    runs = texts.select(F.col(text_key), F.col(text).alias("__text"), split(F.col(text)).alias("__words")).filter(F.size("__words") >= words)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__words") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("__words", i, words), " "))))
-    keyed = runs.select(text_key, F.explode(starts).alias("__h"))
-    hits = keyed.join(short.select(target_key, F.xxhash64("__lead").alias("__h")), "__h").select(text_key, target_key).distinct()
-    found = hits.join(texts.select(text_key, F.col(text).alias("__text")), text_key).join(short, target_key)
-    return found.withColumn("at", F.locate_in("__target", "__text") if hasattr(F, "locate_in") else F.expr("instr(__text, __target)")).filter("at > 0").select(target_key, text_key, "at")
+    goals = targets.select(F.col(target_key), F.col(target).alias("__target"), split(F.col(target)).alias("__all")).filter("__target <> ''")
+    between = F.slice("__all", F.lit(2), F.least(F.lit(words), F.size("__all") - 2))
+    long = goals.filter(F.size("__all") >= 3).select(target_key, "__target", F.size(between).alias("__n"), F.xxhash64(F.array_join(between, " ")).alias("__h"))
+    lengths = sorted(r[0] for r in long.select("__n").distinct().collect())  # at most `words` of them
+    runs = texts.select(F.col(text_key), split(F.col(text)).alias("__words"))
+    empty = F.array().cast("array<struct<__n:int,__h:bigint>>")
+    of_length = lambda n: F.when(F.size("__words") >= n, F.transform(F.sequence(F.lit(1), F.size("__words") - (n - 1)), lambda i: F.struct(F.lit(n).alias("__n"), F.xxhash64(F.array_join(F.slice("__words", i, n), " ")).alias("__h")))).otherwise(empty)
+    keyed = runs.select(text_key, F.inline(F.array_distinct(F.flatten(F.array(empty, *(of_length(n) for n in lengths))))))
+    hits = keyed.join(long, ["__n", "__h"]).select(text_key, target_key, "__target").distinct()
+    found = hits.join(texts.select(text_key, F.col(text).alias("__text")), text_key)
+    few = goals.filter(F.size("__all") < 3).select(target_key, "__target").limit(_SHORT_TARGETS + 1).collect()
+    if len(few) > _SHORT_TARGETS:
+        raise ValueError(f"more than {_SHORT_TARGETS} targets of fewer than three words")
+    if few:
+        known = F.broadcast(texts.sparkSession.createDataFrame(few, goals.select(target_key, "__target").schema))
+        each = texts.select(text_key, F.col(text).alias("__text"), F.explode(F.array(*(F.lit(r["__target"]) for r in few))).alias("__target")).filter(F.contains("__text", "__target"))
+        found = found.unionByName(each.join(known, "__target").select(*found.columns))
+    return found.withColumn("at", F.expr("instr(__text, __target)")).filter("at > 0").select(target_key, text_key, "at")
 
 
 def boundary_overlap(before: Column, after: Column, least: int, most: int) -> Column:

@@ -40,9 +40,9 @@ def sequence_ratio(spark, sf_dir):
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", similarity.repeat_score(F.col("text"), F.col("after")).alias("score"))
 
 
-@query("script_alignment", "SELECT item_id, doc_id, CAST(strpos(d.text, b.text) AS INTEGER) AS \"at\" FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '[^\\s]+')) >= 5")
+@query("script_alignment", "SELECT item_id, doc_id, CAST(strpos(d.text, b.text) AS INTEGER) AS \"at\" FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def script_alignment(spark, sf_dir):
-    return similarity.exact_matches(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5)
+    return similarity.exact_matches(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 4)
 
 
 @query("boundary_overlap", r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations), n AS (SELECT conv_id, turn, ws, lead(ws) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM w)
@@ -105,9 +105,14 @@ def match_score(spark, sf_dir):
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", similarity.match_score(F.lower("text"), F.col("after")).alias("score"))
 
 
-@query("clip_pairs")
+@query("clip_pairs", """WITH v AS (SELECT vec_id % 100 AS id, label AS source, 10 + (vec_id % 100) % 7 AS duration, CAST(floor(vec_id / 100) AS BIGINT) AS fraction, list_sum([CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1) ELSE 0 END FOR i IN range(1, 64)])::BIGINT AS s,
+ embedding[1]::DOUBLE * 100 AS r, embedding[2]::DOUBLE * 100 AS g, embedding[3]::DOUBLE * 100 AS b FROM embeddings),
+p AS (SELECT a.id AS a, c.id AS b, greatest(bit_count(xor(a.s, c.s)), CAST(round_even(sqrt(power(a.r - c.r, 2) + power(a.g - c.g, 2) + power(a.b - c.b, 2)) / sqrt(3 * 255.0::DOUBLE ** 2) * 32, 0) AS INTEGER)) AS d
+ FROM v a JOIN v c ON a.fraction = c.fraction AND a.id < c.id AND a.source <> c.source AND least(a.duration, c.duration) >= 0.7 * greatest(a.duration, c.duration))
+SELECT a, b, median(d)::DOUBLE AS median, count(*) FILTER (d <= 24) AS matched, count(*) AS compared FROM p GROUP BY a, b HAVING count(*) FILTER (d <= 24) >= 1 AND median(d) <= 24""")
 def clip_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     colour = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 100)
-    samples = e.select((F.col("vec_id") % 100).alias("id"), F.col("label").alias("source"), F.floor(F.col("vec_id") / 100).alias("fraction"), geometry.sign_bits(F.col("embedding")).alias("signature"), colour.alias("rgb"))
-    return similarity.clip_pairs(samples, 20, 1)
+    clip = F.col("vec_id") % 100
+    samples = e.select(clip.alias("id"), F.col("label").alias("source"), (clip % 7 + 10).alias("duration"), F.floor(F.col("vec_id") / 100).alias("fraction"), geometry.sign_bits(F.col("embedding")).alias("signature"), colour.alias("rgb"))
+    return similarity.clip_pairs(samples, 24, 1, 0.7)

@@ -31,7 +31,7 @@ p AS (SELECT a.source, a.id, a.start, a."end", b.speaker, sum(least(a."end", b."
  FROM a JOIN b ON a.source = b.source AND a.start < b."end" AND b.start < a."end" GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY score DESC, first, speaker) AS k, sum(score) OVER (PARTITION BY source, id) AS total FROM p),
 e AS (SELECT source, id, any_value(total) AS total, max(CASE WHEN k = 1 THEN speaker END) AS assigned, coalesce(max(CASE WHEN k = 2 THEN score END), 0) AS second FROM r GROUP BY source, id)
-SELECT a.source, a.id, a.start, a."end", coalesce(assigned, 'unknown') AS assigned, coalesce(least(1.0, total / (a."end" - a.start)), 0.0) AS coverage,
+SELECT a.source, a.id, a.start, a."end", coalesce(assigned, 'unknown') AS assigned, CASE WHEN total IS NULL THEN 0.0 ELSE least(1.0, total / (a."end" - a.start)) END AS coverage,
  concat_ws(',', CASE WHEN total IS NULL THEN 'unlabeled' END, CASE WHEN total / (a."end" - a.start) < 0.5 THEN 'low_overlap' END, CASE WHEN second / total >= 0.25 THEN 'mixed' END) AS warnings
 FROM a LEFT JOIN e USING (source, id)""")
 def assign_speakers(spark, sf_dir):

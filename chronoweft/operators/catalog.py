@@ -75,9 +75,12 @@ def running_budget(rows: DataFrame, by: Sequence[str], order: Sequence[str], cos
 
 
 def keyed_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[Column], value: str) -> DataFrame:
-    """rows with `found`: the value of table (key, value) of the first of several keys that it has."""
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
-    probes = numbered.select("__row", F.posexplode(F.array(*keys)).alias("__rank", "__key"))
-    hits = probes.join(table.select(F.col("key").alias("__key"), F.col(value).alias("__value")), "__key")
-    best = hits.groupBy("__row").agg(F.min(F.struct("__rank", "__value")).alias("best"))
-    return numbered.join(best, "__row", "left").withColumn("found", F.col("best.__value")).drop("__row", "best")
+    """rows with `found`: the value of table (key, value; distinct keys) of the first of several keys that it has. One left join a key, so rows need no number of their own."""
+    out = rows
+    for k, key in enumerate(keys):
+        side = table.select(F.col("key").alias(f"__key{k}"), F.col(value).alias(f"__value{k}"), F.lit(True).alias(f"__hit{k}"))
+        out = out.join(side, key == F.col(f"__key{k}"), "left")
+    found = F.lit(None)
+    for k in reversed(range(len(keys))):
+        found = F.when(F.col(f"__hit{k}"), F.col(f"__value{k}")).otherwise(found)
+    return out.withColumn("found", found).select(*rows.columns, "found")

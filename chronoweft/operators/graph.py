@@ -6,18 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all machines share, spark.checkpoint.dir; a local one of our own only where it is unset and Spark runs on this machine alone."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="chronoweft-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder spark.checkpoint.dir (a local one of our own where that is unset) and read back."""
+    """df written as Parquet in the shared folder and read back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="chronoweft-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -27,9 +27,9 @@ def ledger_merge(spark, sf_dir):
     return catalog.merged_rows(old, new, ["id"])
 
 
-@query("catalog_remove", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("catalog_remove", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
 def catalog_remove(spark, sf_dir):
-    gone = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    gone = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return catalog.removed(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), gone, ["c_custkey"])
 
 

@@ -35,7 +35,7 @@ def srt_round_trip(spark, sf_dir):
     return logs.srt_cues(srt_sink(spark, sf_dir), ["source"]).select("source", "start", "end")
 
 
-@query("chapter_list", f"""WITH {SEGMENTS} SELECT source, string_agg((start // 60000) || ':' || printf('%02d', (start // 1000) % 60) || ' ' || speaker, chr(10) ORDER BY start, speaker) AS text FROM s WHERE start < 3600000 GROUP BY source""")
+@query("chapter_list", f"""WITH {SEGMENTS} SELECT source, string_agg(CASE WHEN start >= 3600000 THEN printf('%d:%02d:%02d', start // 3600000, (start // 60000) % 60, (start // 1000) % 60) ELSE (start // 60000) || ':' || printf('%02d', (start // 1000) % 60) END || ' ' || speaker, chr(10) ORDER BY start, speaker) AS text FROM s GROUP BY source""")
 def chapter_list(spark, sf_dir):
     return sinks.chapters(segments(spark, sf_dir).select("source", "start", F.col("speaker").alias("title")), ["source"])
 

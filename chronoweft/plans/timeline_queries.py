@@ -22,7 +22,7 @@ def _tc(c: str) -> str:
     return f"printf('%02d:%02d:%02d:%02d', {c} // 90000, ({c} // 1500) % 60, ({c} // 25) % 60, {c} % 25)"
 
 
-@query("edit_list_lines", f"""WITH {_EVENTS} SELECT source, number, printf('%03d', number) || ' ' || rpad('CONV' || source, 8, ' ') || ' V     C        ' || {_tc("source_in")} || ' ' || {_tc("source_out")} || ' ' || {_tc("record_in")} || ' ' || {_tc("record_out")} AS line FROM g WHERE number < 1000""")
+@query("edit_list_lines", f"""WITH {_EVENTS} SELECT source, number, printf('%03d', number) || ' ' || rpad('CONV' || source, 8, ' ') || ' V     C        ' || {_tc("source_in")} || ' ' || {_tc("source_out")} || ' ' || {_tc("record_in")} || ' ' || {_tc("record_out")} AS line FROM g""")
 def edit_list_lines(spark, sf_dir):
     reel = timeline.reel_name(F.concat(F.lit("media/conv_"), F.col("source"), F.lit(".mp4")))
     return timeline.edit_list_lines(edit_events(spark, sf_dir), reel).select("source", "number", "line")

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -259,7 +260,7 @@ def test_html(spark):
     assert len(got) == 9 and texts[2] == "Head 2 & more\nFirst long paragraph of the article number 2 bold\nnext line\nSecond one <i>"
     assert (texts[10], texts[11], texts[12]) == ("", "", "no markup é at all") and texts[13].startswith("other words")
     assert html_consensus.extract(df.limit(0)).count() == 0
-    assert {r["path"] for r in html_consensus.host_paths(df.filter("page_id < 4")).collect()} == {"/html/body/div.post.post-0"}
+    assert {r["path"].split("#")[0] for r in html_consensus.host_paths(df.filter("page_id < 4")).collect()} == {"html/body/div.post.post-0"}
 
 
 def test_html_with_several_content_containers(spark):
@@ -283,6 +284,86 @@ def test_html_with_several_content_containers(spark):
     assert {r["page_id"]: r["text"] for r in html_consensus.extract(df).collect()} == expected
 
 
+ARTICLE = [f"Paragraph {k} of the article with several words in it." for k in range(6)]
+
+
+def marked_up(before: str = "", after: str = "") -> str:
+    return "<body><nav><a href=/>Home page of all</a></nav>" + before + "".join(f"<p>{t}</p>" for t in ARTICLE) + after + "<div class='sidebar'><p>Words at the side of it</p></div><footer>foot of it</footer>"
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "first"),
+    [
+        ("<div class='overflow-hidden'><article>", "</article></div>", None),
+        ("<div class='content no-sidebar has-footer'>", "</div>", None),
+        ("<div class='page-header'><main>", "</main></div>", None),
+        ("<div id='comments-page'>", "</div>", None),
+        ("<article><header><h1>The head</h1><p>By someone else</p></header>", "</article>", "The head"),
+        ("<div class='site-header'><h2>Site name of all</h2></div><section>", "</section><ul class='post-comments'><li>a comment of some length</li></ul>", None),
+        ("<div class='col-side main'>", "</div><div aria-hidden=true><p>not shown at all here</p></div>", None),
+    ],
+)
+def test_boilerplate_by_whole_names(before, after, first):
+    page = html_consensus.read(marked_up(before, after))
+    assert page.extract(page.best()[0][0]) == "\n".join([first, *ARTICLE] if first else ARTICLE)
+
+
+def test_odd_pages():
+    links = html_consensus.read("<body><article>" + "".join(f"<p>See <a href=/{k}>{t}</a> now</p>" for k, t in enumerate(ARTICLE)) + "</article>")
+    assert links.extract(links.best()[0][0]) == "\n".join(f"See {t} now" for t in ARTICLE)
+    figure = html_consensus.read("<article><p>A text of some length here.</p><figure><img src=x><figcaption>What one sees here</figcaption></figure></article>")
+    assert figure.extract(figure.best()[0][0]).endswith("What one sees here")
+    deep = html_consensus.read("<div class='a b'>" * 50_000 + "<p>Deep down there is a text.</p>" + "</section></div>" * 50_000 + "<p>And a text after it all.</p>")
+    assert deep.extract(deep.best()[0][0]) == "Deep down there is a text.\nAnd a text after it all." and len(deep.path(50_000)) < 1000
+    only_boilerplate = html_consensus.read("<div class='promo'><p>One text of it all</p></div><div class='banner'><p>Another text of it all</p></div>")
+    assert only_boilerplate.extract(only_boilerplate.best()[0][0]) == "One text of it all\nAnother text of it all"
+
+
+class SlowExtractor(HTMLParser):
+    """Blocks of a page outside nav, footer, head and adverts, by the parser of the standard library."""
+
+    BLOCKS = frozenset("p h1 li br div article ul nav footer body".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.skip = [], [], []
+
+    def end(self):
+        if block := " ".join("".join(self.text).split()):
+            self.out.append(block)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.end()
+        if tag in ("nav", "footer", "head") or dict(attrs).get("class") == "ad":
+            self.skip.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.end()
+        if self.skip and self.skip[-1] == tag:
+            self.skip.pop()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+
+
+def test_html_against_a_slow_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_consensus.extract(pages).collect()}
+    wrong = []
+    for r in pages.collect():
+        slow = SlowExtractor()
+        slow.feed(r["html"] or "")
+        slow.close()
+        slow.end()
+        if got[r["page_id"]] != "\n".join(slow.out):
+            wrong.append(r["page_id"])
+    assert len(got) == pages.count() and not wrong
+
+
 # ---- pieces
 
 
@@ -455,14 +536,65 @@ def near_copies(seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ngram_join(spark, seed):
+@pytest.mark.parametrize(("seed", "cell"), [(1, ngram_join.CELL), (2, 8)])
+def test_ngram_join(spark, seed, cell):
     rows = near_copies(seed) + odd_rows()
     df = spark.createDataFrame(rows, SCHEMA).withColumn("component", F.lit("clash")).withColumn("id", F.lit("clash"))
+    got = ngram_join.classes_of(df, cell=cell).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(rows)
+
+
+def test_ngram_join_of_a_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
     got = ngram_join.classes_of(df).collect()
     assert len(got) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(rows)
 
 
+def test_ngram_join_null_and_repeated_keys(spark):
+    x, y, t, u = ("x x1 x2 x3 x4", "y y1 y2 y3 y4", " ".join(f"t{i}" for i in range(200)), " ".join(f"t{i}" for i in range(195)))
+    rows = [(1, x), (5, x), (5, y), (9, y), (9, ""), (3, ""), (3, ""), (None, t), (20, u), (21, t), (21, t), (None, "z z1"), (None, "z z1"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.lit("clash"))
+    got = sorted(map(tuple, ngram_join.classes_of(df).collect()), key=repr)
+    want = [(1, 1, 1), (5, 1, 1), (5, 1, 1), (9, 1, 1), (9, 0, 1), (3, 0, 3), (3, 0, 3), (None, 196, 20), (20, 191, 20), (21, 196, 20), (21, 196, 20), (None, 1, None), (None, 1, None), (None, 0, None), (None, 0, None)]
+    assert got == sorted(want, key=repr)
+    kept = ngram_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, x), (3, ""), (20, u), (None, "z z1"), (None, None), (None, "")], key=repr)
+
+
+def test_cells_meet_once(spark):
+    """Each pair of a tile whose sizes allow a link meets in one cell and on sides that are compared."""
+    rng = random.Random(5)
+    sizes = {k: rng.randrange(1, 400) for k in range(120)}
+    tiles = spark.createDataFrame([(7, len(sizes), k, n) for k, n in sizes.items()], "h long, sets long, id long, n long")
+    met = Counter()
+    cells: dict = {}
+    for r in ngram_join._cells(tiles, 16).collect():
+        cells.setdefault((r["band"], r["i"], r["j"]), []).append((r["id"], r["side"]))
+    for (_, i, j), members in cells.items():
+        for k, (a, x) in enumerate(members):
+            for b, y in members[k + 1 :]:
+                if x + y == 3 or i == j and x + y == 2:
+                    met[min(a, b), max(a, b)] += 1
+    allowed = {(a, b) for a in sizes for b in sizes if a < b and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])}
+    assert allowed <= set(met) and set(met.values()) == {1} and max(map(len, cells.values())) < len(sizes)
+
+
+def test_places_of_linked_sets():
+    """Two linked sets share SHARED n-grams at early enough places, in any order of all n-grams."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(2, 200))
+        pool = rng.permutation(2 * n)
+        a, b = set(pool[:n].tolist()), set(pool[int(rng.integers(0, n // 8 + 1)) : n + int(rng.integers(0, n // 8 + 1))].tolist())
+        if a == b or 100 * len(a & b) < 80 * len(a | b):
+            continue
+        x, y = ({v: k for k, v in enumerate(sorted(members))} for members in (a, b))
+        at, other = (np.array([places[v] for v in sorted(a & b)]) for places in (x, y))
+        assert ngram_join.early_enough(np.int64(len(a)), at, np.int64(len(b)), other).sum() >= min(ngram_join.SHARED, len(a & b))
+
+
 def test_ngram_join_of_nothing(docs):
     assert ngram_join.classes_of(empty(docs)).count() == 0
     none = ngram_join.classes_of(docs.filter("doc_id IN (1000, 1001, 1002)")).collect()

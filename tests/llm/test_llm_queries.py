@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -33,10 +34,22 @@ def test_classifiers_cover_all(spark, name):
 
 def test_tool_calls_of_every_turn(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
-    got = QUERIES["op3_tool_call_rows"](spark, SF).cache()
+    got = QUERIES["op3_tool_calls"](spark, SF).cache()
     assert got.count() + got.filter("status = 'linked'").count() == turns.count()
     assert got.filter("status = 'other_role'").count() == turns.filter("role = 'system'").count() > 0
-    assert sorted(map(repr, got.filter("status <> 'other_role'").collect())) == sorted(map(repr, QUERIES["op3_tool_calls"](spark, SF).collect()))
+
+
+def test_tool_calls_of_odd_turns(spark, tmp_path):
+    """Repeated turns, null keys, roles and texts: every turn has its row, in the query as in the SQL."""
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "q"), (1, 1, "user", "q"), (1, 1, "user", None), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (1, 3, "user", None)]
+    rows += [(1, 4, "assistant", None), (2, 7, "assistant", "orphan"), (2, 9, "user", ""), (None, 1, "user", "no key"), (2, None, "user", "no turn"), (2, None, "assistant", "no turn"), (3, 1, None, "who"), (None, None, None, None), (3, 3, "user", 'a "quoted" é\n')]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op3_tool_calls"](spark, str(tmp_path))
+    assert got.count() + got.filter("status = 'linked'").count() == len(rows)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert_same(got, db, SQL["op3_tool_calls"])
 
 
 def test_pipeline_stages(spark):

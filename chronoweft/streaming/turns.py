@@ -42,21 +42,31 @@ def streaming_turns(units: DataFrame, merge_gap: int, watermark: str = "1 hour")
 
 
 def streaming_cooldown(rows: DataFrame, least_gap: int, most: int | None = None, watermark: str = "1 hour") -> DataFrame:
-    """Rows (source, id, at in ms, ts) that come least_gap or more after the last one taken of their source, `most` of them."""
+    """Rows (source, id, at in ms, ts) that come least_gap or more after the last one taken of their source, `most` of them.
+
+    Without `most` a source is forgotten once the watermark has passed its last taken row by least_gap, as any later row is taken then;
+    with it the number taken is kept for good.
+    """
     kind, id_kind = (rows.schema[c].dataType.simpleString() for c in ("source", "id"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (None, 0)
         taken = []
-        for r in pd.concat(list(batches)).sort_values(["at", "id"]).itertuples(index=False):
-            if (last is None or r.at - last >= least_gap) and (most is None or n < most):
-                taken.append((key[0], r.id, int(r.at)))
-                last, n = int(r.at), n + 1
-        state.update((last, n))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last, n = state.get if state.exists else (None, 0)
+            for r in pd.concat(list(batches)).sort_values(["at", "id"]).itertuples(index=False):
+                if (last is None or r.at - last >= least_gap) and (most is None or n < most):
+                    taken.append((key[0], r.id, int(r.at)))
+                    last, n = int(r.at), n + 1
+            state.update((last, n))
+            if most is None:
+                state.setTimeoutTimestamp(max(last + least_gap, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(taken, columns=["source", "id", "at"])
 
     keyed = rows.withWatermark("ts", watermark).groupBy("source")
-    return keyed.applyInPandasWithState(run, f"source {kind}, id {id_kind}, at long", "last long, n long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if most is None else GroupStateTimeout.NoTimeout
+    return keyed.applyInPandasWithState(run, f"source {kind}, id {id_kind}, at long", "last long, n long", "append", timeout)
 
 
 def upsert_stream(updates: DataFrame, path: str, keys: list[str], newest: str, checkpoint: str):

@@ -42,7 +42,7 @@ def test_layout(spark):
     assert layout.parts_of("supercalifragilistic words", 12, "en") == ["supercalifra", "gilistic", "words"] and layout.parts_of("一二三四五：六七八九十", 8, "zh") == ["一二三四五：", "六七八九十"]
     w = one(spark, "aa bb cccccc d")
     assert w.select(layout.wrapped_words(F.col("v"), 5)).collect()[0][0] == r"aa bb\Ncccccc\Nd"
-    assert one(spark, "今天天气，我们去看 Old Town 吧朋友").select(layout.wrapped_in_two(F.col("v"), 10)).collect()[0][0] == r"今天天气，我们去看\NOld Town 吧朋友"
+    assert one(spark, "今天天气，我们去看 Old Town 吧朋友").select(layout.wrapped_in_two(F.col("v"), 10)).collect()[0][0] == r"今天天气，我们去看 Old\NTown 吧朋友"
     df = one(spark, "Teh cat saw teh tehran 微新")
     assert df.select(layout.corrected(F.col("v"), [("teh", "the"), ("微新", "微信")])).collect()[0][0] == "the cat saw the tehran 微信"
 

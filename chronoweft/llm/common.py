@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweft.operators.graph import scratch_dir
+
 #: Words are maximal runs of anything but these six ASCII white-space characters (bytes.split() cuts at the same ones).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _HASH_SPAN = 1 << 30
@@ -18,17 +19,6 @@ _HASH_SPAN = 1 << 30
 _BROADCAST_VALUES = 10_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one of our own only where it is unset and Spark runs on this machine alone."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="chronoweft-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_sample, map_batches, small_batches, texts_of
+from chronoweft.llm.common import bounded_sample, fresh, map_batches, small_batches, texts_of
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -144,5 +144,6 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
 
 def keep_identified(df: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """df without the documents whose language is undetermined or scores below min_score; the same columns."""
-    marked = predict(df, model, keep=tuple(df.columns), language="__lang", score="__score")
-    return marked.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).drop("__lang", "__score")
+    lang, score = fresh(df, "__lang"), fresh(df, "__score")
+    marked = predict(df, model, keep=tuple(df.columns), language=lang, score=score)
+    return marked.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).drop(lang, score)

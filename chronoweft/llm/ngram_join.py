@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import WORD_PATTERN, map_batches, materialize, small_batches
+from chronoweft.llm.common import WORD_PATTERN, fresh, map_batches, materialize, small_batches
 
 #: Links: SHARE_NUM * |A or B| <= SHARE_DEN * |A and B|.
 SHARE_NUM, SHARE_DEN = 80, 100
@@ -566,9 +566,7 @@ def keep_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows = _named(df, text, key, CELL).filter("component IS NOT NULL OR n > 0")
     first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", (F.col("n") == 0).alias("empty"), "id"))
     group = F.struct("component", F.when(F.col("component").isNull(), F.col("class")).alias("class"))
-    name = "__row"
-    while name in df.columns:
-        name += "_"
+    name = fresh(df, "__row")
     kept = rows.groupBy(group.alias("group")).agg(first.alias("r")).select(F.col("r.id").alias(name))
     nothing = F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(WORD_PATTERN)
     hashed = df.filter(~nothing).withColumn(name, F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))))

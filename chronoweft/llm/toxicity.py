@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import bounded_sample, map_batches, one_label, texts_of
+from chronoweft.llm.common import bounded_sample, fresh, map_batches, one_label, texts_of
 from chronoweft.llm.hashed_words import BUCKETS, FEATURES, WordIndex, WordVectors
 from chronoweft.llm.language_id import LanguageModel
 
@@ -222,4 +222,5 @@ def predict(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
 
 def keep_clean(df: DataFrame, model: ToxicityModel) -> DataFrame:
     """df without the documents that score 0.5 or more; the same columns."""
-    return predict(df, model, keep=tuple(df.columns), score="__score").filter("__score < 0.5").drop("__score")
+    score = fresh(df, "__score")
+    return predict(df, model, keep=tuple(df.columns), score=score).filter(F.col(score) < 0.5).drop(score)

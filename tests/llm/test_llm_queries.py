@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -76,3 +77,23 @@ def test_pipeline_stages(spark):
     assert last.groupBy("sequence_id").sum("length").filter(f"`sum(length)` > {packing.CAPACITY}").isEmpty()
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(whole.select("doc_id", "start", "length").collect()) == sorted(last.select("doc_id", "start", "length").collect())
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, clashing columns and no rows at all, through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = "the report that was with them from this point which they had about there and then " * 6
+    odd = [(7_000_001, text + "one two three"), (7_000_001, text + "one two three"), (None, text + "four five six seven eight nine ten"), (7_000_002, ""), (None, None), (7_000_003, None)]
+    rows = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    df = docs.unionByName(rows.select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns)))
+    for c in ("component", "class", "__row", "__score", "id", "n", "salt", "place"):
+        df = df.withColumn(c, F.lit("clash"))
+    columns = df.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, SF).cache()
+        assert df.columns == columns, name
+    assert df.filter("doc_id = 7000001").count() == 1 and df.filter("doc_id > 7000001").isEmpty()
+    last = corpus_pipeline.STAGES[-1][1](spark, df, SF)
+    assert last.filter("start = 0").count() == df.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

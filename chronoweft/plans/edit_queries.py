@@ -55,11 +55,14 @@ def scene_tags(spark, sf_dir):
     return edits.scene_tags(e.withColumn("category", kind), e.select("label", F.abs(F.col("embedding")[0]).alias("area"), F.col("embedding")[1].alias("moved")), ["label"])
 
 
-@query("timeline_rhythm", f"""WITH {SPANS}, l AS (SELECT source, max("end") / 1000.0::DOUBLE AS duration FROM x GROUP BY source), c AS (SELECT DISTINCT source, duration, round(start / 1000.0::DOUBLE, 3) AS "at" FROM x JOIN l USING (source) WHERE start > 0 AND start / 1000.0::DOUBLE < duration),
+_RHYTHM = f"""WITH {SPANS}, l AS (SELECT source, max("end") / 1000.0::DOUBLE AS duration FROM x GROUP BY source), c AS (SELECT DISTINCT source, duration, round(start / 1000.0::DOUBLE, 3) AS "at" FROM x JOIN l USING (source) WHERE start > 0 AND start / 1000.0::DOUBLE < duration),
 t AS (SELECT source, count(*) AS cuts, count(*) FILTER (least(2, floor("at" / duration * 3)) = 0) AS opening, count(*) FILTER (least(2, floor("at" / duration * 3)) = 1) AS middle, count(*) FILTER (least(2, floor("at" / duration * 3)) = 2) AS closing FROM c GROUP BY source),
 e AS (SELECT source, duration, "at" FROM c UNION ALL SELECT source, duration, 0.0 FROM l), h AS (SELECT source, duration, "at", coalesce(lead("at") OVER (PARTITION BY source ORDER BY "at"), duration) AS z FROM e), s AS (SELECT source, duration, "at", round(z - "at", 3) AS d FROM h WHERE z > "at"),
 f AS (SELECT source, duration, count(*) AS shots, round(avg(d), 3) AS mean, round(median(d), 3) AS median, min(d) AS shortest, max(d) AS longest, round(stddev_pop(d) / avg(d), 3) AS variation, max_by(d, "at") AS final_hold FROM s GROUP BY ALL)
-SELECT f.source, shots, mean, median, shortest, longest, variation, final_hold, coalesce(cuts, 0) AS cuts, coalesce(opening, 0) AS opening, coalesce(middle, 0) AS middle, coalesce(closing, 0) AS closing, round(coalesce(cuts, 0) * 60 / duration, 6) AS cuts_per_minute FROM f LEFT JOIN t USING (source)""")
+SELECT f.source, shots, mean, median, shortest, longest, variation, final_hold, coalesce(cuts, 0) AS cuts, coalesce(opening, 0) AS opening, coalesce(middle, 0) AS middle, coalesce(closing, 0) AS closing, round(coalesce(cuts, 0) * 60 / duration, 6) AS cuts_per_minute FROM f LEFT JOIN t USING (source)"""
+
+
+@query("timeline_rhythm", _RHYTHM)
 def timeline_rhythm(spark, sf_dir):
     x = spans(spark, sf_dir)
     return edits.timeline_rhythm(x.select("source", (F.col("start") / 1000).alias("at")), x.groupBy("source").agg((F.max("end") / 1000).alias("duration")), ["source"])
@@ -158,3 +161,14 @@ def keyed_translations(spark, sf_dir):
     size = F.col("p_size")
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), F.when(size % 3 == 0, "  ").otherwise(F.col("p_name")).alias("target_text"), F.col("p_type").alias("text"), "p_partkey", F.concat(F.lit("cue"), size.cast("string")).alias("cue_id"), F.when(size % 2 == 0, "").otherwise(F.concat(F.lit("s"), "p_brand")).alias("source_id"))
     return edits.keyed_translations(items, ["p_partkey", "cue_id", "source_id"], ["target_text", "text"])
+
+
+@query("rhythm_deltas", f"""WITH m AS ({_RHYTHM}), p AS (SELECT a.source, b.source AS other, unnest(['cuts_per_minute', 'median', 'final_hold']) AS metric, unnest([abs(a.cuts_per_minute - b.cuts_per_minute), abs(a.median - b.median), abs(a.final_hold - b.final_hold)]) AS d, unnest([1.5, 4.0, 8.0]) AS t FROM m a JOIN m b ON b.source = a.source + 1)
+SELECT source, other, metric, round(d, 6) AS delta, d <= t AS within FROM p""")
+def rhythm_deltas(spark, sf_dir):
+    """Each supplier's timeline against that of the next supplier."""
+    from chronoweft.operators import scheduling
+
+    metrics = timeline_rhythm(spark, sf_dir)
+    pairs = metrics.select("source", (F.col("source") + 1).alias("other"))
+    return scheduling.rhythm_deltas(metrics, ["source"], pairs, {"cuts_per_minute": 1.5, "median": 4.0, "final_hold": 8.0})

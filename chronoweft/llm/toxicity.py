@@ -2,8 +2,8 @@
 
 Words are looked up in hashed embeddings (the word and parts of it, see hashed_words), filters of several widths
 run over the whole text, the maximum of each filter over all positions goes into one logistic unit. It is trained
-by stochastic gradient descent with AdaGrad on a bounded, documented sample of labelled rows; embeddings and filters
-begin at random. On rows kept back from the training sample a slope is fitted and scores are shifted so that 0.5 is the best
+by stochastic gradient descent with AdaGrad on a bounded, documented sample of labelled rows. Filters, output weights and embeddings
+begin at random but for one dimension of the embeddings, the log-odds of a bucket among the labels, without which few labels teach too little. On rows kept back from the training sample a slope is fitted and scores are shifted so that 0.5 is the best
 threshold of the text's language, as predicted from the text itself by language ID.
 
 Cases: a null or empty text has no word and gets the score of an all-zero window. Rows with a null label or key teach
@@ -101,6 +101,12 @@ class ToxicityModel:
         if labels[train].min() == labels[train].max():
             train = order
         self.embeddings = rng.normal(0, _SPREAD, (BUCKETS, DIMENSIONS)).astype(np.float32)
+        docs_with = np.zeros((2, BUCKETS))
+        for i in train:
+            docs_with[labels[i], np.unique(docs[i])] += 1
+        n = np.bincount(labels[train], minlength=2)
+        odds = np.log((docs_with[1] + 4) / (n[1] + 8)) - np.log((docs_with[0] + 4) / (n[0] + 8))
+        self.embeddings[:, 0] = odds / 2
         for w in WIDTHS:
             self.filters[w] = rng.normal(0, (w * DIMENSIONS) ** -0.5, (w, DIMENSIONS, FILTERS)).astype(np.float32)
         self.out = rng.normal(0, _SPREAD, FILTERS * len(WIDTHS)).astype(np.float32)
@@ -110,7 +116,7 @@ class ToxicityModel:
         self._calibrate(texts, labels, kept_back if len(kept_back) >= 20 else order)
 
     def _descend(self, docs: list[np.ndarray], labels: np.ndarray, train: np.ndarray, rng: np.random.Generator) -> None:
-        squares = {"e": np.full(BUCKETS, 1e-6), "o": np.full(len(self.out), 1e-3), "b": 1e-3} | {w: np.full(self.filters[w].shape, 1e-3) for w in WIDTHS}
+        squares = {"e": np.full(BUCKETS, 1e-3), "o": np.full(len(self.out), 1e-3), "b": 1e-3} | {w: np.full(self.filters[w].shape, 1e-3) for w in WIDTHS}
         rate = 0.05
         for _ in range(max(EPOCHS, min(30, LEAST_SEEN // max(len(train), 1)))):
             for at in np.array_split(rng.permutation(train), max(1, len(train) // _BATCH)):

@@ -40,11 +40,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow in slices of `rows` rows, so that Python holds few texts at once. make() builds the function once a task."""
+_held: dict[str, dict] = {}
+
+
+def held_by(operator: str) -> dict:
+    """What an operator keeps in a worker process from task to task, e.g. caches of words; another operator's first task there lets go of it."""
+    if operator not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[operator] = {}
+    return _held[operator]
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512, operator: str = "") -> DataFrame:
+    """mapInArrow in slices of `rows` rows, so that Python holds few texts at once. make() builds the function once a task; operator: see held_by."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by(operator)
         f = make()
         for b in batches:
             for start in range(0, b.num_rows, rows):

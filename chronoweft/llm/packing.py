@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import map_batches, materialize
+from chronoweft.llm.common import held_by, map_batches, materialize
 
 CAPACITY = 2048
 UNIT = 8
@@ -36,7 +36,7 @@ MOST_WASTE = 0.01
 SALTS = 64
 #: Sequence ids from here on belong to full pieces.
 _FULL = 1 << 44
-_CACHE_WORDS = 300_000
+_CACHE_WORDS, _CACHE_PARTS = 400_000, 200_000
 
 
 #: Longer words aren't kept, which gives the cache a bound in bytes.
@@ -48,13 +48,19 @@ _NOT_PLAIN = re.compile(rf"[^\t\n\x0b\x0c\r -~{_LETTERS}]|<\|")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
+#: ASCII marks that may follow the letters of a word.
+_ENDS = "!#$%&*.,:;?|<>)]}\""
+
+
 class _Remembered(dict):
     """Values of keys as bytes, made when first asked for; begins anew when it holds too many."""
 
+    most = _CACHE_WORDS
+
     def __missing__(self, key) -> bytes:
         value = self.made(key)
         if len(key) <= _CACHE_WORD_LENGTH:
-            if len(self) > _CACHE_WORDS:
+            if len(self) > self.most:
                 self.clear()
             self[key] = value
         return value
@@ -74,6 +80,10 @@ class WordIds(_Remembered):
 
     def made(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        letters = text.rstrip(_ENDS)
+        if self.plain and letters.isalpha() and (letters.isascii() or not _NOT_PLAIN.search(letters)):  # letters and then marks: two pieces
+            ids = self.parts[letters.lower()]
+            return ids + self.parts[text[len(letters) :]] if len(letters) < len(text) else ids
         return self._plain_ids(text) if self.plain and not _NOT_PLAIN.search(text) else self._ids(text)
 
     def _plain_ids(self, text: str) -> bytes:
@@ -89,6 +99,8 @@ class WordIds(_Remembered):
 class _Parts(_Remembered):
     """Ids of parts of plain words, by the tokenizer's model alone."""
 
+    most = _CACHE_PARTS
+
     def __init__(self, model) -> None:
         super().__init__()
         self.model = model
@@ -101,15 +113,12 @@ class _Parts(_Remembered):
         return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
 
-_words: dict[int, WordIds] = {}
-
-
 def _word_ids(tokenizer_json: str) -> WordIds:
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _words:
-        _words.clear()
-        _words[key] = WordIds(tokenizer_json)
-    return _words[key]
+    held, key = held_by("packing"), zlib.crc32(tokenizer_json.encode())
+    if key not in held:
+        held.clear()
+        held[key] = WordIds(tokenizer_json)
+    return held[key]
 
 
 def lengths_and_checksums(df: DataFrame, tokenizer_json: str, end_id: int, text: str, key: str) -> DataFrame:
@@ -139,7 +148,7 @@ def lengths_and_checksums(df: DataFrame, tokenizer_json: str, end_id: int, text:
         return one
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, n long, full array<long>, rest int, grid binary", rows=256)
+    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, n long, full array<long>, rest int, grid binary", rows=256, operator="packing")
 
 
 def _priced(value: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

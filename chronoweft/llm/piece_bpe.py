@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import map_batches, texts_of
+from chronoweft.llm.common import held_by, map_batches, texts_of
 
 SPACE = "▁"
 _UNKNOWN = -1
@@ -180,16 +180,14 @@ class PieceCoder:
         return sum([c[0] for c in chunks]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
 
 
-_coders: dict[int, PieceCoder] = {}
-
-
 def _coder(table: PieceTable) -> PieceCoder:
     """One coder a process and vocabulary, so that its caches outlive a task."""
     key = hash((len(table.pieces), table.end_id, hashlib.sha256("\0".join(table.pieces).encode()).digest()))
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = PieceCoder(table)
-    return _coders[key]
+    held = held_by("pieces")
+    if key not in held:
+        held.clear()
+        held[key] = PieceCoder(table)
+    return held[key]
 
 
 def encode(df: DataFrame, table: PieceTable, text: str = "text", keep: tuple[str, ...] = ("doc_id",), end: bool = True) -> DataFrame:
@@ -201,7 +199,7 @@ def encode(df: DataFrame, table: PieceTable, text: str = "text", keep: tuple[str
         coder = _coder(shared.value)
         return lambda b: pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([coder.encode(t, end) for t in texts_of(b, "__text")], pa.list_(pa.int32()))], [*keep, "ids"])
 
-    return map_batches(rows, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", ids array<int>")
+    return map_batches(rows, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", ids array<int>", operator="pieces")
 
 
 def decode(df: DataFrame, table: PieceTable, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -213,7 +211,7 @@ def decode(df: DataFrame, table: PieceTable, ids: str = "ids", keep: tuple[str,
         coder = _coder(shared.value)
         return lambda b: pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([coder.decode(x or []) for x in b.column("__ids").to_pylist()], pa.string())], [*keep, "text"])
 
-    return map_batches(rows, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__ids") + ", text string")
+    return map_batches(rows, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__ids") + ", text string", operator="pieces")
 
 
 def digests(df: DataFrame, table: PieceTable, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -230,4 +228,4 @@ def digests(df: DataFrame, table: PieceTable, text: str = "text", key: str = "do
 
         return one
 
-    return map_batches(rows, make, f"`{key}` {rows.schema['__key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=128)
+    return map_batches(rows, make, f"`{key}` {rows.schema['__key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=128, operator="pieces")

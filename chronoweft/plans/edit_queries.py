@@ -68,14 +68,14 @@ def timeline_rhythm(spark, sf_dir):
     return edits.timeline_rhythm(x.select("source", (F.col("start") / 1000).alias("at")), x.groupBy("source").agg((F.max("end") / 1000).alias("duration")), ["source"])
 
 
-@query("cover_synergy", r"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '' ELSE text END AS title, CASE turn % 4 WHEN 1 THEN upper(substr(text, 1, 14)) ELSE coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 'x') END AS cover FROM conversations),
+@query("cover_synergy", r"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '' ELSE text END AS title, CASE turn % 4 WHEN 1 THEN substr(text, 1, 14) ELSE coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 'x') END AS cover FROM conversations),
 t AS (SELECT *, list_distinct([lower(x) FOR x IN regexp_extract_all(title, '[A-Za-z0-9]{2,}')]) AS a, list_distinct([lower(x) FOR x IN regexp_extract_all(cover, '[A-Za-z0-9]{2,}')]) AS b, regexp_replace(lower(title), '[^\p{L}\p{N}]+', '', 'g') AS na, regexp_replace(lower(cover), '[^\p{L}\p{N}]+', '', 'g') AS nb FROM p)
 SELECT conv_id, turn, CASE WHEN title = '' THEN 'not_checked' WHEN na <> '' AND nb <> '' AND (contains(na, nb) OR contains(nb, na)) OR len(list_intersect(a, b)) / greatest(1, len(b))::DOUBLE >= 0.6 THEN 'warn' ELSE 'pass' END AS status FROM t""")
 def cover_synergy(spark, sf_dir):
     from pyspark.sql import Window
 
     after = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("x"))
-    c = table(spark, sf_dir, "conversations").withColumn("title", F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("text"))).withColumn("cover", F.when(F.col("turn") % 4 == 1, F.upper(F.substring("text", 1, 14))).otherwise(after))
+    c = table(spark, sf_dir, "conversations").withColumn("title", F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("text"))).withColumn("cover", F.when(F.col("turn") % 4 == 1, F.substring("text", 1, 14)).otherwise(after))
     return c.select("conv_id", "turn", edits.cover_synergy(F.col("title"), F.col("cover")).alias("status"))
 
 

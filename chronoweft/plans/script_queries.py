@@ -56,9 +56,9 @@ def completeness(spark, sf_dir):
 
 
 @query("internal_repeats", r"""WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_extract_all(lower(text || ' and so and so ' || text), '[a-z]+') AS ts FROM conversations),
-r AS (SELECT conv_id, turn, ts, 0 AS i, 0 AS k FROM t UNION ALL SELECT conv_id, turn, ts, i + CASE WHEN k > 0 THEN 2 * k ELSE 1 END,
+r AS (SELECT conv_id, turn, ts, -1 AS i, 0 AS k FROM t UNION ALL SELECT conv_id, turn, ts, i + CASE WHEN k > 0 THEN 2 * k ELSE 1 END,
  coalesce(list_max([s FOR s IN [1, 2, 3] IF i + CASE WHEN k > 0 THEN 2 * k ELSE 1 END + 2 * s <= len(ts) AND ts[i + CASE WHEN k > 0 THEN 2 * k ELSE 1 END + 1 : i + CASE WHEN k > 0 THEN 2 * k ELSE 1 END + s] = ts[i + CASE WHEN k > 0 THEN 2 * k ELSE 1 END + s + 1 : i + CASE WHEN k > 0 THEN 2 * k ELSE 1 END + 2 * s]]), 0) FROM r WHERE i < len(ts)),
-f AS (SELECT conv_id, turn, ts, i, k FROM r WHERE k > 0 UNION SELECT conv_id, turn, ts, 0, list_max([s FOR s IN [1, 2, 3] IF 2 * s <= len(ts) AND ts[1:s] = ts[s + 1 : 2 * s]]) FROM t WHERE FALSE)
+f AS (SELECT conv_id, turn, ts, i, k FROM r WHERE k > 0)
 SELECT conv_id, turn, CAST(i AS INTEGER) AS "at", array_to_string(ts[i + 1 : i + k], ' ') AS said FROM f""")
 def internal_repeats(spark, sf_dir):
     text = F.concat("text", F.lit(" and so and so "), "text")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import fingerprints, html_consensus, language_id, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, tool_calls, toxicity
+from chronoweft.llm import fingerprints, html_consensus, language_id, lexical_search, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, resampling, tool_calls, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -79,6 +79,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_of(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
@@ -91,4 +100,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_join": op10_ngram_join,
+        "op11_resampling": op11_resampling,
+        "op12_lexical_search": op12_lexical_search,
     }

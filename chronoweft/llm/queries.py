@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweft.llm import fingerprints, html_consensus, language_id, lexical_search, ngram_join, packing, piece_bpe, quality_cotraining, repeated_lines, resampling, tool_calls, toxicity
+from chronoweft.llm import fingerprints, html_consensus, language_id, lexical_search, ngram_join, packing, pii, piece_bpe, quality_cotraining, repeated_lines, resampling, tool_calls, toxicity
 from chronoweft.llm.common import held_out
 
 
@@ -88,6 +88,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs.filter(~held_out())))
+    joined = lambda found: F.concat_ws(",", F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+    base = F.sha2(joined(F.filter("found", lambda x: ~x["added"])).cast("binary"), 256)
+    return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), base.alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
@@ -102,4 +110,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_join": op10_ngram_join,
         "op11_resampling": op11_resampling,
         "op12_lexical_search": op12_lexical_search,
+        "op13_pii": op13_pii,
     }

@@ -5,21 +5,21 @@ from __future__ import annotations
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 OP4 = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, {_WORDS.format("t")} AS ws FROM d),
-f AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT row, doc_id, source, t, {_WORDS.format("t")} AS ws FROM d),
+f AS (SELECT row, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),
-l AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT doc_id, source, line, {_WORDS.format("line")} AS ws FROM l),
-g AS (SELECT doc_id, source, line, len(ws) AS n, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM lw WHERE len(ws) > 0),
-dup AS (SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines FROM g GROUP BY doc_id),
-tri AS (SELECT doc_id, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS g3 FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS k FROM w)),
-again AS (SELECT doc_id, k FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g3) > 1),
-rep AS (SELECT doc_id, CAST(count(DISTINCT k + o) AS BIGINT) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) v(o) GROUP BY doc_id),
-freq AS (SELECT source, norm FROM g GROUP BY source, norm HAVING count(DISTINCT doc_id) > 100),
-lost AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS removed_words FROM g JOIN freq ON g.norm = freq.norm AND g.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id),
+l AS (SELECT row, doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT row, doc_id, source, line, {_WORDS.format("line")} AS ws FROM l),
+g AS (SELECT row, doc_id, source, line, len(ws) AS n, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM lw WHERE len(ws) > 0),
+dup AS (SELECT row, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines FROM g GROUP BY row),
+tri AS (SELECT row, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS g3 FROM (SELECT row, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS k FROM w)),
+again AS (SELECT row, k FROM tri QUALIFY count(*) OVER (PARTITION BY row, g3) > 1),
+rep AS (SELECT row, CAST(count(DISTINCT k + o) AS BIGINT) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) v(o) GROUP BY row),
+freq AS (SELECT source, norm FROM g GROUP BY source, norm HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INTEGER) > 100),
+lost AS (SELECT row, CAST(sum(n) AS BIGINT) AS removed_words FROM g JOIN freq ON g.norm = freq.norm AND g.source IS NOT DISTINCT FROM freq.source GROUP BY row),
 j AS (SELECT f.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
-  FROM f LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+  FROM f LEFT JOIN dup USING (row) LEFT JOIN rep USING (row) LEFT JOIN lost USING (row))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= n_words * 0.5 AS kept, removed_words

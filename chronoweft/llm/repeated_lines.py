@@ -6,7 +6,7 @@ of a host have are removed, and a document that loses more than MOST_REMOVED of
 documents that fail the base rules on their own text.
 
 Cases: a null or empty text has no word and fails the base rules. A null host is a host of its own. Rows that share
-an id count as one document for frequencies; each row has its own verdict. Other columns play no part, whatever
+an id count as one document for frequencies, and so do all rows without an id; each row has its own verdict. Other columns play no part, whatever
 their names.
 """
 

@@ -6,7 +6,8 @@ batch are one sparse matrix (bucket indices and row starts), multiplied with the
 
 Cases: a null or empty text, or one without a letter, is `und` with score 0. Rows with a null language teach
 nothing. Repeated rows count as often as they come; as the sample goes by a hash of the key, rows of one key are in it
-together or not at all. The matrix has a row for each of at most MOST_LANGUAGES languages, those with most documents. Without any labelled row every text is `und`. Ties go to the
+together or not at all. The matrix has a row for every language and at most MOST_CELLS cells: from 256 languages on n-grams share fewer buckets, halved
+until it fits, but for LEAST_BITS, below which the matrix grows by 256 cells a language. Without any labelled row every text is `und`. Ties go to the
 language that sorts first. Other columns of the input are left out of the result, whatever their names.
 """
 
@@ -26,10 +27,11 @@ from chronoweft.llm.common import bounded_sample, fresh, map_batches, small_batc
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
+LEAST_BITS = 8
 #: Bound of the training sample: so many documents of each language, about.
 SAMPLE_PER_LANGUAGE = 2000
-#: Languages that are learned at most: the matrix has 256 KB for each.
-MOST_LANGUAGES = 200
+#: Cells of the matrix at most (of four bytes each).
+MOST_CELLS = 1 << 24
 #: A posterior counts so many n-grams at most, as n-grams of one text are far from independent.
 EVIDENCE = 60.0
 _TABLE = 0x20000
@@ -49,7 +51,12 @@ def _folded() -> np.ndarray:
     return table
 
 
-def sparse_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bits_for(languages: int) -> int:
+    """Bits of a bucket's number, so that the matrix of so many languages fits."""
+    return next((b for b in range(BUCKET_BITS, LEAST_BITS, -1) if languages << b <= MOST_CELLS), LEAST_BITS)
+
+
+def sparse_ngrams(texts: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket indices by order, starts of the texts, letters of each text). The bucket after the last stands for white space."""
     glued = "  ".join(texts) + "  "
     codes = np.frombuffer(glued.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -65,8 +72,8 @@ def sparse_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             shifted = np.roll(codes, 1 - order)
             mixed = mixed * np.uint32(0x01000193) + shifted
             empty = empty & np.roll(blank, 1 - order)
-        bucket = ((mixed ^ np.uint32(order)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
-        grams[k] = np.where(empty, 1 << BUCKET_BITS, bucket)
+        bucket = ((mixed ^ np.uint32(order)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+        grams[k] = np.where(empty, 1 << bits, bucket)
     return grams, starts, letters
 
 
@@ -81,9 +88,10 @@ class LanguageModel:
             return [], np.zeros(0)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        grams, starts, letters = sparse_ngrams(texts)
+        buckets = self.log_probability.shape[1] - 1
+        grams, starts, letters = sparse_ngrams(texts, buckets.bit_length() - 1)
         total = np.stack([sum(np.add.reduceat(row[g], starts, dtype=np.float64) for g in grams) for row in self.log_probability], 1)
-        n = np.add.reduceat((grams != 1 << BUCKET_BITS).sum(0), starts)
+        n = np.add.reduceat((grams != buckets).sum(0), starts)
         z = total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
         z = np.exp(z - z.max(1, keepdims=True))
         best, p = total.argmax(1), z / z.sum(1, keepdims=True)
@@ -95,8 +103,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     """Learns from the rows of df that have a language and a text; a bounded sample of them (see SAMPLE_PER_LANGUAGE)."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    rows = rows.filter(F.col("lang").isin([r["lang"] for r in top.collect()]))
+    bits = bits_for(rows.select("lang").distinct().count())
     sample = bounded_sample(rows, "lang", sample_per_language, "key", "language").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +112,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = texts_of(batch)
             for one in sorted(set(langs)):
-                grams, _, _ = sparse_ngrams([texts[i] for i in np.flatnonzero(langs == one)])
-                got = np.bincount(grams.ravel(), minlength=(1 << BUCKET_BITS) + 1)
+                grams, _, _ = sparse_ngrams([texts[i] for i in np.flatnonzero(langs == one)], bits)
+                got = np.bincount(grams.ravel(), minlength=(1 << bits) + 1)
                 sums[one] = sums[one] + got if one in sums else got
         for one, got in sums.items():
             at = np.flatnonzero(got[:-1])
@@ -114,7 +121,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
 
     got = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(got["lang"]))
-    counts = np.zeros((len(languages), (1 << BUCKET_BITS) + 1))
+    counts = np.zeros((len(languages), (1 << bits) + 1))
     if languages:
         counts[np.searchsorted(languages, got["lang"].to_numpy(str)), got["bucket"].to_numpy()] = got["n"].to_numpy()
     counts = counts[:, :-1] + 0.5

@@ -258,16 +258,18 @@ def _search_of(docs: DataFrame, known: DataFrame, key: str, most_per_source: int
         if not made:
             made.append(_hashed(docs, key))
         features = made[0]
-        shared = features.sparkSession.sparkContext.broadcast((views, platt))
+        spark = features.sparkSession
+        shared = spark.sparkContext.broadcast((views, platt, {v: np.array(sorted(taken[v]), np.int64) for v in views}))
 
         def make():
-            views, platt = shared.value
+            views, platt, done = shared.value
             model = QualityModel()
 
             def one(batch: pa.RecordBatch) -> pa.RecordBatch:
                 words, statistics, metadata = _stored(*(batch.column(c).to_pylist() for c in ("words", "statistics", "metadata")))
                 z = {"text": model._raw(views["text"], words, statistics), "meta": model._raw(views["meta"], list(metadata), np.zeros((len(words), 1)))}
-                p = [1 / (1 + np.exp(-np.clip(platt[v][0] * z[v] + platt[v][1], -30, 30))) for v in ("text", "meta")]
+                rows = batch.column("row").to_numpy()
+                p = [np.where(np.isin(rows, done[v]), 0.5, 1 / (1 + np.exp(-np.clip(platt[v][0] * z[v] + platt[v][1], -30, 30)))) for v in ("text", "meta")]
                 return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "row", "source")), *(pa.array(x, pa.float64()) for x in p)], ["key", "row", "source", "text", "meta"])
 
             return one
@@ -275,17 +277,15 @@ def _search_of(docs: DataFrame, known: DataFrame, key: str, most_per_source: int
         kind = {f.name: f.dataType.simpleString() for f in features.schema}
         scored = map_batches(features, make, f"key {kind['key']}, row long, source {kind['source']}, text double, meta double")
         sure = scored.filter(" OR ".join(f"{v} >= {_SURE} OR {v} <= 1 - {_SURE}" for v in views)).join(known.select("key"), "key", "left_anti")
-        sure = materialize(sure.select("row", "source", "text", "meta"), "quality-sure")
-        found: dict[str, list[tuple[int, int]]] = {}
-        for view in views:
-            p, found[view] = F.col(view), []
-            new = sure.filter(~F.col("row").isin(sorted(taken[view]))) if taken[view] else sure
-            labelled = new.select("row", "source", F.when(p >= _SURE, 1).when(p <= 1 - _SURE, 0).alias("label"), F.abs(p - 0.5).alias("margin")).filter("label IS NOT NULL")
-            dealt = labelled.withColumn("n", F.row_number().over(Window.partitionBy("label", "source").orderBy(F.desc("margin"), "row"))).filter(F.col("n") <= most_per_source)
-            for y in (0, 1):
-                found[view] += [(r["row"], y) for r in dealt.filter(F.col("label") == y).orderBy("n", F.desc("margin"), "row").limit(most_per_round).select("row").collect()]
-        wanted = sorted({r for rows in found.values() for r, _ in rows})
-        got = features.filter(F.col("row").isin(wanted)).select("row", "words", "statistics", "metadata").collect() if wanted else []
+        each = F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(v).alias("p")) for v in views)))
+        sides = sure.select("row", "source", each.alias("x")).select("row", "source", "x.view", (F.col("x.p") >= 0.5).cast("int").alias("label"), F.abs(F.col("x.p") - 0.5).alias("margin")).filter(F.col("margin") >= _SURE - 0.5)
+        n = F.row_number().over(Window.partitionBy("view", "label", "source").orderBy(F.desc("margin"), "row"))
+        dealt = sides.withColumn("n", n).filter(F.col("n") <= most_per_source)
+        place = F.row_number().over(Window.partitionBy("view", "label").orderBy("n", F.desc("margin"), "row"))
+        best = dealt.withColumn("place", place).filter(F.col("place") <= most_per_round).select("view", "label", "place", "row").collect()
+        found: dict[str, list[tuple[int, int]]] = {v: [(r["row"], r["label"]) for r in sorted(best) if r["view"] == v] for v in views}
+        wanted = spark.createDataFrame(sorted({(r["row"],) for r in best}), "row long")  # at most most_per_round a view and class
+        got = features.join(F.broadcast(wanted), "row", "semi").select("row", "words", "statistics", "metadata").collect() if best else []
         parts = {r["row"]: _stored([bytes(r["words"])], [bytes(r["statistics"])], [bytes(r["metadata"])]) for r in got}
         shared.unpersist()
         return found, {r: (w[0].astype(np.int32), t[0], m[0]) for r, (w, t, m) in parts.items()}

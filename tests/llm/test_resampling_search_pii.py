@@ -261,7 +261,7 @@ def test_windows_of_a_text_agree(model):
 
 
 def test_pii_of_odd_rows(spark, model):
-    rows = [(1, None), (1, ""), (None, "mail x@y.zz now, or +1 (743) 555-3824"), (2, "a@b.cc" * 20000), (2, "a@b.cc" * 20000), (3, "1.2.3.4 4111 1111 1111 1111")]
+    rows = [(1, None), (1, ""), (None, "mail x@y.zz now, or +1 (743) 555-3824"), (2, "a@b.cc" * 20000), (2, "a@b.cc" * 20000), (3, "1.2.3.4, 4111 1111 1111 1111")]
     got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.find(as_docs(spark, rows), model).collect()}
     assert {(1, 0, 0, 0, 0), (None, 1, 0, 0, 1), (3, 0, 1, 1, 0)} <= got
     assert pii.find(as_docs(spark, rows).limit(0), model).count() == 0

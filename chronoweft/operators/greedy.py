@@ -1,8 +1,8 @@
 """Order-dependent choices: what is taken depends on what was taken before.
 
 Each timeline's rows are folded in order with aggregate() over a sorted array, or, where a choice looks at all earlier ones, in a
-grouped pandas function. A timeline is one task; many timelines run side by side. Rows that no choice could take, and rows
-that stand alone, are best filtered out first (see lone()).
+grouped pandas function. Where a choice only concerns rows that meet, a timeline is first cut into stretches that no row spans (see
+scans.in_stretches), so that a hot one runs in many tasks; elsewhere a timeline is one task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweft.operators.graph import cut_lineage
+from chronoweft.operators.scans import in_stretches
+
 
 def cooldown(df: DataFrame, by: Sequence[str], at: str, least_gap: float, order: Sequence[str] = (), most: int | None = None, after_end: str | None = None) -> DataFrame:
     """The rows of each key, in order of at, whose at is least_gap or more after the last row taken (after its end, if after_end names that column); `most` of them."""
@@ -40,7 +43,10 @@ def spaced(points: DataFrame, lengths: DataFrame, by: Sequence[str], least: floa
 
 
 def suppressed(candidates: DataFrame, by: Sequence[str], most_overlap: float = 0.5) -> DataFrame:
-    """Non-maximum suppression of candidates (by, id, start, end, score): by falling score, then start and id, those that no taken one overlaps by more than most_overlap of the shorter."""
+    """Non-maximum suppression of candidates (by, id, start, end, score): by falling score, then start and id, those that no taken one overlaps by more than most_overlap of the shorter.
+
+    Candidates of different stretches don't overlap, so each stretch is chosen from on its own.
+    """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "start", "id"], ascending=[False, True, True])
@@ -53,11 +59,15 @@ def suppressed(candidates: DataFrame, by: Sequence[str], most_overlap: float = 0
                 kept.append((start, end))
         return rows[take]
 
-    return candidates.groupBy(*by).applyInPandas(choose, candidates.schema)
+    each = lambda rows, keys: rows.groupBy(*keys).applyInPandas(choose, rows.schema)
+    return in_stretches(candidates, by, F.col("start"), F.col("end"), each).select(*candidates.columns)
 
 
 def emphasis(candidates: DataFrame, by: Sequence[str], least_gap: float, most: int) -> DataFrame:
-    """Of candidates (by, id, at, score) by falling score, then at and id, those at least least_gap from every taken one; `most` of each key."""
+    """Of candidates (by, id, at, score) by falling score, then at and id, those at least least_gap from every taken one; `most` of each key.
+
+    Candidates of different stretches are farther apart than least_gap; the first `most` of all that the stretches take are those of one pass over the timeline.
+    """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "at", "id"], ascending=[False, True, True])
@@ -70,7 +80,10 @@ def emphasis(candidates: DataFrame, by: Sequence[str], least_gap: float, most: i
                 kept.append(at)
         return rows[take]
 
-    return candidates.groupBy(*by).applyInPandas(choose, candidates.schema)
+    each = lambda rows, keys: rows.groupBy(*keys).applyInPandas(choose, rows.schema)
+    taken = in_stretches(candidates, by, F.col("at"), F.col("at") + least_gap, each)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "at", "id"))
+    return taken.withColumn("__place", place).filter(F.col("__place") <= most).select(*candidates.columns)
 
 
 def packed(units: DataFrame, by: Sequence[str], order: Sequence[str], size: Column, most: int, breaks: Column | None = None) -> DataFrame:
@@ -144,7 +157,8 @@ def tracks(boxes: DataFrame, by: Sequence[str], diagonal: float, max_gap: float,
     """boxes (by, id, label, at, x1, y1, x2, y2) in order of at and id with the track of each.
 
     A box joins the track of its label that was seen at most max_gap before and fits best: overlap with its last box, plus 0.35 for a near centre
-    and 0.15 for a like area. It begins a track where neither the overlap nor the score suffices. Each label of a timeline is one scan.
+    and 0.15 for a like area. It begins a track where neither the overlap nor the score suffices. A label of a timeline is cut where it isn't seen for longer than max_gap, as no track goes on there; each stretch is a scan, and tracks
+    are numbered through.
     """
 
     def step(state: dict, row: object) -> tuple:
@@ -166,12 +180,20 @@ def tracks(boxes: DataFrame, by: Sequence[str], diagonal: float, max_gap: float,
         state[best] = (row.at, box)
         return (*(getattr(row, k) for k in by), row.label, row.id, best)
 
-    keys = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in by)
-    return scan(boxes, [*by, "label"], ["at", "id"], step, f"{keys}, label {boxes.schema['label'].dataType.simpleString()}, id {boxes.schema['id'].dataType.simpleString()}, track int")
+    keys = "".join(f"{k} {boxes.schema[k].dataType.simpleString()}, " for k in by)
+    schema = f"{keys}label {boxes.schema['label'].dataType.simpleString()}, id {boxes.schema['id'].dataType.simpleString()}, track int, stretch_no long"
+    each = lambda rows, inside: scan(rows, inside, ["at", "id"], lambda state, row: (*step(state, row), row.stretch_no), schema)
+    found = cut_lineage(in_stretches(boxes.select(*by, "label", "id", "at", "x1", "y1", "x2", "y2"), [*by, "label"], F.col("at"), F.col("at") + max_gap, each), "tracks")
+    before = Window.partitionBy(*by, "label").orderBy("stretch_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = found.groupBy(*by, "label", "stretch_no").agg(F.max("track").alias("__tracks")).withColumn("__before", F.coalesce(F.sum("__tracks").over(before), F.lit(0))).drop("__tracks")
+    return found.join(offsets, [*by, "label", "stretch_no"]).select(*by, "label", "id", (F.col("track") + F.col("__before")).cast("int").alias("track"))
 
 
 def merged_boxes(boxes: DataFrame, by: Sequence[str], least_iou: float = 0.7) -> DataFrame:
-    """(by, label, start, end, x1, y1, x2, y2, n): boxes with times, each merged into the first box of its label so far that it overlaps in time and by least_iou; that one grows."""
+    """(by, label, start, end, x1, y1, x2, y2, n): boxes with times, each merged into the first box of its label so far that it overlaps in time and by least_iou; that one grows.
+
+    Boxes of different stretches of time never overlap, so each stretch is merged on its own.
+    """
     names = ["start", "end", "x1", "y1", "x2", "y2"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -192,11 +214,12 @@ def merged_boxes(boxes: DataFrame, by: Sequence[str], least_iou: float = 0.7) ->
 
     keys = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in [*by, "label"])
     values = ", ".join(f"{n} {boxes.schema[n].dataType.simpleString()}" for n in names)
-    return boxes.groupBy(*by, "label").applyInPandas(run, f"{keys}, {values}, n long")
+    each = lambda rows, inside: rows.groupBy(*inside).applyInPandas(run, f"{keys}, {values}, n long")
+    return in_stretches(boxes, [*by, "label"], F.col("start"), F.col("end"), each)
 
 
 def adjacent_repeats(segments: DataFrame, by: Sequence[str], threshold: float = 0.88, max_gap: float = 2500, least_chars: int = 6) -> DataFrame:
-    """(by, id, keep, score): segments (by, id, start, end, normal) that repeat the last surviving one, or that are repeated by a later one that is at least 1.15 times as long."""
+    """(by, id, keep, score): segments (by, id, start, end, normal) that repeat the last surviving one, or that are repeated by a later one that is at least 1.15 times as long, rounded down."""
     from difflib import SequenceMatcher
 
     def step(state: dict, row: object) -> tuple | None:
@@ -208,7 +231,7 @@ def adjacent_repeats(segments: DataFrame, by: Sequence[str], threshold: float =
         score = max(SequenceMatcher(None, a, b).ratio(), inside)
         if score < threshold:
             return None
-        longer = len(b) >= 1.15 * len(a)
+        longer = len(b) >= int(1.15 * len(a))
         gone, kept = (before, row) if longer else (row, before)
         state["last"] = kept
         return (*(getattr(row, k) for k in by), gone.id, kept.id, score)

@@ -80,12 +80,39 @@ def _boxes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.lit(0).alias("source"), F.col("vec_id").alias("id"), F.col("label").alias("label"), F.col("vec_id").cast("double").alias("at"), x(0).alias("x1"), x(1).alias("y1"), (x(0) + 150).alias("x2"), (x(1) + 150).alias("y2"))
 
 
-@query("box_tracks")
+_BOXES = """b0 AS (SELECT vec_id AS id, label, vec_id::DOUBLE AS "at", embedding[1]::DOUBLE * 100 AS x1, embedding[2]::DOUBLE * 100 AS y1 FROM embeddings), b AS (SELECT *, x1 + 150 AS x2, y1 + 150 AS y2, "at" + 30 AS "end" FROM b0)"""
+
+
+def _shared(a: str, b: str) -> str:
+    """Intersection over union of two boxes."""
+    both = f"greatest(0.0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0.0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+    area = lambda r: f"(greatest(0.0, {r}.x2 - {r}.x1) * greatest(0.0, {r}.y2 - {r}.y1))"
+    return f"(CASE WHEN {both} > 0 THEN {both} / ({area(a)} + {area(b)} - {both}) ELSE 0.0 END)"
+
+
+_LIKE = """(greatest(0.0, x.x2 - x.x1) * greatest(0.0, x.y2 - x.y1))"""
+_FIT = f"""({_shared("n", "x")} + 0.35::DOUBLE * greatest(0.0, 1 - sqrt(power((n.x1 + n.x2) / 2 - (x.x1 + x.x2) / 2, 2) + power((n.y1 + n.y2) / 2 - (x.y1 + x.y2) / 2, 2)) / greatest(2000 * 0.18::DOUBLE, 1.0))
+ + 0.15::DOUBLE * (least({_LIKE.replace("x.", "n.")}, {_LIKE}) / greatest({_LIKE.replace("x.", "n.")}, {_LIKE}, 1.0)))"""
+
+
+@query("box_tracks", f"""WITH RECURSIVE {_BOXES}, n AS (SELECT label, {{'id': id, 'at': "at", 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS n, row_number() OVER (PARTITION BY label ORDER BY "at", id) AS k FROM b),
+r AS (SELECT label, k, n, [n] AS seen, 1 AS track FROM n WHERE k = 1
+ UNION ALL SELECT label, k, n, CASE WHEN to_ = len(seen) + 1 THEN list_append(seen, n) ELSE list_transform(seen, lambda x, i: CASE WHEN i = to_ THEN n ELSE x END) END, CAST(to_ AS INTEGER)
+ FROM (SELECT *, CASE WHEN best IS NULL OR (list_extract(shared, best) < 0.3 AND list_extract(fits, best) < 0.42) THEN len(seen) + 1 ELSE best END AS to_
+  FROM (SELECT *, CASE WHEN list_max(fits) IS NOT NULL THEN list_position(fits, list_max(fits)) END AS best FROM (SELECT n.label, n.k, n.n, r.seen, list_transform(r.seen, lambda x: CASE WHEN n.n."at" - x."at" BETWEEN -0.001 AND 40 THEN {_FIT.replace("n.", "n.n.")} END) AS fits,
+   list_transform(r.seen, lambda x: {_shared("n.n", "x")}) AS shared FROM r JOIN n ON n.label = r.label AND n.k = r.k + 1))))
+SELECT 0 AS source, label, n.id AS id, track FROM r""")
 def box_tracks(spark, sf_dir):
     return greedy.tracks(_boxes(spark, sf_dir), ["source"], 2000.0, 40.0, 0.3)
 
 
-@query("merged_boxes")
+@query("merged_boxes", f"""WITH RECURSIVE {_BOXES}, n AS (SELECT label, {{'start': "at", 'end': "end", 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'n': 1}} AS n, row_number() OVER (PARTITION BY label ORDER BY "at", "end", x1, y1) AS k FROM b),
+r AS (SELECT label, k, [n] AS kept FROM n WHERE k = 1
+ UNION ALL SELECT label, k, CASE WHEN into_ IS NULL THEN list_append(kept, n) ELSE list_transform(kept, lambda x, i: CASE WHEN i = into_ THEN {{'start': least(x.start, n.start), 'end': greatest(x."end", n."end"), 'x1': least(x.x1, n.x1), 'y1': least(x.y1, n.y1),
+   'x2': greatest(x.x2, n.x2), 'y2': greatest(x.y2, n.y2), 'n': x.n + 1}} ELSE x END) END
+ FROM (SELECT n.label, n.k, n.n, r.kept, list_position(list_transform(r.kept, lambda x: least(x."end", n.n."end") > greatest(x.start, n.n.start) AND {_shared("x", "n.n")} >= 0.5), TRUE) AS into_ FROM r JOIN n ON n.label = r.label AND n.k = r.k + 1)),
+l AS (SELECT label, unnest(kept) AS x FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC) = 1)
+SELECT 0 AS source, label, x.start AS start, x."end" AS "end", x.x1 AS x1, x.y1 AS y1, x.x2 AS x2, x.y2 AS y2, CAST(x.n AS BIGINT) AS n FROM l""")
 def merged_boxes(spark, sf_dir):
     boxes = _boxes(spark, sf_dir).withColumn("start", F.col("at")).withColumn("end", F.col("at") + 30)
     return greedy.merged_boxes(boxes, ["source"], 0.5)

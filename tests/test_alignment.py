@@ -155,7 +155,7 @@ end"""
 @pytest.mark.parametrize("sentences", [False, True])
 def test_target_units(spark, sentences):
     df = spark.createDataFrame([(1, SCRIPT), (2, None), (3, ""), (4, "a\r\nb")], "k long, text string")
-    got = [(r.k, r.index, r.section, r.text) for r in alignment.target_units(df, "k", sentences=sentences).orderBy("k", "index").collect()]
+    got = [(r.k, r["index"], r.section, r.text) for r in alignment.target_units(df, "k", sentences=sentences).orderBy("k", "index").collect()]
     lines = [("Opening", "Hello there. How are you? Fine"), ("Opening", "Next one"), ("The part", "done; 你好！再见"), ("The part", "item here"), ("The part", "end")]
     if sentences:
         lines = [(s, p.strip()) for s, x in lines for p in re.findall(r".+?(?:[。！？!?；;]|\.(?=\s|$)|$)", x)]

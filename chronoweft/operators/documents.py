@@ -84,27 +84,84 @@ def detections(frames: DataFrame, by: Sequence[str], least: float = 0.05, found:
     return flat.filter((F.col("confidence") >= least) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
 
 
-def asset_status(licence: Column, credit: Column, there: Column, known: Sequence[str], credited: Sequence[str]) -> Column:
-    """(status, problems) of an asset: blocked if its file is missing or its licence unknown, review if it must be credited and isn't, else ready."""
-    low = F.lower(F.trim(F.coalesce(licence, F.lit(""))))
-    needs = low.isin(*credited) & (F.coalesce(F.trim(credit), F.lit("")) == "")
-    problems = F.array_compact(F.array(F.when(~there, "missing_file"), F.when(~low.isin(*known, *credited), "unknown_license"), F.when(needs, "missing_credit")))
-    status = F.when(~there | ~low.isin(*known, *credited), "blocked").when(needs, "review").otherwise("ready")
-    return F.struct(status.alias("status"), F.array_join(problems, ",").alias("problems"))
-
-
-def option_score(dimensions: Mapping[str, Column], weights: Mapping[str, float], preferred: Column, paid: Column) -> Column:
-    """Weighted score of an option to 3 places: a bonus for the preferred one, a malus for one that costs."""
-    total = sum((F.coalesce(dimensions[n], F.lit(0.0)) * w for n, w in weights.items()), F.lit(0.0))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total + F.when(preferred, 0.1).otherwise(0.0) - F.when(paid, 0.05).otherwise(0.0))), 3)
-
-
-def review_segments(findings: DataFrame, by: Sequence[str], padding: float, most: int) -> DataFrame:
-    """(by, nth, severity, start, end): findings (by, severity, start, end) to look at, the grave first, then by time, with padding; `most` of them."""
-    grave = F.when(F.col("severity") == "fail", 0).when(F.col("severity") == "warn", 1).otherwise(2)
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(grave, "start", "end"))
-    rows = findings.select(*by, nth.alias("nth"), "severity", F.greatest(F.lit(0), F.col("start") - padding).alias("start"), (F.col("end") + padding).alias("end"))
-    return rows.filter(F.col("nth") <= most)
+# What providers allow; licences that forbid publishing, that ask for credit, and that don't; providers outside; those that need clearance.
+POLICIES = {
+    "pexels": {"license": "Pexels License", "attribution_required": False, "credit_recommended": True},
+    "pixabay": {"license": "Pixabay Content License", "attribution_required": False, "credit_recommended": True},
+    "unsplash": {"license": "Unsplash License", "attribution_required": False, "credit_recommended": True},
+    "owned": {"license": "Owned / self-produced", "attribution_required": False, "credit_recommended": False},
+    "self": {"license": "Owned / self-produced", "attribution_required": False, "credit_recommended": False},
+    "generated": {"license": "Generated asset", "attribution_required": False, "credit_recommended": False},
+    "codex_imagegen": {"license": "Generated with Codex image_gen / gpt-image-2", "attribution_required": False, "credit_recommended": False},
+    "dreamina": {"license": "Generated with Dreamina/Jimeng provider", "attribution_required": False, "credit_recommended": False},
+}
+BLOCKED_LICENSE = r"(?i)\b(all rights reserved|editorial only|non[- ]?commercial|personal use only|no commercial|rights managed|unknown license)\b"
+ATTRIBUTION_LICENSE = r"(?i)\b(cc[- ]?by|creative commons attribution|by-sa|by-nc|by-nd)\b"
+NO_ATTRIBUTION_LICENSE = r"(?i)\b(cc0|public domain|pexels|pixabay|unsplash)\b"
+EXTERNAL_PROVIDERS = ("pexels", "pixabay", "unsplash", "giphy", "bing", "google", "youtube", "tiktok", "instagram", "web")
+NEED_CLEARANCE = ("youtube", "tiktok", "instagram", "web", "bing", "google", "giphy")
+# Checks whose ranges are looked at, and the order of their states.
+REVIEWED_CHECKS = ("black_frames", "frozen_video", "silence")
+STATUS_ORDER = ("fail", "warn", "pass")
+
+
+def asset_status(provider: Column, licence: Column, source_url: Column, creator: Column, credit: Column, must_credit: Column, cleared: Column, path: Column, there: Column, known_only: bool = False) -> Column:
+    """(status, issues, warnings) of an asset: blocked by any issue, warn by any warning, else ready.
+
+    licence and whether credit is due follow from the provider where it has a policy; must_credit and cleared (for commercial use) are null where nothing is
+    said. Paths that are addresses count as there.
+    """
+    policy = lambda field: F.element_at(F.create_map(*(F.lit(x) for name, p in POLICIES.items() for x in (name, p[field]))), F.coalesce(provider, F.lit("")))
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    stated = F.when(text(licence) != "", text(licence)).otherwise(F.coalesce(policy("license"), F.lit("")))
+    by_licence = stated.rlike(ATTRIBUTION_LICENSE) & ~stated.rlike(NO_ATTRIBUTION_LICENSE)
+    due = F.coalesce(policy("attribution_required"), must_credit, by_licence)
+    recommended = F.coalesce(policy("credit_recommended"), F.lit(False))
+    remote, url, name, line = path.rlike("(?i)^https?://"), text(source_url), text(creator), text(credit)
+    of = lambda names: F.coalesce(provider.isin(*names), F.lit(False))
+    incomplete = due & (line == "") & ~((name != "") & (url != ""))
+    issues = F.array_compact(F.array(
+        F.when(~there & ~remote, "file_missing"), F.when(stated.rlike(BLOCKED_LICENSE), "license_not_publish_safe"), F.when((stated == "") & F.lit(known_only), "license_missing"),
+        F.when(of(NEED_CLEARANCE) & (stated == "") & ~F.coalesce(cleared, F.lit(False)), "external_asset_needs_usage_clearance"), F.when(incomplete, "attribution_required_but_incomplete"),
+    ))
+    warnings = F.array_compact(F.array(
+        F.when(remote, "remote_asset_url_not_local_file"), F.when((stated == "") & ~F.lit(known_only), "license_missing"), F.when(of(EXTERNAL_PROVIDERS) & (url == ""), "source_url_missing"),
+        F.when(~incomplete & recommended & (line == "") & (name == "") & (url == ""), "credit_metadata_missing"),
+    ))
+    status = F.when(F.size(issues) > 0, "blocked").when(F.size(warnings) > 0, "warn").otherwise("ready")
+    return F.struct(status.alias("status"), F.array_join(issues, ",").alias("issues"), F.array_join(warnings, ",").alias("warnings"))
+
+
+def option_score(dimensions: Mapping[str, Column], weights: Mapping[str, float], primary: Column, fallback: Column, candidates: Column, lacks: Column) -> Column:
+    """Weighted score of an option to 4 places, after its dimensions were shifted, each kept from 0 to 1.
+
+    The primary route fits the task better (+0.08), the fallback is better for continuity (+0.08), any other fits worse (-0.05); candidates at hand make it surer
+    and faster (+0.08, +0.06), lacking commands less so (-0.45, -0.15).
+    """
+    held = {n: F.coalesce(dimensions[n], F.lit(0.0)) if n in dimensions else F.lit(0.0) for n in weights}
+
+    def shift(name: str, when: Column, by: float) -> None:
+        if name in held:
+            held[name] = F.when(when, F.greatest(F.lit(0.0), F.least(F.lit(1.0), held[name] + by))).otherwise(held[name])
+
+    shift("task_fit", primary, 0.08)
+    shift("continuity", ~primary & fallback, 0.08)
+    shift("task_fit", ~primary & ~fallback, -0.05)
+    shift("reliability", candidates, 0.08)
+    shift("latency", candidates, 0.06)
+    shift("reliability", lacks, -0.45)
+    shift("latency", lacks, -0.15)
+    return F.round(sum((held[n] * w for n, w in weights.items()), F.lit(0.0)), 4)
+
+
+def review_segments(findings: DataFrame, by: Sequence[str], padding: float, most: int, length: str | None = None) -> DataFrame:
+    """(by, nth, check, severity, start, end): findings (by, check, severity, start, end) of REVIEWED_CHECKS to look at, failures first, then by time and check, with padding that stays within the media's length (a column, null if unknown); `most` of them."""
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.coalesce("severity", F.lit("warn"))), F.lit(0)), F.lit(2))
+    begin = F.greatest(F.lit(0), F.col("start") - padding)
+    end = F.greatest(begin, F.col("end") + padding)
+    kept = findings.filter(F.col("check").isin(*REVIEWED_CHECKS)).withColumn("__s", begin).withColumn("__e", F.least(end, F.col(length)) if length else end)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order, "__s", "check", "__e"))
+    return kept.withColumn("nth", nth).filter(F.col("nth") <= most).select(*by, "nth", "check", "severity", F.col("__s").alias("start"), F.col("__e").alias("end"))
 
 
 def loudest(streams: DataFrame, by: Sequence[str]) -> DataFrame:

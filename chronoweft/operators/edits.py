@@ -54,23 +54,28 @@ def on_frames(detections: DataFrame, frames: DataFrame, by: Sequence[str]) -> Da
     return told.join(frames.select(*by, "frame_id"), [*by, "frame_id"], "left_semi")
 
 
-def scene_tags(detections: DataFrame, tracks: DataFrame, by: Sequence[str], category: str = "category") -> DataFrame:
-    """(by, tag, evidence): categories of detections with their numbers, and whether a track is large or moves much."""
+def scene_tags(detections: DataFrame, tracks: DataFrame, scenes: DataFrame, by: Sequence[str], category: str = "category") -> DataFrame:
+    """(by, tag, evidence): categories of detections with their numbers, and whether a track is large or moves much; no_detected_objects for scenes (by) with neither."""
     counted = detections.groupBy(*by, F.col(category).alias("tag")).agg(F.count("*").alias("evidence"))
     seen = tracks.groupBy(*by).agg(F.bool_or(F.col("area") >= 0.22).alias("large"), F.bool_or(F.col("moved") >= 0.12).alias("moves"))
     flags = [seen.filter(flag).select(*by, F.lit(tag).alias("tag"), F.lit(1).cast("long").alias("evidence")) for flag, tag in (("large", "dominant_subject"), ("moves", "moving_subject"))]
-    return counted.unionByName(flags[0]).unionByName(flags[1])
+    told = counted.unionByName(flags[0]).unionByName(flags[1])
+    return told.unionByName(scenes.select(*by).distinct().join(told.select(*by), list(by), "left_anti").select(*by, F.lit("no_detected_objects").alias("tag"), F.lit(0).cast("long").alias("evidence")))
 
 
 def timeline_rhythm(boundaries: DataFrame, lengths: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, cuts, shots, cuts_per_minute, mean, median, shortest, longest, variation, final_hold, opening, middle, closing) of boundaries (by, at) of timelines of `duration`, in seconds."""
+    """(by, cuts, shots, cuts_per_minute, mean, median, p90, shortest, longest, variation, final_hold, final_share, opening, middle, closing and their shares of all cuts) of boundaries (by, at) of timelines of `duration`, in seconds."""
     cuts = boundaries.join(lengths, list(by)).filter((F.col("at") > 0) & (F.col("at") < F.col("duration"))).select(*by, "duration", F.round("at", 3).alias("at")).distinct()
     third = F.least(F.lit(2), F.floor(F.col("at") / F.col("duration") * 3))
     thirds = cuts.groupBy(*by).agg(*(F.count_if(third == k).alias(name) for k, name in enumerate(("opening", "middle", "closing"))), F.count("*").alias("cuts"))
     edges = cuts.select(*by, "duration", "at").unionByName(lengths.select(*by, "duration", F.lit(0.0).alias("at")))
     shots = edges.withColumn("end", F.coalesce(F.lead("at").over(Window.partitionBy(*by).orderBy("at")), "duration")).withColumn("d", F.round(F.col("end") - F.col("at"), 3)).filter("end > at")
-    facts = shots.groupBy(*by, "duration").agg(F.count("*").alias("shots"), F.round(F.avg("d"), 3).alias("mean"), F.round(F.median("d"), 3).alias("median"), F.min("d").alias("shortest"), F.max("d").alias("longest"), F.round(F.stddev_pop("d") / F.avg("d"), 3).alias("variation"), F.max_by("d", "at").alias("final_hold"))
+    shots = shots.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("d"))).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+    facts = shots.groupBy(*by, "duration").agg(F.count("*").alias("shots"), F.round(F.avg("d"), 3).alias("mean"), F.round(F.median("d"), 3).alias("median"), F.round(F.min(F.when(F.col("__k") >= F.ceil(F.col("__n") * 0.9), F.col("d"))), 3).alias("p90"), F.min("d").alias("shortest"), F.max("d").alias("longest"), F.round(F.stddev_pop("d") / F.avg("d"), 3).alias("variation"), F.max_by("d", "at").alias("final_hold"))
     both = facts.join(thirds, list(by), "left").fillna(0, ["cuts", "opening", "middle", "closing"])
+    for phase in ("opening", "middle", "closing"):
+        both = both.withColumn(f"{phase}_share", F.when(F.col("cuts") > 0, F.round(F.col(phase) / F.col("cuts"), 6)).otherwise(0.0))
+    both = both.withColumn("final_share", F.round(F.col("final_hold") / F.col("duration"), 6))
     return both.withColumn("cuts_per_minute", F.round(F.col("cuts") * 60 / F.col("duration"), 6)).drop("duration")
 
 

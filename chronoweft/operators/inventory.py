@@ -78,10 +78,19 @@ def takes(units: DataFrame, phrases: DataFrame, by: Sequence[str]) -> DataFrame:
     return counted.join(phrases.groupBy(*by).agg(F.count("*").alias("phrases")), list(by), "left").fillna(0, ["phrases"])
 
 
+# Shares of energy and onset in a feature.
+ENERGY, ONSET = 0.8, 0.2
+
+
 def sync_features(rows: DataFrame, by: Sequence[str], frame: str = "frame", value: str = "value", floor: float = 0.2) -> DataFrame:
-    """rows with `feature`: the value above the noise floor of its key (a percentile), in shares of its range, plus how much that rose since the frame before."""
-    edges = rows.groupBy(*by).agg(F.percentile(value, floor).alias("__low"), F.max(value).alias("__high"))
-    energy = F.greatest(F.lit(0.0), F.col(value) - F.col("__low")) / F.greatest(F.lit(1e-9), F.col("__high") - F.col("__low"))
+    """rows with `feature`: four parts of the value above the noise floor of its key, in shares of its range, and one of how much that rose since the frame before.
+
+    The floor is the value at round((n - 1) * floor), half to even; a key whose values hardly differ has features of 0.
+    """
+    ordered = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(value))).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+    edges = ordered.groupBy(*by).agg(F.min(F.when(F.col("__k") - 1 == F.bround((F.col("__n") - 1) * floor), F.col(value))).alias("__low"), F.max(value).alias("__high"))
+    span = F.col("__high") - F.col("__low")
+    energy = F.when(span <= 1e-9, 0.0).otherwise(F.greatest(F.lit(0.0), (F.col(value) - F.col("__low")) / span))
     shares = rows.join(edges, list(by)).withColumn("__e", energy)
     onset = F.greatest(F.lit(0.0), F.col("__e") - F.coalesce(F.lag("__e").over(Window.partitionBy(*by).orderBy(frame)), F.lit(0.0)))
-    return shares.withColumn("feature", F.col("__e") + onset).drop("__low", "__high", "__e")
+    return shares.withColumn("feature", ENERGY * F.col("__e") + ONSET * onset).drop("__low", "__high", "__e")

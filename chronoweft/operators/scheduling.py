@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from chronoweft.operators import greedy
 
+# Fixed value: a badge stays so many ms at least.
+LEAST_BADGE = 600
+
 
 def stickers(segments: DataFrame, by: Sequence[str], feelings: Mapping[str, Sequence[str]], pools: Mapping[str, int], least_gap: float) -> DataFrame:
     """(by, start, id, feeling, sticker): segments (by, start, id, text) that show a feeling, each least_gap or more after the one before; stickers of a timeline are dealt in turn from the feeling's pool."""
@@ -34,10 +37,17 @@ def sounds(segments: DataFrame, by: Sequence[str], words: Mapping[str, Sequence[
 
 
 def badges(turns: DataFrame, by: Sequence[str], length: float, least_gap: float) -> DataFrame:
-    """(by, speaker, start, end): a badge at the start of a turn (by, speaker, start, end), not again for the same speaker within least_gap; it lasts `length` or as long as the turn."""
-    named = turns.filter("speaker IS NOT NULL AND speaker <> 'unknown'")
-    shown = greedy.cooldown(named, [*by, "speaker"], "start", least_gap, ["end"])
-    return shown.select(*by, "speaker", "start", F.least(F.col("start") + length, F.col("end")).alias("end"))
+    """(by, speaker, start, end): a badge at the start of a turn (by, speaker, start, end, times in ms), not again within least_gap while the same speaker goes on; it lasts `length`, or as long as the turn, but LEAST_BADGE.
+
+    Another speaker's turn in between, an unknown one's too, makes the next badge due at once; turns that don't last count for nothing.
+    """
+    who = F.coalesce("speaker", F.lit("unknown"))
+    rows = turns.withColumn("speaker", who).filter("end > start OR speaker = 'unknown'")
+    order = Window.partitionBy(*by).orderBy("start", "end", "speaker")
+    rows = rows.withColumn("__changed", F.when(F.lag("speaker").over(order) == F.col("speaker"), 0).otherwise(1))
+    rows = rows.withColumn("__run", F.sum("__changed").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("speaker <> 'unknown'")
+    shown = greedy.cooldown(rows.select(*by, "__run", "speaker", "start", "end"), [*by, "__run", "speaker"], "start", least_gap, ["end"])
+    return shown.select(*by, "speaker", "start", (F.col("start") + F.least(F.lit(length), F.greatest(F.lit(LEAST_BADGE), F.col("end") - F.col("start")))).alias("end"))
 
 
 def opportunities(segments: DataFrame, by: Sequence[str], templates: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -12,6 +12,9 @@ BRIEF_STOPWORDS = ("about", "after", "again", "all", "also", "and", "any", "are"
 BRIEF_STOP_CHARS = "的一是在不了有和就都而及与或把被给这那我你他她它们个很太也要想找从到"
 FILLERS = {"zh": ("嗯", "呃", "啊", "那个", "就是", "然后", "其实就是", "怎么说"), "en": ("um", "uh", "like", "you know", "i mean", "sort of", "kind of")}
 MOST_TERMS = 24
+# The share of coverage, frequency and early matches in how a brief is answered; the penalty of a filler and of all.
+COVERAGE, FREQUENCY, EARLY = 0.72, 0.18, 0.10
+FILLER, ALL_FILLERS = 0.035, 0.18
 #: Probes that a drift needs at least.
 LEAST_INLIERS = 4
 
@@ -45,14 +48,14 @@ def brief_match(text: Column, terms: Column) -> Column:
     coverage = F.coalesce(total(hit, weight) / F.nullif(total(terms, weight), F.lit(0.0)), F.lit(0.0))
     frequency = F.least(F.lit(1.0), times / F.greatest(F.lit(1.0), F.size(terms) * 0.5))
     early = F.coalesce(F.greatest(F.lit(0.0), 1 - first / F.greatest(F.lit(24), F.floor(F.length(low) * 0.35))), F.lit(0.0))
-    score = F.least(F.lit(1.0), 0.72 * coverage + 0.18 * frequency + 0.10 * early)
+    score = F.least(F.lit(1.0), COVERAGE * coverage + FREQUENCY * frequency + EARLY * early)
     return F.struct(hit.alias("matched"), F.round(coverage, 3).alias("coverage"), F.round(frequency, 3).alias("frequency"), F.round(early, 3).alias("early"), F.round(score, 3).alias("score"))
 
 
 def filler_penalty(text: Column, language: str) -> Column:
     """0.035 for each filler of the language that occurs, 0.18 at most."""
     low = F.lower(text)
-    return F.least(F.lit(0.18), 0.035 * sum((F.contains(low, F.lit(f)).cast("int") for f in FILLERS[language]), F.lit(0)))
+    return F.least(F.lit(ALL_FILLERS), FILLER * sum((F.contains(low, F.lit(f)).cast("int") for f in FILLERS[language]), F.lit(0)))
 
 
 def internal_repeats(tokens: Column, least: int, most: int) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,24 +14,56 @@ from pyspark.sql import functions as F
 from chronoweft.functions.geometry import hamming
 
 
-def signature_pairs(rows: DataFrame, most: int, key: str = "id", signature: str = "signature", group: str | None = None, same: Sequence[str] = ()) -> DataFrame:
+#: Probes of a row at most, over all bands.
+MOST_PROBES = 1024
+
+
+def band_plan(most: int, rows: int) -> tuple[int, int]:
+    """(bands, bits): two signatures that differ in at most `most` of 64 bits differ in at most most // bands of one band's bits; the plan with the least work for so many rows.
+
+    The work is the probes of all rows (each band's value with up to `bits` of its bits flipped) and the pairs that meet by chance.
+    """
+    best = (float("inf"), most + 1, 0)
+    for bands in range(1, most + 2):
+        bits, width = most // bands, -(-64 // bands)
+        probes = sum(math.comb(width, k) for k in range(bits + 1))
+        if bands * probes <= MOST_PROBES or not bits:
+            chance = min(1.0, bands * probes / 2**width)
+            best = min(best, (rows * bands * probes + rows * rows / 2 * chance, bands, bits))
+    return best[1:]
+
+
+def _flips(width: int, bits: int) -> list[int]:
+    """All numbers of `width` bits with at most `bits` ones."""
+    return [sum(1 << i for i in c) for k in range(bits + 1) for c in combinations(range(width), k)]
+
+
+def signature_pairs(rows: DataFrame, most: int, key: str = "id", signature: str = "signature", group: str | None = None, same: Sequence[str] = (), plan: tuple[int, int] | None = None) -> DataFrame:
     """(a, b, distance) for pairs of 64-bit signatures that differ in at most `most` bits and agree in the columns `same`, a < b; pairs of one group are left out.
 
-    The signature is cut into most + 1 bands; two that differ in so few bits agree in one band at least, so pairs come from an
-    equality join on bands. A pair counts only in the first band that it agrees in. A band has 64 / (most + 1) bits, so up to 3 bits of
-    difference few rows meet by chance (16 bits), up to 7 some (8 bits); with more the join comes near to all pairs of equal `same`.
+    The signature is cut into bands, and pairs come from an equality join on bands, where one side probes values near its own (see band_plan). A pair counts only in
+    the first band that is near enough, so none comes twice. Up to some 15 bits few rows meet by chance; with more, pairs of random signatures come near to a
+    fifth of all (17 bits) or most of them (24 bits), as so many are within that distance of one another's bands.
     """
-    bands = most + 1
+    bands, bits = plan or band_plan(most, rows.count())
     edges = [64 * k // bands for k in range(bands + 1)]
-    band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    values = F.array(*[F.struct(F.lit(k).alias("band"), band(F.col(signature), k).alias("part")) for k in range(bands)])
-    side = lambda p: rows.select(F.col(key).alias(p), F.col(signature).alias(f"s{p}"), *([F.col(group).alias(f"g{p}")] if group else []), *same, F.inline(values))
-    pairs = side("a").join(side("b"), [*same, "band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("sa"), F.col("sb"))).filter(F.col("distance") <= most)
+    band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) if bands > 1 else c
+    plain = [F.struct(F.lit(k).alias("band"), band(F.col(signature), k).alias("part")) for k in range(bands)]
+    columns = lambda p: [F.col(key).alias(p), F.col(signature).alias(f"s{p}"), *([F.col(group).alias(f"g{p}")] if group else []), *same]
+    if bits:
+        def near(k: int) -> Column:
+            return F.transform(F.array(*map(F.lit, _flips(edges[k + 1] - edges[k], bits))), lambda flip: F.struct(F.lit(k).alias("band"), band(F.col(signature), k).bitwiseXOR(flip.cast("long")).alias("part")))
+
+        left = rows.select(*columns("a"), F.inline(F.concat(*map(near, range(bands)))))
+    else:
+        left = rows.select(*columns("a"), F.inline(F.array(*plain)))
+    right = rows.select(*columns("b"), F.inline(F.array(*plain)))
+    pairs = left.join(right, [*same, "band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("sa"), F.col("sb"))).filter(F.col("distance") <= most)
     if group:
         pairs = pairs.filter("ga <> gb")
     first = F.lit(None).cast("int")
     for k in reversed(range(bands)):
-        first = F.when(band(F.col("sa"), k) == band(F.col("sb"), k), k).otherwise(first)
+        first = F.when(F.bit_count(band(F.col("sa"), k).bitwiseXOR(band(F.col("sb"), k))) <= bits, k).otherwise(first)
     return pairs.filter(F.col("band") == first).select("a", "b", "distance")
 
 
@@ -82,8 +116,8 @@ def repeat_score(a: Column, b: Column) -> Column:
     return F.greatest(sequence_ratio(a, b), inside)
 
 
-#: Targets of one or two words that are looked for one by one in every text, at most.
-_SHORT_TARGETS = 500
+#: Short targets are looked for by their first characters, so many at most.
+_FIRST_CHARS = 4
 
 
 def exact_matches(targets: DataFrame, texts: DataFrame, words: int, target: str = "text", text: str = "text", target_key: str = "item_id", text_key: str = "doc_id") -> DataFrame:
@@ -91,8 +125,8 @@ def exact_matches(targets: DataFrame, texts: DataFrame, words: int, target: str
 
     The first and the last word of a target may be parts of longer ones in a text (a quote before, a full stop after), so candidates
     come from an equality join on the words between: on the hash of the first `words` of them, or of all if there are fewer, against
-    all runs of as many words of the texts. Targets of fewer than three words have none between and must be few: each is looked for in
-    every text, and more than _SHORT_TARGETS of them are an error.
+    all runs of as many words of the texts. Targets of fewer than three words have none between: there candidates come from an equality join of their first
+    characters with all runs of as many characters of the texts.
     """
     split = lambda c: F.regexp_extract_all(c, F.lit("[^\\s]+"), F.lit(0))
     goals = targets.select(F.col(target_key), F.col(target).alias("__target"), split(F.col(target)).alias("__all")).filter("__target <> ''")
@@ -105,13 +139,13 @@ def exact_matches(targets: DataFrame, texts: DataFrame, words: int, target: str
     keyed = runs.select(text_key, F.inline(F.array_distinct(F.flatten(F.array(empty, *(of_length(n) for n in lengths))))))
     hits = keyed.join(long, ["__n", "__h"]).select(text_key, target_key, "__target").distinct()
     found = hits.join(texts.select(text_key, F.col(text).alias("__text")), text_key)
-    few = goals.filter(F.size("__all") < 3).select(target_key, "__target").limit(_SHORT_TARGETS + 1).collect()
-    if len(few) > _SHORT_TARGETS:
-        raise ValueError(f"more than {_SHORT_TARGETS} targets of fewer than three words")
-    if few:
-        known = F.broadcast(texts.sparkSession.createDataFrame(few, goals.select(target_key, "__target").schema))
-        each = texts.select(text_key, F.col(text).alias("__text"), F.explode(F.array(*(F.lit(r["__target"]) for r in few))).alias("__target")).filter(F.contains("__text", "__target"))
-        found = found.unionByName(each.join(known, "__target").select(*found.columns))
+    short = goals.filter(F.size("__all") < 3).select(target_key, "__target", F.least(F.lit(_FIRST_CHARS), F.length("__target")).alias("__n")).withColumn("__run", F.expr("substring(__target, 1, __n)"))
+    starts = sorted(r[0] for r in short.select("__n").distinct().collect())  # at most _FIRST_CHARS of them
+    if starts:
+        run = lambda n: F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))))
+        parts = texts.select(text_key, F.explode(F.array(*(F.struct(F.lit(n).alias("__n"), run(n).alias("__runs")) for n in starts))).alias("__x")).select(text_key, "__x.__n", F.explode("__x.__runs").alias("__run"))
+        asked = parts.join(short, ["__n", "__run"]).select(text_key, target_key, "__target")
+        found = found.unionByName(asked.join(texts.select(text_key, F.col(text).alias("__text")), text_key).filter(F.contains("__text", "__target")).select(*found.columns))
     return found.withColumn("at", F.expr("instr(__text, __target)")).filter("at > 0").select(target_key, text_key, "at")
 
 

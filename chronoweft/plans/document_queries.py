@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators import documents
@@ -78,27 +79,56 @@ def nested_detections(spark, sf_dir):
     return documents.detections(frames, ["source"])
 
 
-@query("asset_status", """WITH a AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ' CC0 ' WHEN 1 THEN 'cc-by' WHEN 2 THEN 'mine' END AS l, CASE WHEN p_size % 3 = 0 THEN 'by me' ELSE ' ' END AS c, p_size % 7 > 0 AS there FROM part), s AS (SELECT p_partkey, there, coalesce(lower(trim(l)), '') AS l, trim(c) = '' AND coalesce(lower(trim(l)), '') = 'cc-by' AS needs FROM a)
-SELECT p_partkey, CASE WHEN NOT there OR l NOT IN ('cc0', 'pd', 'cc-by') THEN 'blocked' WHEN needs THEN 'review' ELSE 'ready' END AS status, concat_ws(',', CASE WHEN NOT there THEN 'missing_file' END, CASE WHEN l NOT IN ('cc0', 'pd', 'cc-by') THEN 'unknown_license' END, CASE WHEN needs THEN 'missing_credit' END) AS problems FROM s""")
+_HAS = documents.POLICIES
+_POLICY = ", ".join(f"('{n}', '{p['license']}', {str(p['attribution_required']).upper()}, {str(p['credit_recommended']).upper()})" for n, p in _HAS.items())
+_PROVIDERS = ["pexels", "owned", "youtube", "giphy", "studio", "dreamina", "web"]
+_LICENCES = ["", "CC BY 4.0", "cc0", "Editorial only", "All Rights Reserved", "cc-by from pexels"]
+
+
+@query("asset_status", rf"""WITH pol(provider, plicense, required, recommended) AS (VALUES {_POLICY}),
+a AS (SELECT p_partkey, {_PROVIDERS}[p_size % 7 + 1] AS provider, {_LICENCES}[p_partkey % 6 + 1] AS licence, CASE WHEN p_size % 3 = 0 THEN 'https://x.example/' || p_partkey ELSE '' END AS url, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS creator,
+ CASE WHEN p_size % 5 = 0 THEN 'by me' ELSE ' ' END AS credit, CASE p_partkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS must_, p_size % 2 = 0 AS cleared, CASE WHEN p_partkey % 11 = 0 THEN 'HTTPS://cdn/' || p_partkey ELSE 'media/' || p_partkey END AS path, p_size % 13 > 0 AS there FROM part),
+b AS (SELECT a.*, CASE WHEN licence <> '' THEN licence ELSE coalesce(plicense, '') END AS l, coalesce(recommended, FALSE) AS rec, required FROM a LEFT JOIN pol USING (provider)),
+c AS (SELECT *, regexp_matches(path, '^https?://', 'i') AS remote, coalesce(required, must_, regexp_matches(l, '{documents.ATTRIBUTION_LICENSE}') AND NOT regexp_matches(l, '{documents.NO_ATTRIBUTION_LICENSE}')) AND trim(credit) = '' AND NOT (coalesce(creator, '') <> '' AND url <> '') AS incomplete FROM b),
+d AS (SELECT *, concat_ws(',', CASE WHEN NOT there AND NOT remote THEN 'file_missing' END, CASE WHEN regexp_matches(l, '{documents.BLOCKED_LICENSE}') THEN 'license_not_publish_safe' END,
+  CASE WHEN provider IN ('youtube', 'giphy', 'web') AND l = '' AND NOT cleared THEN 'external_asset_needs_usage_clearance' END, CASE WHEN incomplete THEN 'attribution_required_but_incomplete' END) AS issues,
+ concat_ws(',', CASE WHEN remote THEN 'remote_asset_url_not_local_file' END, CASE WHEN l = '' THEN 'license_missing' END, CASE WHEN provider IN ('pexels', 'giphy', 'youtube', 'web') AND url = '' THEN 'source_url_missing' END,
+  CASE WHEN NOT incomplete AND rec AND trim(credit) = '' AND coalesce(creator, '') = '' AND url = '' THEN 'credit_metadata_missing' END) AS warnings FROM c)
+SELECT p_partkey, CASE WHEN issues <> '' THEN 'blocked' WHEN warnings <> '' THEN 'warn' ELSE 'ready' END AS status, issues, warnings FROM d""")
 def asset_status(spark, sf_dir):
-    size = F.col("p_size")
-    licence = F.when(size % 4 == 0, " CC0 ").when(size % 4 == 1, "cc-by").when(size % 4 == 2, "mine")
-    told = documents.asset_status(licence, F.when(size % 3 == 0, "by me").otherwise(" "), size % 7 > 0, ["cc0", "pd"], ["cc-by"])
-    return table(spark, sf_dir, "part").select("p_partkey", told.alias("s")).select("p_partkey", "s.status", "s.problems")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    of = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    told = documents.asset_status(
+        of(_PROVIDERS, size % 7), of(_LICENCES, key % 6), F.when(size % 3 == 0, F.concat(F.lit("https://x.example/"), key.cast("string"))).otherwise(""), F.when(key % 4 == 0, F.col("p_brand")), F.when(size % 5 == 0, "by me").otherwise(" "),
+        F.when(key % 5 == 0, True).when(key % 5 == 1, False), size % 2 == 0, F.concat(F.when(key % 11 == 0, "HTTPS://cdn/").otherwise("media/"), key.cast("string")), size % 13 > 0,
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", told.alias("s")).select("p_partkey", "s.*")
+
+
+# Weights of the dimensions of an option.
+_WEIGHTS = {"task_fit": 0.30, "output_quality": 0.20, "control": 0.15, "reliability": 0.15, "cost_efficiency": 0.10, "latency": 0.05, "continuity": 0.05}
+_CLAMP = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {0}))"
 
 
-@query("option_scores", """SELECT vec_id, round(greatest(0.0, least(1.0, abs(embedding[1]::DOUBLE) * 0.6 + coalesce(CASE WHEN vec_id % 3 > 0 THEN abs(embedding[2]::DOUBLE) END, 0) * 0.4 + CASE WHEN vec_id % 4 = 0 THEN 0.1 ELSE 0 END - CASE WHEN vec_id % 5 = 0 THEN 0.05 ELSE 0 END)), 3)::DOUBLE AS score FROM embeddings""")
+@query("option_scores", f"""WITH d AS (SELECT vec_id, {", ".join(f"abs(embedding[{k}]::DOUBLE) * 3 AS d{k}" for k in range(1, 8))}, vec_id % 3 = 0 AS pri, vec_id % 5 = 0 AS fall, vec_id % 4 = 0 AS cand, vec_id % 7 = 0 AS lacks FROM embeddings),
+e AS (SELECT vec_id, lacks, CASE WHEN pri THEN {_CLAMP.format("d1 + 0.08::DOUBLE")} WHEN fall THEN d1 ELSE {_CLAMP.format("d1 - 0.05::DOUBLE")} END AS d1, d2, d3, CASE WHEN cand THEN {_CLAMP.format("d4 + 0.08::DOUBLE")} ELSE d4 END AS d4, d5,
+ CASE WHEN cand THEN {_CLAMP.format("d6 + 0.06::DOUBLE")} ELSE d6 END AS d6, CASE WHEN NOT pri AND fall THEN {_CLAMP.format("d7 + 0.08::DOUBLE")} ELSE d7 END AS d7 FROM d),
+f AS (SELECT vec_id, d1, d2, d3, CASE WHEN lacks THEN {_CLAMP.format("d4 - 0.45::DOUBLE")} ELSE d4 END AS d4, d5, CASE WHEN lacks THEN {_CLAMP.format("d6 - 0.15::DOUBLE")} ELSE d6 END AS d6, d7 FROM e)
+SELECT vec_id, round({" + ".join(f"d{k} * {w}::DOUBLE" for k, w in enumerate(_WEIGHTS.values(), 1))}, 4) AS score FROM f""")
 def option_scores(spark, sf_dir):
-    i, v = F.col("vec_id"), lambda k: F.abs(F.col("embedding")[k].cast("double"))
-    score = documents.option_score({"quality": v(0), "speed": F.when(i % 3 > 0, v(1))}, {"quality": 0.6, "speed": 0.4}, i % 4 == 0, i % 5 == 0)
-    return table(spark, sf_dir, "embeddings").select("vec_id", score.alias("score"))
+    i = F.col("vec_id")
+    dimensions = {n: F.abs(F.col("embedding")[k].cast("double")) * 3 for k, n in enumerate(_WEIGHTS)}
+    return table(spark, sf_dir, "embeddings").select("vec_id", documents.option_score(dimensions, _WEIGHTS, i % 3 == 0, i % 5 == 0, i % 4 == 0, i % 7 == 0).alias("score"))
 
 
-@query("review_segments", f"""WITH {UNITS}, f AS (SELECT source, CASE id % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'info' END AS severity, start, "end" FROM u), n AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE severity WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, start, "end") AS INTEGER) AS nth, severity, greatest(0, start - 500) AS start, "end" + 500 AS "end" FROM f) SELECT * FROM n WHERE nth <= 24""")
+@query("review_segments", f"""WITH {UNITS}, f AS (SELECT source, ['black_frames', 'frozen_video', 'silence', 'loudness'][id % 4 + 1] AS "check", CASE id % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS severity, start, "end", max("end") OVER (PARTITION BY source) AS length FROM u),
+g AS (SELECT source, "check", severity, greatest(0, start - 500) AS start, least(greatest(greatest(0, start - 500), "end" + 500), length) AS "end" FROM f WHERE "check" <> 'loudness')
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE severity WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, start, "check", "end") AS INTEGER) AS nth, "check", severity, start, "end" FROM g QUALIFY nth <= 24""")
 def review_segments(spark, sf_dir):
     i = F.col("id")
-    rows = units(spark, sf_dir).select("source", F.when(i % 3 == 0, "fail").when(i % 3 == 1, "warn").otherwise("info").alias("severity"), "start", "end")
-    return documents.review_segments(rows, ["source"], 500, 24)
+    check = F.get(F.array(*map(F.lit, ("black_frames", "frozen_video", "silence", "loudness"))), (i % 4).cast("int"))
+    rows = units(spark, sf_dir).select("source", check.alias("check"), F.when(i % 3 == 0, "fail").when(i % 3 == 1, "warn").otherwise("pass").alias("severity"), "start", "end", F.max("end").over(Window.partitionBy("source")).alias("length"))
+    return documents.review_segments(rows, ["source"], 500, 24, "length")
 
 
 @query("loudest_streams", """WITH s AS (SELECT label, vec_id % 4 AS stream, CASE WHEN vec_id % 3 > 0 THEN round(embedding[1]::DOUBLE, 1) END AS level FROM embeddings) SELECT label, stream, level FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY level IS NULL, level DESC, stream) = 1""")

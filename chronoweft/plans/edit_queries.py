@@ -48,18 +48,20 @@ def detections_on_frames(spark, sf_dir):
 
 
 @query("scene_tags", """WITH d AS (SELECT label, CASE vec_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'vehicle' ELSE 'object' END AS tag FROM embeddings), t AS (SELECT label, bool_or(abs(embedding[1]) >= 0.22) AS large, bool_or(embedding[2] >= 0.12) AS moves FROM embeddings GROUP BY label)
-SELECT label, tag, count(*) AS evidence FROM d GROUP BY label, tag UNION ALL SELECT label, 'dominant_subject', 1 FROM t WHERE large UNION ALL SELECT label, 'moving_subject', 1 FROM t WHERE moves""")
+SELECT label, tag, count(*) AS evidence FROM d GROUP BY label, tag UNION ALL SELECT label, 'dominant_subject', 1 FROM t WHERE large UNION ALL SELECT label, 'moving_subject', 1 FROM t WHERE moves
+UNION ALL SELECT DISTINCT label + 1000, 'no_detected_objects', 0 FROM embeddings""")
 def scene_tags(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     kind = F.when(F.col("vec_id") % 3 == 0, "person").when(F.col("vec_id") % 3 == 1, "vehicle").otherwise("object")
-    return edits.scene_tags(e.withColumn("category", kind), e.select("label", F.abs(F.col("embedding")[0]).alias("area"), F.col("embedding")[1].alias("moved")), ["label"])
+    scenes = e.select(F.explode(F.array("label", F.col("label") + 1000)).alias("label"))
+    return edits.scene_tags(e.withColumn("category", kind), e.select("label", F.abs(F.col("embedding")[0]).alias("area"), F.col("embedding")[1].alias("moved")), scenes, ["label"])
 
 
 _RHYTHM = f"""WITH {SPANS}, l AS (SELECT source, max("end") / 1000.0::DOUBLE AS duration FROM x GROUP BY source), c AS (SELECT DISTINCT source, duration, round(start / 1000.0::DOUBLE, 3) AS "at" FROM x JOIN l USING (source) WHERE start > 0 AND start / 1000.0::DOUBLE < duration),
 t AS (SELECT source, count(*) AS cuts, count(*) FILTER (least(2, floor("at" / duration * 3)) = 0) AS opening, count(*) FILTER (least(2, floor("at" / duration * 3)) = 1) AS middle, count(*) FILTER (least(2, floor("at" / duration * 3)) = 2) AS closing FROM c GROUP BY source),
-e AS (SELECT source, duration, "at" FROM c UNION ALL SELECT source, duration, 0.0 FROM l), h AS (SELECT source, duration, "at", coalesce(lead("at") OVER (PARTITION BY source ORDER BY "at"), duration) AS z FROM e), s AS (SELECT source, duration, "at", round(z - "at", 3) AS d FROM h WHERE z > "at"),
-f AS (SELECT source, duration, count(*) AS shots, round(avg(d), 3) AS mean, round(median(d), 3) AS median, min(d) AS shortest, max(d) AS longest, round(stddev_pop(d) / avg(d), 3) AS variation, max_by(d, "at") AS final_hold FROM s GROUP BY ALL)
-SELECT f.source, shots, mean, median, shortest, longest, variation, final_hold, coalesce(cuts, 0) AS cuts, coalesce(opening, 0) AS opening, coalesce(middle, 0) AS middle, coalesce(closing, 0) AS closing, round(coalesce(cuts, 0) * 60 / duration, 6) AS cuts_per_minute FROM f LEFT JOIN t USING (source)"""
+e AS (SELECT source, duration, "at" FROM c UNION ALL SELECT source, duration, 0.0 FROM l), h AS (SELECT source, duration, "at", coalesce(lead("at") OVER (PARTITION BY source ORDER BY "at"), duration) AS z FROM e), s0 AS (SELECT source, duration, "at", round(z - "at", 3) AS d FROM h WHERE z > "at"), s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d) AS k, count(*) OVER (PARTITION BY source) AS n FROM s0),
+f AS (SELECT source, duration, count(*) AS shots, round(avg(d), 3) AS mean, round(median(d), 3) AS median, round(min(d) FILTER (k >= ceil(n * 0.9::DOUBLE)), 3) AS p90, min(d) AS shortest, max(d) AS longest, round(stddev_pop(d) / avg(d), 3) AS variation, max_by(d, "at") AS final_hold FROM s GROUP BY ALL)
+SELECT f.source, shots, mean, median, p90, round(final_hold / duration, 6) AS final_share, coalesce(round(opening / cuts, 6), 0)::DOUBLE AS opening_share, coalesce(round(middle / cuts, 6), 0)::DOUBLE AS middle_share, coalesce(round(closing / cuts, 6), 0)::DOUBLE AS closing_share, shortest, longest, variation, final_hold, coalesce(cuts, 0) AS cuts, coalesce(opening, 0) AS opening, coalesce(middle, 0) AS middle, coalesce(closing, 0) AS closing, round(coalesce(cuts, 0) * 60 / duration, 6) AS cuts_per_minute FROM f LEFT JOIN t USING (source)"""
 
 
 @query("timeline_rhythm", _RHYTHM)

@@ -75,8 +75,8 @@ def takes(spark, sf_dir):
     return inventory.takes(s.select("source", "end", F.when(F.col("id") % 4 == 0, "audio_event").otherwise("word").alias("kind")), s.filter("source % 2 = 0 AND id % 2 = 0"), ["source"])
 
 
-@query("sync_features", """WITH h AS (SELECT user_id AS source, CAST(floor((epoch_us(ts) // 1000) / 21600000) AS BIGINT) AS frame, sum(CAST(floor(value * 100) AS BIGINT))::DOUBLE AS value FROM events GROUP BY 1, 2), e AS (SELECT source, quantile_cont(value, 0.2) AS low, max(value) AS high FROM h GROUP BY source),
-s AS (SELECT h.*, greatest(0.0, value - low) / greatest(1e-9, high - low) AS e FROM h JOIN e USING (source)) SELECT source, frame, value, e + greatest(0.0, e - coalesce(lag(e) OVER (PARTITION BY source ORDER BY frame), 0)) AS feature FROM s""")
+@query("sync_features", """WITH h AS (SELECT user_id AS source, CAST(floor((epoch_us(ts) // 1000) / 21600000) AS BIGINT) AS frame, sum(CAST(floor(value * 100) AS BIGINT))::DOUBLE AS value FROM events GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY value) AS k, count(*) OVER (PARTITION BY source) AS n FROM h), e AS (SELECT source, min(value) FILTER (k - 1 = round_even((n - 1) * 0.2::DOUBLE, 0)) AS low, max(value) AS high FROM o GROUP BY source),
+s AS (SELECT h.*, CASE WHEN high - low <= 1e-9 THEN 0.0::DOUBLE ELSE greatest(0.0, (value - low) / (high - low)) END AS e FROM h JOIN e USING (source)) SELECT source, frame, value, 0.8::DOUBLE * e + 0.2::DOUBLE * greatest(0.0, e - coalesce(lag(e) OVER (PARTITION BY source ORDER BY frame), 0)) AS feature FROM s""")
 def sync_features(spark, sf_dir):
     from chronoweft.plans.views import millis
 

@@ -9,7 +9,7 @@ from chronoweft.plans.registry import query
 from chronoweft.plans.views import table
 
 
-@query("revised_documents", """WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem),
+@query("revised_documents", """WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
 g AS (SELECT k, string_agg('{"number":' || n || ',"part":' || CASE WHEN i = 1 AND k % 8 = 1 THEN 0 ELSE p END || '}', ',' ORDER BY i) AS lines FROM l GROUP BY k),
 j AS (SELECT o_orderkey, o_custkey, o_orderstatus AS s, o_orderkey % 4 = 3 AS stale, o_orderkey % 8 = 5 AND k IS NOT NULL AS overlap, lines FROM orders LEFT JOIN g ON k = o_orderkey),
 d AS (SELECT o_orderkey, '{"customer":' || o_custkey || ',"lines":[' || coalesce(lines, '') || '],"status":"' || CASE WHEN stale OR overlap THEN s ELSE 'Z' END || '"}' AS json, CASE WHEN stale THEN 'stale' WHEN overlap THEN 'overlap' ELSE '' END AS issues FROM j)

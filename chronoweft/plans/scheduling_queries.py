@@ -28,9 +28,12 @@ def sound_cues(spark, sf_dir):
     return scheduling.sounds(segments(spark, sf_dir), ["source"], {"glad": ["the", "a"], "sad": ["und", "que"]}, 3000, 4)
 
 
-@query("speaker_badges", f"""WITH RECURSIVE {UNITS}, m AS (SELECT source, speaker, start, "end", row_number() OVER (PARTITION BY source, speaker ORDER BY start, "end") AS k FROM u), {_taken('source,speaker', 86400000)} SELECT source, speaker, start, least(start + 5000000, "end") AS "end" FROM r WHERE took""")
+@query("speaker_badges", f"""WITH RECURSIVE {UNITS}, v AS (SELECT source, CASE WHEN speaker = 'view' THEN 'unknown' ELSE speaker END AS speaker, start, "end" FROM u), f AS (SELECT *, lag(speaker) OVER w IS NOT DISTINCT FROM speaker AS same FROM v WHERE "end" > start OR speaker = 'unknown' WINDOW w AS (PARTITION BY source ORDER BY start, "end", speaker)),
+g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY start, "end", speaker ROWS UNBOUNDED PRECEDING) AS run FROM f),
+m AS (SELECT source, run, speaker, start, "end", row_number() OVER (PARTITION BY source, run ORDER BY start, "end") AS k FROM g WHERE speaker <> 'unknown'), {_taken('source,run', 86400000)} SELECT source, speaker, start, start + least(5000000, greatest(600, "end" - start)) AS "end" FROM r WHERE took""")
 def speaker_badges(spark, sf_dir):
-    return scheduling.badges(units(spark, sf_dir), ["source"], 5_000_000, 86_400_000)
+    rows = units(spark, sf_dir).withColumn("speaker", F.when(F.col("speaker") == "view", "unknown").otherwise(F.col("speaker")))
+    return scheduling.badges(rows, ["source"], 5_000_000, 86_400_000)
 
 
 @query("opportunities", f"""WITH {SEGMENTS}, t AS (SELECT source, id, start, CASE WHEN regexp_matches(lower(text), 'the') THEN 'chart' WHEN regexp_matches(lower(text), 'e') THEN 'photo' END AS template, CAST(round(start / 1000.0::DOUBLE) AS BIGINT) AS second FROM s) SELECT source, id, template, second FROM t WHERE template IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, template, second ORDER BY start, id) = 1""")

@@ -52,3 +52,40 @@ def parse_aspect(text: Column) -> Column:
     """Width over height of `9:16`, `9x16` or a number."""
     parts = F.split(text, "[:xX/]")
     return F.when(F.size(parts) == 2, parts[0].try_cast("double") / F.nullif(parts[1].try_cast("double"), F.lit(0.0))).otherwise(text.try_cast("double"))
+
+
+# A frame for its hash has 9 x 8 pixels; shares of red, green and blue in 256 parts of grey.
+FRAME_WIDTH, FRAME_HEIGHT = 9, 8
+GREY = (77, 150, 29)
+
+
+def reduced_frame(pixels: Column, width: Column, height: Column) -> Column:
+    """A picture (an array of width x height x 3 colour values, row by row) as one of FRAME_WIDTH x FRAME_HEIGHT: each pixel the mean of its area, rounded down; null for pictures that are smaller or whose array is too short."""
+    edge = lambda k, of, n: F.floor(k * of / n).cast("int")
+
+    def mean(i: Column) -> Column:
+        pixel, colour = F.floor(i / 3).cast("int"), i % 3
+        x, y = pixel % FRAME_WIDTH, F.floor(pixel / FRAME_WIDTH).cast("int")
+        left, right, top, bottom = edge(x, width, FRAME_WIDTH), edge(x + 1, width, FRAME_WIDTH), edge(y, height, FRAME_HEIGHT), edge(y + 1, height, FRAME_HEIGHT)
+        row = lambda r: F.aggregate(F.sequence(left, right - 1), F.lit(0).cast("long"), lambda acc, c: acc + F.get(pixels, (r * width + c) * 3 + colour))
+        total = F.aggregate(F.sequence(top, bottom - 1), F.lit(0).cast("long"), lambda acc, r: acc + row(r))
+        return F.floor(total / ((right - left) * (bottom - top))).cast("int")
+
+    fits = (width >= FRAME_WIDTH) & (height >= FRAME_HEIGHT) & (F.size(pixels) >= width * height * 3)
+    return F.when(fits, F.transform(F.sequence(F.lit(0), F.lit(FRAME_WIDTH * FRAME_HEIGHT * 3 - 1)), mean))
+
+
+def frame_signature(pixels: Column) -> Column:
+    """(dhash, mean_rgb) of a frame of FRAME_WIDTH x FRAME_HEIGHT (an array of colour values, row by row): 64 bits that say where grey falls from a pixel to the next, in hexadecimal digits, and the mean colours to 3 places; null for shorter arrays."""
+    n = FRAME_WIDTH * FRAME_HEIGHT
+    red, green, blue = (_every_third(F.slice(pixels, 1, n * 3), k) for k in range(3))
+    grey = F.transform(F.zip_with(F.zip_with(red, green, lambda r, g: GREY[0] * r + GREY[1] * g), blue, lambda x, b: x + GREY[2] * b), lambda x: F.floor(x / 256))
+    falls = F.zip_with(grey, F.slice(grey, 2, n - 1), lambda here, after: (here > after).cast("long"))
+    inside = F.filter(F.slice(falls, 1, n - 1), lambda _, i: i % FRAME_WIDTH < FRAME_WIDTH - 1)  # not from the end of a row to the next
+    bits = F.aggregate(inside, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    mean = lambda c: F.round(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x) / n, 3)
+    return F.when(F.size(pixels) >= n * 3, F.struct(F.lower(F.lpad(F.hex(bits), 16, "0")).alias("dhash"), F.array(mean(red), mean(green), mean(blue)).alias("mean_rgb")))
+
+
+def _every_third(values: Column, k: int) -> Column:
+    return F.filter(values, lambda _, i: i % 3 == k)

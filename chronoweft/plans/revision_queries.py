@@ -10,7 +10,7 @@ from chronoweft.plans.views import table
 
 
 @query("revised_documents", """WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
-g AS (SELECT k, string_agg('{"number":' || n || ',"part":' || CASE WHEN i = 1 AND k % 8 = 1 THEN 0 ELSE p END || '}', ',' ORDER BY i) AS lines FROM l GROUP BY k),
+g AS (SELECT k, string_agg('{"number":' || n || ',"part":' || CASE WHEN i = 1 AND k % 8 = 1 THEN -1 ELSE p END || '}', ',' ORDER BY i) AS lines FROM l GROUP BY k),
 j AS (SELECT o_orderkey, o_custkey, o_orderstatus AS s, o_orderkey % 4 = 3 AS stale, o_orderkey % 8 = 5 AND k IS NOT NULL AS overlap, lines FROM orders LEFT JOIN g ON k = o_orderkey),
 d AS (SELECT o_orderkey, '{"customer":' || o_custkey || ',"lines":[' || coalesce(lines, '') || '],"status":"' || CASE WHEN stale OR overlap THEN s ELSE 'Z' END || '"}' AS json, CASE WHEN stale THEN 'stale' WHEN overlap THEN 'overlap' ELSE '' END AS issues FROM j)
 SELECT o_orderkey, json, sha256(json) AS digest, issues FROM d""")
@@ -25,7 +25,7 @@ def revised_documents(spark, sf_dir):
     first = F.col("lines")[0]
     every = [
         patch(1, "$.status", F.when(key % 4 == 3, F.lit('"X"')).otherwise(quoted(F.col("o_orderstatus"))), F.lit('"Z"')),
-        F.when((F.size("lines") > 0) & (key % 4 == 1), patch(2, "$.lines[0].part", first["part"].cast("string"), F.lit("0"))),
+        F.when((F.size("lines") > 0) & (key % 4 == 1), patch(2, "$.lines[0].part", first["part"].cast("string"), F.lit("-1"))),
         F.when((F.size("lines") > 0) & (key % 8 == 5), patch(3, "$.lines[0]", F.to_json(first), F.lit("{}"))),
     ]
     patches = orders.select(key, F.explode(F.array_compact(F.array(*every))).alias("x")).select(key, "x.*")

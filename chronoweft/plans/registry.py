@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("interval_queries", "join_queries", "text_queries", "quality_queries", "catalog_queries", "timeline_queries", "greedy_queries", "similarity_queries", "ledger_queries", "source_queries", "planning_queries", "validation_queries", "cue_queries", "transcript_queries", "script_queries", "check_queries", "command_queries", "edit_queries", "publishing_queries", "inventory_queries", "reading_queries", "document_queries", "scheduling_queries", "alignment_queries", "scan_queries", "revision_queries", "beat_queries")
+_MODULES = ("interval_queries", "join_queries", "text_queries", "quality_queries", "catalog_queries", "timeline_queries", "greedy_queries", "similarity_queries", "ledger_queries", "source_queries", "planning_queries", "validation_queries", "cue_queries", "transcript_queries", "script_queries", "check_queries", "command_queries", "edit_queries", "publishing_queries", "inventory_queries", "reading_queries", "document_queries", "scheduling_queries", "alignment_queries", "scan_queries", "revision_queries", "beat_queries", "drift_queries")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators import greedy, turns
 from chronoweft.plans.views import table, units
+from chronoweft.streaming import ledger
 from chronoweft.streaming.turns import streaming_cooldown, streaming_turns, upsert_stream
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +56,56 @@ def test_upsert(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out" / "version=1"))
     want = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
     assert sorted(map(tuple, got.select("o_custkey", "o_orderkey").collect())) == sorted(map(tuple, want.collect()))
+
+
+LEDGER = "k long, at long, bucket string"
+
+
+def _files(root):
+    return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in root.rglob("*.parquet")}
+
+
+def test_ledger_writes_touched_buckets_only(spark, tmp_path):
+    path, out = f"file://{tmp_path}/out", tmp_path / "out"
+    batches = [[(k, 0, "a") for k in range(50)] + [(None, 0, "a"), (None, 1, "n")], [], [(7, 2, "b"), (7, 1, "old"), (8, -1, "late"), (9, 0, "same")], [(7, 3, None), (60, None, "new"), (None, 2, "m")]]
+    frames = [spark.createDataFrame(b, LEDGER) for b in batches]
+    state = {}
+    for n, (rows, frame) in enumerate(zip(batches, frames)):
+        before = _files(out) if out.exists() else {}
+        ledger.apply_batch(frame, n, path, ["k"], "at", 16)
+        for k, at, v in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
+            if k not in state or state[k][0] is None or (at is not None and at >= state[k][0]):
+                state[k] = (at, v)
+        got = sorted(map(tuple, ledger.read_ledger(spark, path, frame.schema).collect()), key=repr)
+        assert got == sorted(((k, *v) for k, v in state.items()), key=repr), n
+        touched = {r[0] for r in frame.select(ledger.bucket_of(["k"], 16)).collect()}
+        written = {f for f, t in _files(out).items() if before.get(f) != t and f.startswith("version")}
+        assert {int(f.split("__bucket=")[1].split("/")[0]) for f in written} == touched
+    ledger.apply_batch(frames[3], 3, path, ["k"], "at", 16)  # the same batch once more
+    again = sorted(map(tuple, ledger.read_ledger(spark, path, frames[3].schema).collect()), key=repr)
+    assert again == got
+
+
+def test_ledger_expires_old_versions(spark, tmp_path):
+    path, out = f"file://{tmp_path}/out", tmp_path / "out"
+    assert ledger.read_ledger(spark, path, spark.createDataFrame([], LEDGER).schema).count() == 0
+    for n in range(5):
+        ledger.apply_batch(spark.createDataFrame([(k, n, str(n)) for k in range(20)], LEDGER), n, path, ["k"], "at", 4)
+    assert sorted(p.name for p in out.iterdir()) == ["manifest=3", "manifest=4", "version=3", "version=4"]
+    unfinished = out / "manifest=5"  # a batch that was lost before its manifest was done
+    unfinished.mkdir()
+    rows = ledger.read_ledger(spark, path, spark.createDataFrame([], LEDGER).schema).collect()
+    assert len(rows) == 20 and {r["at"] for r in rows} == {4}
+    with pytest.raises(ValueError):
+        ledger.apply_batch(spark.createDataFrame([], LEDGER), 6, path, ["k"], "at", 4, 1)
+
+
+def test_ledger_stream(spark, tmp_path):
+    orders = table(spark, SF, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    for k in range(4):
+        orders.filter(F.col("o_orderkey") % 4 == k).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(orders.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ledger.ledger_stream(stream, f"file://{tmp_path}/out", ["o_custkey"], "o_orderkey", str(tmp_path / "state"), 8).awaitTermination()
+    got = ledger.read_ledger(spark, f"file://{tmp_path}/out", orders.schema)
+    want = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    assert sorted(map(tuple, got.select("o_custkey", "o_orderkey").collect())) == sorted(map(tuple, want.collect()))

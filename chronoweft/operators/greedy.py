@@ -1,6 +1,6 @@
 """Order-dependent choices: what is taken depends on what was taken before.
 
-Each timeline's rows are folded in order with aggregate() over a sorted array, or, where a choice looks at all earlier ones, in a
+Each timeline's rows are folded in order with aggregate() over a sorted array, or, where the state is more than the rows taken, in a
 grouped pandas function. Where a choice only concerns rows that meet, a timeline is first cut into stretches that no row spans (see
 scans.in_stretches), so that a hot one runs in many tasks; elsewhere a timeline is one task.
 """
@@ -42,24 +42,29 @@ def spaced(points: DataFrame, lengths: DataFrame, by: Sequence[str], least: floa
     return kept.select(*by, F.explode(cut).alias(at))
 
 
+def _chosen(rows: DataFrame, keys: Sequence[str], order: Sequence[str], free: Callable[[Column, Column], Column]) -> DataFrame:
+    """The rows of each key, by falling score and then order, for which free(those taken before, row) holds; rows without a score come last."""
+    rest = [c for c in rows.columns if c not in [*keys, "score", *order]]
+    score = F.col("score")
+    unknown = score.isNull() | F.isnan(score.cast("double"))
+    item = F.struct(unknown.alias("__unknown"), F.when(~unknown, -score).alias("__less"), *order, "score", *rest)
+    kind = rows.select(item.alias("x")).schema["x"].dataType
+    lists = rows.groupBy(*keys).agg(F.collect_list(item).alias("__rows"))
+    # Most keys have one row, which is taken as it is.
+    kept = F.aggregate(F.sort_array("__rows"), F.array().cast(f"array<{kind.simpleString()}>"), lambda acc, x: F.when(F.coalesce(free(acc, x), F.lit(True)), F.concat(acc, F.array(x))).otherwise(acc))
+    return lists.select(*keys, F.inline(F.when(F.size("__rows") == 1, F.col("__rows")).otherwise(kept))).select(*rows.columns)
+
+
 def suppressed(candidates: DataFrame, by: Sequence[str], most_overlap: float = 0.5) -> DataFrame:
     """Non-maximum suppression of candidates (by, id, start, end, score): by falling score, then start and id, those that no taken one overlaps by more than most_overlap of the shorter.
 
     Candidates of different stretches don't overlap, so each stretch is chosen from on its own.
     """
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "start", "id"], ascending=[False, True, True])
-        kept: list[tuple] = []
-        take = []
-        for start, end in zip(rows["start"], rows["end"], strict=True):
-            free = all(max(0, min(end, e) - max(start, s)) <= most_overlap * max(min(end - start, e - s), 1e-9) for s, e in kept)
-            take.append(free)
-            if free:
-                kept.append((start, end))
-        return rows[take]
-
-    each = lambda rows, keys: rows.groupBy(*keys).applyInPandas(choose, rows.schema)
+    overlap = lambda k, x: F.greatest(F.lit(0), F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"]))
+    shorter = lambda k, x: F.greatest(F.least(k["end"] - k["start"], x["end"] - x["start"]).cast("double"), F.lit(1e-9))
+    meets = lambda k, x: overlap(k, x) > most_overlap * shorter(k, x)
+    each = lambda rows, keys: _chosen(rows, keys, ["start", "id"], lambda acc, x: ~F.exists(acc, lambda k: meets(k, x)))
     return in_stretches(candidates, by, F.col("start"), F.col("end"), each).select(*candidates.columns)
 
 
@@ -69,18 +74,8 @@ def emphasis(candidates: DataFrame, by: Sequence[str], least_gap: float, most: i
     Candidates of different stretches are farther apart than least_gap; the first `most` of all that the stretches take are those of one pass over the timeline.
     """
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "at", "id"], ascending=[False, True, True])
-        kept: list = []
-        take = []
-        for at in rows["at"]:
-            free = len(kept) < most and all(abs(at - k) >= least_gap for k in kept)
-            take.append(free)
-            if free:
-                kept.append(at)
-        return rows[take]
-
-    each = lambda rows, keys: rows.groupBy(*keys).applyInPandas(choose, rows.schema)
+    free = lambda acc, x: (F.size(acc) < most) & ~F.exists(acc, lambda k: F.abs(k["at"] - x["at"]) < least_gap)
+    each = lambda rows, keys: _chosen(rows, keys, ["at", "id"], free)
     taken = in_stretches(candidates, by, F.col("at"), F.col("at") + least_gap, each)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "at", "id"))
     return taken.withColumn("__place", place).filter(F.col("__place") <= most).select(*candidates.columns)

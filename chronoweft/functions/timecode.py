@@ -12,8 +12,8 @@ def seconds_to_frames(seconds: Column, fps: int) -> Column:
 
 
 def timecode(frames: Column, fps: int) -> Column:
-    """HH:MM:SS:FF without dropped frames."""
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    """HH:MM:SS:FF without dropped frames; from 100 hours on the hours have more digits."""
+    two = lambda c: F.lpad(c.cast("string"), F.greatest(F.lit(2), F.length(c.cast("string"))), F.lit("0"))
     seconds = F.floor(frames / fps)
     return F.concat_ws(":", two(F.floor(seconds / 3600)), two(F.floor(seconds / 60) % 60), two(seconds % 60), two(frames % fps))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweft.functions.text import fixed
 from chronoweft.sources.sinks import joined
 
 
@@ -98,8 +99,9 @@ def chapter_bar(chapters: DataFrame, lengths: DataFrame, by: Sequence[str], widt
     rows = chapters.join(lengths, list(by))
     share = lambda c: c / F.col("duration")
     colour = F.element_at(F.array(*map(F.lit, colours)), ((F.col("number") - 1) % len(colours) + 1).cast("int"))
-    part = F.concat(F.format_string(f"drawbox=x=iw*%.6f:y={y}:w=iw*%.6f:h={bar}:color=", share(F.col("start")), share(F.col("end") - F.col("start"))), colour, F.lit("@0.85:t=fill"))
-    line = F.when(F.col("number") > 1, F.format_string(f"drawbox=x=iw*%.6f-1:y={y}:w=2:h={bar}:color=white@0.9:t=fill", share(F.col("start"))))
+    begin, length = fixed(share(F.col("start")), 6), fixed(share(F.col("end") - F.col("start")), 6)
+    part = F.concat(F.lit("drawbox=x=iw*"), begin, F.lit(f":y={y}:w=iw*"), length, F.lit(f":h={bar}:color="), colour, F.lit("@0.85:t=fill"))
+    line = F.when(F.col("number") > 1, F.concat(F.lit("drawbox=x=iw*"), begin, F.lit(f"-1:y={y}:w=2:h={bar}:color=white@0.9:t=fill")))
     parts = joined(rows, by, ["number"], part, ",").withColumnRenamed("text", "parts")
     lines = joined(rows.filter("number > 1"), by, ["number"], line, ",").withColumnRenamed("text", "lines")
     seconds = F.format_string("%.4f", F.col("duration") / 1000)

@@ -119,7 +119,7 @@ def speakers(units: DataFrame, spoken: DataFrame, by: Sequence[str], width: int,
     The speaker with most overlap, else the unit's own existing one, else, if asked for, the nearest one, else `unknown`.
     """
     own = units.select(*by, "id", F.nullif(layout.compact(F.col("existing")), F.lit("")).alias("existing"))
-    found = joins.assign_speakers(units, spoken, by, width, low_coverage, mixed).join(own, [*by, "id"])
+    found = joins.assign_speakers(units, spoken, by, width, low_coverage, mixed, ("start", "end")).join(own, [*by, "id"])
     overlaps = F.col("assigned") != "unknown"
     found = nearest_speaker(found, spoken, by) if fill_nearest else found.withColumn("nearest", F.lit(None).cast("string"))
     heard, given = ~F.contains("warnings", F.lit("unlabeled")) | overlaps, F.col("existing").isNotNull()
@@ -194,16 +194,19 @@ def sentence_ends(words: DataFrame, by: Sequence[str], cuts: DataFrame, window:
     # Words share a group with the sentence end that follows; the group is counted from the back.
     group = F.sum(F.col("ends").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("__g", group)
-    later = Window.partitionBy(*by, "__g").orderBy("k").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("__reach", F.max("end").over(later)).withColumn("__last", F.last(F.struct("end", "next", "ends")).over(later))
+    # From the back what follows is a running value; a frame that ends with the group would be read anew for each word.
+    later = Window.partitionBy(*by, "__g").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__reach", F.max("end").over(later)).withColumn("__last", F.first(F.struct("end", "next", "ends")).over(later))
     facts = rows.select(*by, F.struct("start", "end", "next", "ends", "__reach", "__last").alias("__w"), "start", "end", "k")
     heard = facts.withColumn("at", F.col("start") - 1).groupBy(*by, "at").agg(F.max_by("__w", "k").alias("__w"))
     behind = joins.as_of(cuts, heard.select(*by, "at"), by, "at", "at", None, False, "__m").join(heard.withColumnRenamed("at", "__m"), [*by, "__m"], "left")
-    ending = facts.groupBy(*by, F.col("end").alias("__e")).agg(F.min_by("__w", "k").alias("__f"))
-    # Without a word before it: the first word, by place, whose end is in the window.
-    alone = behind.filter("__w IS NULL").select(*by, "id", "at")
-    first = alone.join(facts.select(*by, "k", "end", F.col("__w").alias("__f")), list(by)).filter((F.col("end") >= F.col("at")) & (F.col("end") <= F.col("at") + window)).groupBy(*by, "id").agg(F.min_by("__f", "k").alias("__f"))
-    joined = behind.join(first, [*by, "id"], "left").withColumn("__w", F.coalesce("__w", "__f"))
+    # Without a word before it: the first word, by place, whose end is in the window; ends are looked up by buckets as long as the window, each time once.
+    width = max(window, 1)
+    alone = behind.filter("__w IS NULL").select(*by, "at").distinct()
+    sought = alone.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + window) / width))))
+    ending = facts.select(*by, "k", "end", F.col("__w").alias("__f"), F.floor(F.col("end") / width).alias("__bucket"))
+    first = sought.join(ending, [*by, "__bucket"]).filter((F.col("end") >= F.col("at")) & (F.col("end") <= F.col("at") + window)).groupBy(*by, "at").agg(F.min_by("__f", "k").alias("__f"))
+    joined = behind.join(first, [*by, "at"], "left").withColumn("__w", F.coalesce("__w", "__f"))
     word = F.col("__w")
     extends = ~word["ends"] & word["__last"]["ends"] & (word["__reach"] <= F.col("at") + window)
     end = F.when(extends, word["__last"]["end"]).otherwise(word["end"]) + padding

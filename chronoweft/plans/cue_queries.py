@@ -46,10 +46,11 @@ _GROUPED = lambda words: rf"""list_reduce([[x] FOR x IN {words}], lambda a, x: C
 
 def _with_words(spark, sf_dir):
     s = segments(spark, sf_dir).filter("end > start").withColumn("text", layout.compact(F.col("text")))
-    words = F.filter(F.split("text", " "), lambda w: w != "")
-    at = lambda k: F.col("start") + F.floor((F.col("end") - F.col("start")) * k / F.size("__l"))
-    timed = F.transform("__l", lambda w, k: F.struct(at(k).alias("start"), at(k + 1).alias("end"), w.alias("text")))
-    return s.withColumn("__l", words).withColumn("words", timed).drop("__l")
+    # The list is bound to a name of its own: Spark puts filters on the words before the projection, and would there split the text again for each word.
+    words = F.array(F.filter(F.split("text", " "), lambda w: w != ""))
+    at = lambda k, n: F.col("start") + F.floor((F.col("end") - F.col("start")) * k / n)
+    timed = F.transform(words, lambda l: F.transform(l, lambda w, k: F.struct(at(k, F.size(l)).alias("start"), at(k + 1, F.size(l)).alias("end"), w.alias("text"))))
+    return s.withColumn("words", F.get(timed, F.lit(0)))
 
 
 @query("word_groups", f"""WITH {_WORDS}, g AS (SELECT source, id, unnest({_GROUPED('ws')}) AS c FROM w WHERE len(ws) > 0) SELECT source, id, c.start AS start, c."end" AS "end", c.text AS text FROM g""")

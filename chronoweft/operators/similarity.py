@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.functions.geometry import hamming
+from chronoweft.functions.text import all_ngrams, bound
 
 
 #: Probes of a row at most, over all bands.
@@ -135,14 +136,16 @@ def exact_matches(targets: DataFrame, texts: DataFrame, words: int, target: str
     lengths = sorted(r[0] for r in long.select("__n").distinct().collect())  # at most `words` of them
     runs = texts.select(F.col(text_key), split(F.col(text)).alias("__words"))
     empty = F.array().cast("array<struct<__n:int,__h:bigint>>")
-    of_length = lambda n: F.when(F.size("__words") >= n, F.transform(F.sequence(F.lit(1), F.size("__words") - (n - 1)), lambda i: F.struct(F.lit(n).alias("__n"), F.xxhash64(F.array_join(F.slice("__words", i, n), " ")).alias("__h")))).otherwise(empty)
-    keyed = runs.select(text_key, F.inline(F.array_distinct(F.flatten(F.array(empty, *(of_length(n) for n in lengths))))))
+    # Distinct hashes of each length: among numbers Spark finds them by a hash set, among structs by comparing all with all.
+    hashes = lambda w, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
+    of_length = lambda w, n: F.when(F.size(w) >= n, F.transform(hashes(w, n), lambda h: F.struct(F.lit(n).alias("__n"), h.alias("__h")))).otherwise(empty)
+    keyed = runs.select(text_key, F.inline(bound(F.col("__words"), lambda w: F.flatten(F.array(empty, *(of_length(w, n) for n in lengths))))))
     hits = keyed.join(long, ["__n", "__h"]).select(text_key, target_key, "__target").distinct()
     found = hits.join(texts.select(text_key, F.col(text).alias("__text")), text_key)
     short = goals.filter(F.size("__all") < 3).select(target_key, "__target", F.least(F.lit(_FIRST_CHARS), F.length("__target")).alias("__n")).withColumn("__run", F.expr("substring(__target, 1, __n)"))
     starts = sorted(r[0] for r in short.select("__n").distinct().collect())  # at most _FIRST_CHARS of them
     if starts:
-        run = lambda n: F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))))
+        run = lambda n: F.array_distinct(all_ngrams(F.col(text), n))
         parts = texts.select(text_key, F.explode(F.array(*(F.struct(F.lit(n).alias("__n"), run(n).alias("__runs")) for n in starts))).alias("__x")).select(text_key, "__x.__n", F.explode("__x.__runs").alias("__run"))
         asked = parts.join(short, ["__n", "__run"]).select(text_key, target_key, "__target")
         found = found.unionByName(asked.join(texts.select(text_key, F.col(text).alias("__text")), text_key).filter(F.contains("__text", "__target")).select(*found.columns))

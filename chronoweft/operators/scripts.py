@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,19 +76,92 @@ def internal_repeats(tokens: Column, least: int, most: int) -> Column:
     return F.aggregate(places, start, step, lambda acc: acc["out"])
 
 
+#: First probes of lines that are taken at once, and distances that are held at once.
+_FIRSTS, _HELD = 64, 1 << 21
+#: From so many probes on lines are first told apart by bounds of how many probes they have.
+_MANY = 256
+
+
+def _spread_counts(t: np.ndarray, y: np.ndarray, a: int, s: np.ndarray, residual: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most probes that can be within residual of the lines through probe a with slopes s: every other probe is near for an interval of slopes, give or take what doubles lose."""
+    dt, dy = t - t[a], y - y[a]
+    other = dt != 0
+    ends = np.stack([(dy[other] - residual) / dt[other], (dy[other] + residual) / dt[other]])
+    low, high = np.sort(ends.min(0)), np.sort(ends.max(0))
+    lost = 64 * np.finfo(float).eps * (np.abs(y).max() + residual + np.abs(s) * np.abs(t).max())
+    give = lost / np.abs(dt[other]).min()
+    same = np.sort(np.abs(dy[~other]))
+    least = np.searchsorted(low, s - give, "left") - np.searchsorted(high, s + give, "right") + np.searchsorted(same, residual - lost, "left")
+    most = np.searchsorted(low, s + give, "right") - np.searchsorted(high, s - give, "left") + np.searchsorted(same, residual + lost, "right")
+    return least, most
+
+
+def _best_lines(first: int, t: np.ndarray, y: np.ndarray, residual: float) -> np.ndarray:
+    """Rows lat, rat, s, i, n, m of the lines with most probes within residual, and of these with the least median (to two of the ninth place), among those that begin at the _FIRSTS times from the first-th on. t is sorted."""
+    times, where = np.unique(t, return_index=True)
+    where = np.append(where, len(t))
+    begin, end = where[first], where[min(first + _FIRSTS, len(times))]
+    a, b = np.nonzero(t[begin:end, None] < t[None, :])
+    a += begin
+    s = (y[b] - y[a]) / (t[b] - t[a])
+    i = y[a] - s * t[a]
+    copies = np.ones(len(a), dtype=np.int64)
+    if len(times) < len(t):  # the same line through the same times, from probes that lie together
+        _, one, copies = np.unique(np.stack([t[a], t[b], s, i]), axis=1, return_index=True, return_counts=True)
+        order = np.argsort(one)
+        one, copies = one[order], copies[order]
+        a, b, s, i = a[one], b[one], s[one], i[one]
+    if len(t) >= _MANY and len(a) and np.isfinite(t).all() and np.isfinite(y).all() and np.isfinite(s).all():
+        cuts = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))
+        least, most = (np.concatenate(x) for x in zip(*(_spread_counts(t, y, a[u], s[u:v], residual) for u, v in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        likely = most * copies >= (least * copies).max()
+        a, b, s, i, copies = a[likely], b[likely], s[likely], i[likely], copies[likely]
+
+    def parts(chosen: np.ndarray):
+        step = max(1, _HELD // len(t))
+        for k in range(0, len(chosen), step):
+            c = chosen[k : k + step]
+            yield c, np.abs(y[None, :] - i[c, None] - s[c, None] * t[None, :])
+
+    n = np.zeros(len(a), dtype=np.int64)
+    for c, r in parts(np.arange(len(a))):
+        n[c] = (r <= residual).sum(1) * copies[c]
+    chosen = np.flatnonzero((n > 0) & (n == n.max(initial=0)))
+    m = np.zeros(len(a))
+    for c, r in parts(chosen):
+        near = np.sort(np.where(r <= residual, r, np.inf), axis=1)
+        inside, row = n[c] // copies[c], np.arange(len(c))
+        m[c] = (near[row, (inside - 1) // 2] + near[row, inside // 2]) / 2
+    chosen = chosen[m[chosen] <= m[chosen].min(initial=np.inf) + 2e-9]
+    return np.stack([t[a], t[b], s, i, n, m])[:, chosen]
+
+
+def _consensus_lines(residual: float):
+    names = ["lat", "rat", "s", "i", "n", "m"]
+
+    def lines(first: pd.Series, t: pd.Series, y: pd.Series) -> pd.DataFrame:
+        with np.errstate(all="ignore"):
+            found = [_best_lines(k, np.asarray(u, dtype=float), np.asarray(v, dtype=float), residual) for k, u, v in zip(first, t, y, strict=True)]
+        return pd.DataFrame({name: [f[k] for f in found] for k, name in enumerate(names)})
+
+    return F.pandas_udf(lines, "struct<" + ",".join(f"{n}:array<double>" for n in names) + ">")
+
+
 def drift_consensus(probes: DataFrame, by: Sequence[str], least_confidence: float, residual: float, least_span: float, most_ppm: float) -> DataFrame:
     """(by, slope, intercept, probes, inliers, span, worst, reasons): the clock drift of probes (by, at, offset, confidence) that most of them agree on.
 
     Each pair of probes is a line; the one with most probes within `residual` wins, of several the one with the smaller median residual, then
-    the flatter one. Its inliers are fitted by least squares. reasons says why a drift isn't to be trusted. Probes of a key are few (a
-    recording has some ten), so their pairs are joined.
+    the flatter one. Its inliers are fitted by least squares. reasons says why a drift isn't to be trusted. A row holds all probes of a key and the
+    times where some of its lines begin, and gives the best of these; lines aren't joined with probes. From _MANY probes on, most lines are left out by bounds that a
+    sort of slopes gives, so the work is near the square of a key's probes unless lines tie.
     """
     good = probes.filter((F.col("confidence") >= least_confidence) & F.col("at").isNotNull() & F.col("offset").isNotNull()).select(*by, "at", "offset")
-    left, right = (good.select(*by, F.col("at").alias(f"{s}at"), F.col("offset").alias(f"{s}offset")) for s in "lr")
-    slope = F.try_divide(F.col("roffset") - F.col("loffset"), F.col("rat") - F.col("lat"))
-    lines = left.join(right, list(by)).filter("lat < rat").withColumn("s", slope).withColumn("i", F.col("loffset") - F.col("s") * F.col("lat"))
-    near = lines.join(good, list(by)).withColumn("r", F.abs(F.col("offset") - F.col("i") - F.col("s") * F.col("at"))).filter(F.col("r") <= residual)
-    each = near.groupBy(*by, "lat", "rat", "s", "i").agg(F.count("*").alias("n"), F.median("r").alias("m"))
+    sorted_probes = F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("offset").cast("double").alias("offset"))))
+    packed = good.groupBy(*by).agg(sorted_probes.alias("p")).select(*by, F.col("p.at").alias("ats"), F.col("p.offset").alias("offsets"))
+    begins = F.sequence(F.lit(0), F.size(F.array_distinct("ats")) - 1, F.lit(_FIRSTS))
+    spread = packed.select(*by, "ats", "offsets", F.explode(begins).alias("first")).repartition(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "first")
+    lines = spread.select(*by, _consensus_lines(residual)("first", "ats", "offsets").alias("x"))
+    each = lines.select(*by, F.inline(F.arrays_zip(*(F.col(f"x.{c}").alias(c) for c in ("lat", "rat", "s", "i", "n", "m")))))
     best = each.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), F.round("m", 9), F.round(F.abs("s"), 12), "lat", "rat"))).filter("k = 1").select(*by, "s", "i")
     inside = good.join(best, list(by)).filter(F.abs(F.col("offset") - F.col("i") - F.col("s") * F.col("at")) <= residual)
     fit = inside.groupBy(*by).agg(F.regr_slope("offset", "at").alias("slope"), F.regr_intercept("offset", "at").alias("intercept"), F.count("*").alias("inliers"), (F.max("at") - F.min("at")).alias("span"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweft.functions import layout
 from chronoweft.operators import joins
+from chronoweft.operators.graph import cut_lineage
 
 # Names that readers know a field by, the first that is filled counts.
 START_NAMES = ("start", "start_time", "startTime", "begin", "from", "timestamp")
@@ -197,9 +199,15 @@ def sentence_ends(words: DataFrame, by: Sequence[str], cuts: DataFrame, window:
     # From the back what follows is a running value; a frame that ends with the group would be read anew for each word.
     later = Window.partitionBy(*by, "__g").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__reach", F.max("end").over(later)).withColumn("__last", F.first(F.struct("end", "next", "ends")).over(later))
-    facts = rows.select(*by, F.struct("start", "end", "next", "ends", "__reach", "__last").alias("__w"), "start", "end", "k")
-    heard = facts.withColumn("at", F.col("start") - 1).groupBy(*by, "at").agg(F.max_by("__w", "k").alias("__w"))
-    behind = joins.as_of(cuts, heard.select(*by, "at"), by, "at", "at", None, False, "__m").join(heard.withColumnRenamed("at", "__m"), [*by, "__m"], "left")
+    # What a cut has to know of a word; written once, as it is read for the cuts after a word and for those before all words.
+    facts = cut_lineage(rows.select(*by, F.struct("start", "end", "next", "ends", "__reach", "__last").alias("__w"), "start", "end", "k"), "words")
+    # Words and cuts in one order, a cut after the words that start by 1 ms after it: the word is the last before it.
+    known = functools.reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*by, "start")))
+    order = Window.partitionBy(*by).orderBy("__at", "__cut", "k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = facts.filter(known).select(*by, F.col("start").alias("__at"), F.lit(0).alias("__cut"), "k", F.col("__w").alias("__word"))
+    asked = cuts.select(*by, "id", "at", (F.col("at") + 1).alias("__at"), F.lit(1).alias("__cut"))
+    both = asked.unionByName(placed, allowMissingColumns=True)
+    behind = both.withColumn("__w", F.last("__word", ignorenulls=True).over(order)).filter("__cut = 1").select(*by, "id", "at", "__w")
     # Without a word before it: the first word, by place, whose end is in the window; ends are looked up by buckets as long as the window, each time once.
     width = max(window, 1)
     alone = behind.filter("__w IS NULL").select(*by, "at").distinct()

@@ -20,9 +20,10 @@ from chronoweft.operators.graph import cut_lineage
 
 
 def leaves(documents: DataFrame, by: Sequence[str], json: str = "json") -> DataFrame:
-    """(by, path, value) of every leaf."""
+    """(by, path, value) of every leaf. The documents are written first, as each level is read three times."""
     spark = documents.sparkSession
-    level = documents.select(*by, F.array().cast("array<string>").alias("path"), F.try_parse_json(json).alias("v")).filter("v IS NOT NULL")
+    level = cut_lineage(documents.select(*by, F.array().cast("array<string>").alias("path"), F.col(json).alias("text")), "levels")
+    level = level.select(*by, "path", F.try_parse_json("text").alias("v")).filter("v IS NOT NULL")
     found: DataFrame | None = None
     text = F.to_json("v")
     nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)") & ~text.isin("{}", "[]")
@@ -50,7 +51,7 @@ def _last(path: Column) -> Column:
 
 def rebuilt(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, json): documents from their leaves, level by level from the deepest: the parts of one parent are joined in order of their steps."""
-    rows = parts.select(*by, "path", "value", F.size("path").alias("depth"))
+    rows = cut_lineage(parts.select(*by, "path", "value", F.size("path").alias("depth")), "rebuilt")
     deepest = rows.agg(F.max("depth")).first()[0]
     for depth in range(deepest or 0, 0, -1):
         here = rows.filter(F.col("depth") == depth)
@@ -133,7 +134,8 @@ def applied(parts: DataFrame, checked: DataFrame, by: Sequence[str]) -> DataFram
     # Parents of removed parts that have nothing left: `{}` or `[]`, unless the document itself goes.
     parents = sound.filter("after IS NULL AND size(path) > 0").select(*by, _parent(F.col("path")).alias("path"), F.when(F.startswith(_last(F.col("path")), F.lit("[")), "[]").otherwise("{}").alias("value"))
     kept = left.unionByName(placed)
-    full = kept.select(*by, F.explode(_prefixes(F.col("path"))).alias("path")).distinct()
+    touched = kept.join(parents.select(*by).distinct(), list(by), "left_semi")
+    full = touched.select(*by, F.explode(_prefixes(F.col("path"))).alias("path")).distinct()
     both = kept.unionByName(parents.dropDuplicates([*by, "path"]).join(full, [*by, "path"], "left_anti"))
     # A part added below an empty object or array takes its place.
     inner = placed.select(*by, F.explode(_prefixes(_parent(F.col("path")))).alias("path")).distinct()
@@ -162,7 +164,8 @@ def reversed_patches(patches: DataFrame) -> DataFrame:
 def revised(documents: DataFrame, patches: DataFrame, by: Sequence[str], json: str = "json") -> DataFrame:
     """(by, json, digest, issues): every document that is JSON after its patches (by, number, path as written, before, after), with its digest; issues names what its patches have, and then it is unchanged."""
     parts = cut_lineage(leaves(documents, by, json), "leaves")
-    checked = cut_lineage(audited(parts, patches.withColumn("path", steps(F.col("path"))), by), "audited")
+    asked = cut_lineage(patches.withColumn("path", steps(F.col("path"))), "patches")
+    checked = cut_lineage(audited(parts, asked, by), "audited")
     issues = checked.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("issues"))
-    after = rebuilt(closed_up(applied(parts, checked, by), by), by)
+    after = rebuilt(closed_up(cut_lineage(applied(parts, checked, by), "applied"), by), by)
     return after.withColumn("digest", F.sha2(F.col("json").cast("binary"), 256)).join(issues, list(by), "left").fillna("", ["issues"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -35,29 +36,31 @@ def contrast_pair(text: Column, topic: Column) -> Column:
 
 def filled(template: str, slots: Mapping[str, Column]) -> Column:
     """A template with its slots filled."""
-    out = F.lit(template)
-    for name, value in slots.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    parts = [p for p in re.split(r"(\{\w+\})", template) if p]
+    return F.concat(F.lit(""), *(slots[p[1:-1]] if p[0] == "{" and p[1:-1] in slots else F.lit(p) for p in parts))
 
 
 def hook(template: str, slots: Mapping[str, Column], most: int, tight: int = 12) -> Column:
     """A filled template; where it is too long its slots are cut to `tight` characters, and then the whole."""
     whole = filled(template, slots)
     tighter = filled(template, {n: F.substring(c, 1, tight) if n in _SLOTS else c for n, c in slots.items()})
-    return F.when(F.length(whole) <= most, whole).when(F.length(tighter) <= most, tighter).otherwise(F.substring(tighter, 1, most))
+    fit = lambda x: F.when(F.length(x["whole"]) <= most, x["whole"]).when(F.length(x["tighter"]) <= most, x["tighter"]).otherwise(F.substring(x["tighter"], 1, most))
+    return T.bound(F.struct(whole.alias("whole"), tighter.alias("tighter")), fit)
 
 
 def hook_variants(rows: DataFrame, by: Sequence[str], families: Sequence[HookFamily], slots: Mapping[str, Column], most: int, text: str = "text") -> DataFrame:
-    """(by, number, family, hook, status, score) for each family: blocked where the hook breaks a rule, review where it is long, scored by what the source text offers."""
+    """(by, number, family, hook, status, score) for each family: blocked where the hook breaks a rule, review where it is long, scored by what the source text offers.
+
+    Each step is a column of its own that the next ones read: written into each other, hooks and rules are more code than Spark compiles.
+    """
     made = []
     for k, f in enumerate(families, 1):
-        line = hook(f.template, slots, most)
         evident = F.col(text).rlike(f"(?i){f.evidence}") if f.evidence else F.lit(False)
-        status = F.when(T.gate(line) == "blocked", "blocked").when(F.length(line) > most * 0.9, "review").otherwise("ready")
-        score = F.least(F.lit(0.98), f.score + F.when(evident, f.bonus).otherwise(0.0)) - F.when(status == "blocked", 0.3).when(status == "review", 0.08).otherwise(0.0)
-        made.append(F.struct(F.lit(k).alias("number"), F.lit(f.name).alias("family"), line.alias("hook"), status.alias("status"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("score")))
-    return rows.select(*by, F.inline(F.array(*made)))
+        made.append(F.struct(F.lit(k).alias("number"), F.lit(f.name).alias("family"), hook(f.template, slots, most).alias("hook"), F.least(F.lit(0.98), f.score + F.when(evident, f.bonus).otherwise(0.0)).alias("__score")))
+    each = rows.select(*by, F.inline(F.array(*made)))
+    told = each.withColumn("status", F.when(T.blocked(F.col("hook")), "blocked").when(F.length("hook") > most * 0.9, "review").otherwise("ready"))
+    score = F.col("__score") - F.when(F.col("status") == "blocked", 0.3).when(F.col("status") == "review", 0.08).otherwise(0.0)
+    return told.select(*by, "number", "family", "hook", "status", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("score"))
 
 
 def caption_title(hook_text: Column, keywords: Column, most: int = 18) -> Column:

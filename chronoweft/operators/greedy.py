@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from chronoweft.operators.graph import cut_lineage
 from chronoweft.operators.scans import in_stretches
 
+#: Candidates of a timeline that emphasis chooses from without cutting it.
+WHOLE = 10_000
+
 
 def cooldown(df: DataFrame, by: Sequence[str], at: str, least_gap: float, order: Sequence[str] = (), most: int | None = None, after_end: str | None = None) -> DataFrame:
     """The rows of each key, in order of at, whose at is least_gap or more after the last row taken (after its end, if after_end names that column); `most` of them."""
@@ -68,17 +71,24 @@ def suppressed(candidates: DataFrame, by: Sequence[str], most_overlap: float = 0
     return in_stretches(candidates, by, F.col("start"), F.col("end"), each).select(*candidates.columns)
 
 
-def emphasis(candidates: DataFrame, by: Sequence[str], least_gap: float, most: int) -> DataFrame:
+def emphasis(candidates: DataFrame, by: Sequence[str], least_gap: float, most: int, whole: int = WHOLE) -> DataFrame:
     """Of candidates (by, id, at, score) by falling score, then at and id, those at least least_gap from every taken one; `most` of each key.
 
-    Candidates of different stretches are farther apart than least_gap; the first `most` of all that the stretches take are those of one pass over the timeline.
+    Timelines of up to `whole` candidates are chosen from as they are. A longer one is cut into stretches, which are farther apart than least_gap; the first `most` of all that these take are those of one pass over it.
     """
 
     free = lambda acc, x: (F.size(acc) < most) & ~F.exists(acc, lambda k: F.abs(k["at"] - x["at"]) < least_gap)
     each = lambda rows, keys: _chosen(rows, keys, ["at", "id"], free)
-    taken = in_stretches(candidates, by, F.col("at"), F.col("at") + least_gap, each)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "at", "id"))
-    return taken.withColumn("__place", place).filter(F.col("__place") <= most).select(*candidates.columns)
+    long = candidates.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > whole).drop("__n")
+    if long.isEmpty():
+        return each(candidates, list(by)).select(*candidates.columns)
+    of_long = [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in by]
+    hot = lambda kind: candidates.alias("c").join(long.alias("l"), of_long, kind).select("c.*")
+    taken = in_stretches(hot("left_semi"), by, F.col("at"), F.col("at") + least_gap, each)
+    unknown = F.col("score").isNull() | F.isnan(F.col("score").cast("double"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(unknown, F.desc("score"), "at", "id"))
+    first = taken.withColumn("__place", place).filter(F.col("__place") <= most).select(*candidates.columns)
+    return each(hot("left_anti"), list(by)).select(*candidates.columns).unionByName(first)
 
 
 def packed(units: DataFrame, by: Sequence[str], order: Sequence[str], size: Column, most: int, breaks: Column | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweft.functions import text as T
 from chronoweft.operators import graph, inventory, scripts
 
 # Probes that a measurement needs at least; shares of score and margin in a confidence; the margin that is full; lags that far from the best are others.
@@ -28,16 +31,45 @@ def probe_cores(a: DataFrame, b: DataFrame, by: Sequence[str], base: int, probes
     return each.select(*by, "probe", (F.col("__first") + F.floor((F.col("__last") - F.col("__first")) * F.col("probe") / (probes - 1))).alias("core"))
 
 
-def _features(rows: DataFrame, starts: DataFrame, by: Sequence[str], size: int, name: str, frame: str, value: str) -> DataFrame:
-    """(by, probe, name): features of the `size` frames from each start, an array by place. The noise floor is the window's own; a frame without a row is silent."""
-    places = starts.select(*by, "probe", "__start", F.posexplode(F.sequence(F.col("__start"), F.col("__start") + (size - 1))).alias("__place", frame))
-    heard = places.join(rows.select(*by, frame, F.col(value).cast("double").alias(value)), [*by, frame], "left").fillna(0.0, [value])
-    each = inventory.sync_features(heard.select(*by, "probe", "__place", value), [*by, "probe"], "__place", value)
-    return each.groupBy(*by, "probe").agg(F.transform(F.array_sort(F.collect_list(F.struct("__place", "feature"))), lambda x: x["feature"]).alias(name))
+def _windows(a: DataFrame, b: DataFrame, cores: DataFrame, by: Sequence[str], base: int, size: int, search: int, frame: str, value: str) -> DataFrame:
+    """cores with __a and __b: the `size` values of each side's window by place. A frame without a row is silent; of several rows of a frame the smallest value counts.
 
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    Rows are gathered in chunks of `size` frames, of which a window meets two, so a window is joined with two lists and not with each of its frames.
+    """
+    chunk = lambda c: F.floor(c / size)
+    of = lambda df, side: df.select(*by, F.lit(side).alias("__side"), F.col(frame).cast("long").alias("__frame"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__value"))
+    item = F.struct("__frame", "__value")
+    chunks = of(a, 0).unionByName(of(b, 1)).groupBy(*by, "__side", chunk(F.col("__frame")).alias("__chunk")).agg(F.collect_list(item).alias("__rows"))
+    first = F.col("core") - search
+    sides = cores.withColumn("__w", F.explode(F.array(F.struct(F.lit(0).alias("__side"), first.alias("__start")), F.struct(F.lit(1).alias("__side"), (first - base).alias("__start"))))).select(*by, "probe", "core", "__w.*")
+    wanted = sides.withColumn("__chunk", F.explode(F.sequence(chunk(F.col("__start")), chunk(F.col("__start") + (size - 1)))))
+    met = wanted.join(chunks, [*by, "__side", "__chunk"], "left").withColumn("__rows", F.filter("__rows", lambda x: x["__frame"].between(F.col("__start"), F.col("__start") + (size - 1))))
+
+    def placed(rows: str, start: Column) -> Column:
+        # A frame is looked up in the list of frames, which is as short as a window.
+        each = lambda x: F.transform(F.sequence(start, start + (size - 1)), lambda f: F.coalesce(F.get(x["v"], (F.array_position(x["f"], f) - 1).cast("int")), F.lit(0.0)))
+        return T.bound(F.struct(F.transform(F.array_sort(rows), lambda r: r["__frame"]).alias("f"), F.transform(F.array_sort(rows), lambda r: r["__value"]).alias("v")), each)
+
+    of_side = lambda side: F.flatten(F.collect_list(F.when(F.col("__side") == side, F.col("__rows"))))
+    gathered = met.groupBy(*by, "probe", "core").agg(of_side(0).alias("__in_a"), of_side(1).alias("__in_b"))
+    return gathered.select(*by, "probe", "core", placed("__in_a", first).alias("__a"), placed("__in_b", first - base).alias("__b"))
+
+
+def _lag_scores(left: np.ndarray, right: np.ndarray, search: int, window: int) -> np.ndarray:
+    """Scores of each lag from -search to search (columns) of windows of values (rows); nan where there is none."""
+    x, y = inventory.window_features(left), inventory.window_features(right)
+    size, whole_x, whole_y = x.shape[1], (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = np.full((len(x), 2 * search + 1), np.nan)
+    for lag in range(-search, search + 1):
+        overlap = size - abs(lag)
+        if overlap < max(1, round(window / 2)):
+            continue
+        u, v = x[:, max(0, lag) : max(0, lag) + overlap], y[:, max(0, -lag) : max(0, -lag) + overlap]
+        eu, ev = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        heard = (eu > SILENT) & (ev > SILENT)
+        share = np.minimum(1.0, np.minimum(eu[heard] / whole_x[heard], ev[heard] / whole_y[heard]))
+        out[heard, lag + search] = (u * v).sum(axis=1)[heard] / np.sqrt(eu[heard] * ev[heard]) * share
+    return out
 
 
 def window_scores(a: DataFrame, b: DataFrame, cores: DataFrame, by: Sequence[str], base: int, window: int, search: int, frame: str = "frame", value: str = "value") -> DataFrame:
@@ -47,23 +79,20 @@ def window_scores(a: DataFrame, b: DataFrame, cores: DataFrame, by: Sequence[str
     window in common, or with silence in it, have no row. A window holds window + 2 * search frames, so what is gathered is bounded by the parameters, whatever a key holds.
     """
     size = window + 2 * search
-    left = _features(a, cores.withColumn("__start", F.col("core") - search), by, size, "__a", frame, value)
-    right = _features(b, cores.withColumn("__start", F.col("core") - base - search), by, size, "__b", frame, value)
-    both = cores.join(left, [*by, "probe"]).join(right, [*by, "probe"])
-    lag = F.col("lag")
-    moved = both.withColumn("lag", F.explode(F.sequence(F.lit(-search), F.lit(search)))).withColumn("overlap", size - F.abs(lag)).filter(F.col("overlap") >= max(1, round(window / 2)))
-    x = F.slice("__a", F.greatest(F.lit(0), lag) + 1, F.col("overlap"))
-    y = F.slice("__b", F.greatest(F.lit(0), -lag) + 1, F.col("overlap"))
-    square = lambda v: v * v
-    sums = moved.select(
-        *by, "probe", "core", "lag", "overlap",
-        _total(F.zip_with(x, y, lambda u, v: u * v)).alias("__dot"),
-        _total(F.transform(x, square)).alias("__x"), _total(F.transform(y, square)).alias("__y"),
-        _total(F.transform("__a", square)).alias("__ax"), _total(F.transform("__b", square)).alias("__by"),
-    )
-    share = F.least(F.lit(1.0), F.col("__x") / F.col("__ax"), F.col("__y") / F.col("__by"))
-    heard = sums.filter((F.col("__x") > SILENT) & (F.col("__y") > SILENT))
-    return heard.select(*by, "probe", "core", "lag", "overlap", (F.col("__dot") / F.sqrt(F.col("__x") * F.col("__y")) * share).alias("score"))
+    both = _windows(a, b, cores, by, base, size, search, frame, value)
+
+    keys = [*by, "probe", "core"]
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                found = _lag_scores(np.stack(rows["__a"].tolist()), np.stack(rows["__b"].tolist()), search, window)
+                place, lag = np.nonzero(~np.isnan(found))
+                out = rows[keys].iloc[place].reset_index(drop=True)
+                yield out.assign(lag=lag - search, overlap=size - np.abs(lag - search), score=found[place, lag])
+
+    kinds = "".join(f"`{k}` {both.schema[k].dataType.simpleString()}, " for k in keys)
+    return both.mapInPandas(scores, f"{kinds}lag int, overlap int, score double")
 
 
 def probe_offsets(scores: DataFrame, by: Sequence[str], base: int, window: int, search: int, least_confidence: float, step: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +95,12 @@ def sync_features(rows: DataFrame, by: Sequence[str], frame: str = "frame", valu
     shares = rows.join(edges, list(by)).withColumn("__e", energy)
     onset = F.greatest(F.lit(0.0), F.col("__e") - F.coalesce(F.lag("__e").over(Window.partitionBy(*by).orderBy(frame)), F.lit(0.0)))
     return shares.withColumn("feature", ENERGY * F.col("__e") + ONSET * onset).drop("__low", "__high", "__e")
+
+
+def window_features(values: np.ndarray, floor: float = 0.2) -> np.ndarray:
+    """sync_features of windows whose values lie in rows of an array, by place."""
+    low = np.sort(values, axis=1)[:, [round((values.shape[1] - 1) * floor)]]
+    span = values.max(axis=1, keepdims=True) - low
+    energy = np.where(span <= 1e-9, 0.0, np.maximum(0.0, (values - low) / np.where(span <= 1e-9, 1.0, span)))
+    onset = np.maximum(0.0, np.diff(energy, axis=1, prepend=0.0))
+    return ENERGY * energy + ONSET * onset

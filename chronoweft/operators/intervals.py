@@ -7,6 +7,7 @@ merge() can first merge within stretches of the timeline, so that a very long on
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +46,12 @@ def gaps(df: DataFrame, by: Sequence[str], least: float = 0, start: str = "start
 
 
 def complement(df: DataFrame, lengths: DataFrame, by: Sequence[str], length: str = "duration", start: str = "start", end: str = "end") -> DataFrame:
-    """What no interval covers from 0 to the length of each timeline in lengths (by, length)."""
+    """What no interval covers from 0 to the length of each timeline in lengths (by, length). Empty and reversed intervals cover nothing, and a key that is null names a timeline as any other."""
     clip = lambda c: F.greatest(F.lit(0), F.least(c, F.col("__length")))
     ends = lengths.select(*by, F.col(length).alias("__length"))
-    rows = ends.join(df.select(*by, F.col(start).alias("__s"), F.col(end).alias("__e")), list(by), "left")
-    rows = rows.select(*by, "__length", clip(F.col("__s")).alias("__s"), clip(F.col("__e")).alias("__e"))
+    covered = df.filter(F.col(end) > F.col(start)).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(by)), F.col(start).alias("__s"), F.col(end).alias("__e"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)])
+    rows = ends.join(covered, same, "left").select(*by, "__length", clip(F.col("__s")).alias("__s"), clip(F.col("__e")).alias("__e"))
     tail = ends.select(*by, "__length", F.col("__length").alias("__s"), F.col("__length").alias("__e"))
     cursor = F.coalesce(F.max("__e").over(_before(by, "__s", "__e")), F.lit(0))
     return rows.filter("__s IS NOT NULL").unionByName(tail).withColumn("__c", cursor).filter("__s > __c").select(*by, F.col("__c").alias("start"), F.col("__s").alias("end")).distinct()

@@ -7,12 +7,21 @@ Patches (by, path, before, after) replace the part below a path; a null `before`
 Cases: text that is no JSON, or null, has no leaf and no rebuilt document. Numbers come back as Spark's variant writes them (1.50 as 1.5), keys sorted and
 without white space, so that equal documents have equal text and digest. Documents may be nested to any depth; each level is one pass.
 Places of an array close up where one is removed. Repeated documents (same keys) are an error of the caller: their leaves are taken together.
+
+`revised` does all of it for documents that each fit a row, one document after another in one pass, without leaves as rows: the other operators are for documents
+given as leaves, and for a step of it alone. There, repeated documents are patched each by itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+import sys
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from json.encoder import encode_basestring
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,11 +170,145 @@ def reversed_patches(patches: DataFrame) -> DataFrame:
     return patches.withColumn("__before", F.col("before")).withColumn("before", F.col("after")).withColumn("after", F.col("__before")).drop("__before")
 
 
+class _Number(str):
+    """A number as its JSON text."""
+
+
+class _Places(dict):
+    """An array that is being edited: its parts by the places that they had before."""
+
+
+_MISSING = object()
+_read = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_Number, strict=False).decode
+
+
+def _quoted(text: str) -> str:
+    """JSON text of a string as Spark writes it."""
+    found = encode_basestring(text)
+    return re.sub(r"\\(?:u[0-9a-f]{4}|.)", lambda m: m[0] if len(m[0]) == 2 else "\\u" + m[0][2:].upper(), found) if "\\u00" in found else found
+
+
+def _text(value: object) -> str:
+    """JSON text without white space, keys in the order of their bytes."""
+    kind = type(value)
+    if kind is str:
+        return _quoted(value)
+    if kind is _Number:
+        return value
+    if kind is dict:
+        return "{" + ",".join([_quoted(k) + ":" + _text(value[k]) for k in sorted(value)]) + "}"
+    if kind is list:
+        return "[" + ",".join(map(_text, value)) + "]"
+    if kind is _Places:
+        return "[" + ",".join([_text(value[k]) for k in sorted(value)]) + "]"
+    return "null" if value is None else "true" if value else "false"
+
+
+@lru_cache(1 << 16)
+def _steps(path: str) -> tuple[str | int, ...]:
+    """As steps(), with keys and places as they are."""
+    return tuple(int(s[1:-1][:10]) if s[0] == "[" else s[1:] for s in re.findall(r"\.[^.\[\]]+|\[[0-9]+\]", path))
+
+
+def _part(value: object, path: tuple[str | int, ...]) -> object:
+    for step in path:
+        if type(step) is int:
+            value = value[step] if type(value) is list and step < len(value) else _MISSING
+        else:
+            value = value.get(step, _MISSING) if type(value) is dict else _MISSING
+        if value is _MISSING:
+            break
+    return value
+
+
+def _issue(document: object, patch: tuple, others: list[tuple]) -> str | None:
+    """The first issue of a patch (number, path, before, after, canonical before and after), as in audited()."""
+    number, path, before, after, old, new = patch
+    if (before is not None and old is None) or (after is not None and new is None):
+        return "invalid_json"
+    if old == new:
+        return "no_change"
+    if path is None:
+        return None if before is None else "missing"
+    if any(p is not None and n != number and p[: len(path)] == path[: len(p)] for n, p, *_ in others):
+        return "overlap"
+    now = _part(document, path)
+    if before is None:
+        return None if now is _MISSING else "exists"
+    if now is _MISSING:
+        return "missing"
+    return None if _text(now) == _text(_read(old)) else "stale"
+
+
+def _held(value: object, step: str | int) -> object:
+    """The object or array that a part can be added to by this step: the value itself, another if it is empty; _MISSING if another part is in the way."""
+    if type(step) is int:
+        return value if type(value) is _Places else _Places(enumerate(value)) if type(value) is list else _Places() if type(value) is dict and not value else _MISSING
+    return value if type(value) is dict else {} if type(value) in (list, _Places) and not value else _MISSING
+
+
+def _edited(document: object, patches: list[tuple]) -> object:
+    """The document after patches without an issue, removals first; _MISSING if it is removed as a whole, None in a tuple if a part is in the way of one that is added."""
+    root = {} if document is _MISSING else {"": document}
+    for _, path, _, _, _, new in sorted((p for p in patches if p[1] is not None), key=lambda p: p[5] is not None):
+        at, last = root, ""
+        for step in path:
+            inside = _held(at[last] if last in at else _Places() if type(step) is int else {}, step)
+            if inside is _MISSING:
+                return (None,)
+            at[last] = inside
+            at, last = inside, step
+        if new is None:
+            at.pop(last, None)
+        else:
+            at[last] = _read(new)
+    return root.get("", _MISSING)
+
+
+def _revise(text: str | None, patches: list[tuple]) -> tuple[str | None, str]:
+    """A document's text after its patches, None if there is none before or after, and what issues they have."""
+    if not patches and (text is None or text.isascii()):
+        return text, ""
+    document = _MISSING if text is None else _read(text)
+    issues = {_issue(document, p, patches) for p in patches} - {None}
+    if not issues and patches:
+        after = _edited(document, patches)
+        if type(after) is not tuple:
+            return None if after is _MISSING else _text(after), ""
+        issues, document = {"exists"}, _read(text)
+    return None if document is _MISSING else _text(document), ",".join(sorted(issues))
+
+
 def revised(documents: DataFrame, patches: DataFrame, by: Sequence[str], json: str = "json") -> DataFrame:
-    """(by, json, digest, issues): every document that is JSON after its patches (by, number, path as written, before, after), with its digest; issues names what its patches have, and then it is unchanged."""
-    parts = cut_lineage(leaves(documents, by, json), "leaves")
-    asked = cut_lineage(patches.withColumn("path", steps(F.col("path"))), "patches")
-    checked = cut_lineage(audited(parts, asked, by), "audited")
-    issues = checked.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("issues"))
-    after = rebuilt(closed_up(cut_lineage(applied(parts, checked, by), "applied"), by), by)
-    return after.withColumn("digest", F.sha2(F.col("json").cast("binary"), 256)).join(issues, list(by), "left").fillna("", ["issues"])
+    """(by, json, digest, issues): every document that is JSON after its patches (by, number, path as written, before, after), with its digest; issues names what its patches have, and then it is unchanged.
+
+    A part that is to be added below one that is no object or array, or below a full one of the other kind, `exists` as well. Where there is no document, or none that is JSON,
+    patches that only add make one. Patches with a key that is null belong to no document.
+    """
+    texts = documents.select(*by, canonical(F.col(json)).alias("json"))
+    told = patches.select(*by, F.struct(F.col("number").cast("string").alias("number"), "path", "before", "after", canonical(F.col("before")).alias("old"), canonical(F.col("after")).alias("new")).alias("__patch"))
+    asked = told.dropna(subset=list(by)).groupBy(*by).agg(F.collect_list("__patch").alias("__asked"))
+    rows = texts.join(asked, list(by), "full")
+    names = [*by, "json", "issues"]
+
+    def revise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+        for b in batches:
+            asked = b.column("__asked")
+            fields = dict(zip((f.name for f in asked.type.value_type), (x.to_pylist() for x in asked.flatten().flatten()), strict=True))
+            paths = [None if p is None else _steps(p) for p in fields["path"]]
+            each = list(zip(fields["number"], paths, fields["before"], fields["after"], fields["old"], fields["new"], strict=True))
+            at, kept, after, issues = 0, [], [], []
+            for k, (text, n) in enumerate(zip(b.column("json").to_pylist(), asked.value_lengths().fill_null(0).to_pylist(), strict=True)):
+                new, issue = _revise(text, each[at : at + n])
+                if new is not None:
+                    kept.append(k)
+                    after.append(new)
+                    issues.append(issue)
+                at += n
+            chosen = b.select(list(by)).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(after, pa.string()), pa.array(issues, pa.string())], names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    after = rows.mapInArrow(revise, ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "json string", "issues string"]))
+    return after.select(*by, "json", F.sha2(F.col("json").cast("binary"), 256).alias("digest"), "issues")
